@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import bpe, simhash, substring_dedup, token_counts
+from siftwell.llm import ann, bpe, decontaminate, language_id, licenses, quality, simhash, substring_dedup, token_counts, toxicity
 from siftwell.session import table
 
 
+def op1_ann(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, folder, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
@@ -20,11 +25,45 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    out = licenses.scan(table(spark, folder, "documents"))
+    joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
+def held_out(folds: int, held: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held, F.lit(False))
+
+
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = quality.score(docs, quality.train(docs, table(spark, folder, "labels"))).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels"))).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     out = token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = language_id.predict(docs, language_id.train(docs)).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", held_out(3, 1).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each document and test item that it holds a passage of."""
+    out = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "score", "seeds", F.col("low").alias("first_word"), F.col("end").alias("end_word"))
+
+
 def token_digests(docs: DataFrame) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     out = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
@@ -38,5 +77,11 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return token_digests(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op6_token_counts, op7_simhash, op10_byte_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ann, op2_substring_dedup, op3_license_scan, op4_quality, op5_toxicity, op6_token_counts, op7_simhash, op8_language_id, op9_decontamination, op10_byte_bpe
+    )
+}
+#: The ten operators' results can't be had from SQL in reasonable time; tests hold them against brute force instead.
 ORACLES: dict[str, str] = {}
