@@ -31,11 +31,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that stand earlier too; others stay as they are."""
-    out = substring_dedup.remove_repeats(docs.select(*COLUMNS), carry=True)
+    out = substring_dedup.remove_repeats(docs, carry=("lang", "source", "n_chars"))
     changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept")).otherwise(F.col("row.text"))
+    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
     size = F.when(changed, F.char_length("kept").cast("long")).otherwise(F.col("row.n_chars"))
-    return out.select("row.doc_id", text.alias("text"), "row.lang", "row.source", size.alias("n_chars"))
+    return out.select(F.col("id").alias("doc_id"), text.alias("text"), "row.lang", "row.source", size.alias("n_chars"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,12 +34,18 @@ from pyspark.sql import functions as F
 from siftwell.llm import words as tw
 from siftwell.session import cut_lineage
 
-SEEDS = "k1 long, k2 long, id long, s int, e int, repeat boolean"
-_SCHEMA = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("id", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("repeat", pa.bool_())])
+#: at: the first window's start in the upper half; twice the number of windows beyond it, plus 1 for a repeat, in the lower one.
+SEEDS = "k1 long, k2 long, id long, at long"
 
 
 def _batch(k1, k2, ids, s, e, repeat) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((k1, k2, ids, s, e, repeat), _SCHEMA.types, strict=True)], schema=_SCHEMA)
+    at = (s.astype(np.int64) << 32) | ((e - s).astype(np.int64) << 1) | int(repeat)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, ids, at)], names=["k1", "k2", "id", "at"])
+
+
+def _unpacked(found: DataFrame) -> DataFrame:
+    s = F.shiftright("at", 32).cast("int")
+    return found.withColumn("s", s).withColumn("e", s + F.shiftright(F.col("at").bitwiseAND(0xFFFFFFFF), 1).cast("int")).withColumn("repeat", F.col("at").bitwiseAND(1) == 1)
 
 
 def _earliest(k1, k2, ids, s, e) -> Iterator[pa.RecordBatch]:
@@ -47,14 +53,13 @@ def _earliest(k1, k2, ids, s, e) -> Iterator[pa.RecordBatch]:
     if not len(k1):
         return
     order = np.lexsort((s, ids, k2, k1))
-    k1, k2, ids, s, e = (x[order] for x in (k1, k2, ids, s, e))
     new = np.ones(len(k1), bool)
-    new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    same = ~new & (ids == ids[first]) & (s == s[first])
-    stay, again = new, ~new & ~same
-    yield _batch(tw.signed(k1[stay]), tw.signed(k2[stay]), ids[stay], s[stay], e[stay], np.zeros(stay.sum(), bool))
-    if again.any():
+    new[1:] = (k1[order[1:]] != k1[order[:-1]]) | (k2[order[1:]] != k2[order[:-1]])
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    same = ~new & (ids[order] == ids[first]) & (s[order] == s[first])
+    stay, again = np.sort(order[new]), order[~new & ~same]  # in the order of the texts, which packs better
+    yield _batch(tw.signed(k1[stay]), tw.signed(k2[stay]), ids[stay], s[stay], e[stay], False)
+    if len(again):
         ids, s, e = ids[again], s[again], e[again]
         order = np.lexsort((s, ids))
         ids, s, e = ids[order], s[order], e[order]
@@ -63,7 +68,7 @@ def _earliest(k1, k2, ids, s, e) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(cut)
         ends = np.maximum.reduceat(e, at)
         key = tw.mix(ids[at].astype(np.uint64) * np.uint64(tw.ODD) + s[at].astype(np.uint64))
-        yield _batch(tw.signed(key), np.zeros(len(at), np.int64), ids[at], s[at], ends, np.ones(len(at), bool))
+        yield _batch(tw.signed(key), np.zeros(len(at), np.int64), ids[at], s[at], ends, True)
 
 
 def _blocks(window: int, k: int):
@@ -117,7 +122,9 @@ def _windows(window: int):
                 at = at[rows[at] == rows[at + window - 1]]
                 first, second = (tw.word_hashes(data, starts, ends, seed) for seed in (0, 1))
                 own = (at - base[rows[at]]).astype(np.int32)
-                yield from _earliest(tw.span_hash(first, at, at + window, 0), tw.span_hash(second, at, at + window, 1), ids_all[a + rows[at]], own, own)
+                # two hashes of the whole window, 96 bits together
+                check = tw.span_hash(second, at, at + window, 1) >> np.uint64(32)
+                yield from _earliest(tw.span_hash(first, at, at + window, 0), check, ids_all[a + rows[at]], own, own)
 
     return run
 
@@ -125,6 +132,7 @@ def _windows(window: int):
 def _apply(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            carried = batch.num_columns > 3
             offs, data = tw.buffers(batch.column(1))
             ranges = batch.column(2)
             cuts, flat = ranges.offsets.to_numpy(), ranges.values
@@ -145,8 +153,8 @@ def _apply(window: int):
                 removed.append(gone)
                 kept.append(b" ".join(own).decode())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *batch.columns[3:]],
-                names=["id", "n_words", "n_removed", "kept", *(["row"] if batch.num_columns > 3 else [])],
+                [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *((batch.column(1), batch.column(3)) if carried else ())],
+                names=["id", "n_words", "n_removed", "kept", *(("text", "row") if carried else ())],
             )
 
     return run
@@ -155,33 +163,38 @@ def _apply(window: int):
 def _later(found: DataFrame) -> DataFrame:
     """Adds ``rank`` among equal keys and ``mixed``, whether the seed has different blocks. One exchange, by the seed."""
     by_seed = found.repartition("k1")
-    equal = Window.partitionBy("k1", "k2").orderBy("id", "s")
+    equal = Window.partitionBy("k1", "k2").orderBy("id", "at")
     seed = Window.partitionBy("k1")
     return by_seed.withColumn("rank", F.rank().over(equal)).withColumn("mixed", F.min("k2").over(seed) < F.max("k2").over(seed))
 
 
 def repeated_ranges(docs: DataFrame, window: int = 20, k: int = 5) -> DataFrame:
-    """id and ranges (first and last start of repeated windows), one row a document that has any. ``docs`` has id and text."""
+    """id and ranges (first and last start of repeated windows), one row a document that has any. ``docs`` has id and body."""
     known = docs.where("id is not null")
-    found = _later(known.mapInArrow(_blocks(window, k), SEEDS))
-    found = cut_lineage(
-        found.where("repeat or rank > 1 or mixed").select("id", "s", "e", (F.col("repeat") | (F.col("rank") > 1)).alias("repeat"))
-    )
+    found = _unpacked(_later(known.mapInArrow(_blocks(window, k), SEEDS)))
+    found = cut_lineage(found.where("repeat or rank > 1 or mixed").select("id", "s", "e", (F.col("repeat") | (F.col("rank") > 1)).alias("repeat")))
     ask = found.where("not repeat").groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
-    again = known.join(ask, "id").select("id", "text", "ranges").mapInArrow(_windows(window), SEEDS)
-    by_window = again.repartition("k1").withColumn("rank", F.rank().over(Window.partitionBy("k1", "k2").orderBy("id", "s")))
+    again = known.join(ask, "id").select("id", "body", "ranges").mapInArrow(_windows(window), SEEDS)
+    by_window = _unpacked(again.repartition("k1").withColumn("rank", F.rank().over(Window.partitionBy("k1", "k2").orderBy("id", "at"))))
     sure = found.where("repeat").select("id", "s", "e").unionAll(by_window.where("repeat or rank > 1").select("id", "s", "e"))
     return sure.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, k: int = 5, carry: bool = False) -> DataFrame:
-    """id, n_words, n_removed, kept (words that stay, joined by one space); with ``carry`` the whole input row as ``row`` too."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, k: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, n_words, n_removed, kept (words that stay, joined by one space).
+
+    With ``carry`` also text, as it was, and row, a struct of the named columns.
+    """
     if not 0 < k <= window:
         raise ValueError("k must lie between 1 and window")
-    extra = [F.struct("*").alias("row")] if carry else []
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *extra)
-    ranges = repeated_ranges(own.select("id", "text"), window, k)
+    extra = [F.struct(*carry).alias("row")] if carry else []
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"), *extra)
+    known = own.where("id is not null")
+    ranges = repeated_ranges(own.select("id", "body"), window, k)
     none = F.array().cast("array<struct<s:int,e:int>>")
-    joined = own.join(ranges, "id", "left").select("id", "text", F.coalesce("ranges", none).alias("ranges"), *(["row"] if carry else []))
-    row = f", row {docs.schema.simpleString()}" if carry else ""
+    columns = ["id", "body", F.coalesce("ranges", none).alias("ranges"), *(["row"] if carry else [])]
+    # the same exchange of the texts serves the windows in question and this join
+    joined = known.join(ranges, "id", "left").select(*columns)
+    joined = joined.unionAll(own.where("id is null").withColumn("ranges", none).select(*columns))
+    row = f", text string, row {own.schema['row'].dataType.simpleString()}" if carry else ""
     return joined.mapInArrow(_apply(window), f"id long, n_words long, n_removed long, kept string{row}")
