@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def queries() -> dict[str, Query]:
-    return {}
+from siftwell.plans import (  # noqa: F401  (importing registers)
+    aggregates,
+    browse,
+    identity,
+    joins,
+    ranking,
+    reconcile,
+    registry,
+    resolution,
+    retrieval,
+    rules,
+    sampling,
+    sets,
+    sources,
+    streams,
+)
+
+
+def queries() -> dict[str, registry.Query]:
+    return registry.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return registry.ORACLES
