@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm import words as tw
 
-LONG, CACHE = 256, 400_000
+LONG, CACHE = 256, 200_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -250,7 +250,7 @@ def _decode(path: str):
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ids (array of int) of every row."""
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    own = tw.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return own.mapInArrow(_encode(path, pattern), "id long, ids array<int>")
 
 

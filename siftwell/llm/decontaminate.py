@@ -133,7 +133,7 @@ def leaks(
     n: int = N, threshold: float = THRESHOLD, broadcast_limit: int = BROADCAST,
 ) -> DataFrame:
     """id, item, score, seeds (hits of seeds), low (first word of the aligned stretch), end (word after the alignment)."""
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    own = tw.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     tests = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null").distinct()
     grams = tests.mapInArrow(_runs(None, n), "gram long, item long, place int")
     distinct = cut_lineage(grams.select("gram").distinct())

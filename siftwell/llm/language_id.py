@@ -120,7 +120,7 @@ def fit(windows: np.ndarray, y: np.ndarray, languages: list[str], epochs: int =
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, per_language: int = PER_LANGUAGE) -> Network | None:
-    own = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).where(F.crc32(F.col(id_col).cast("string")) % folds != held)
+    own = tw.bounded(docs).where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).where(F.crc32(F.col(id_col).cast("string")) % folds != held)
     own = own.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     names = [r.lang for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()]
     picked = None
@@ -178,4 +178,4 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
             score = np.where(letters, share.max(axis=1) if n else 0, 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["id", "lang", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, lang string, score double")
+    return tw.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, lang string, score double")

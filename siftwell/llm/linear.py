@@ -94,7 +94,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_
     for y in (0, 1):
         some = own.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
         picked = some if picked is None else picked.unionAll(some)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = tw.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return texts.join(F.broadcast(picked), "id")
 
 

@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm import words as tw
 from siftwell.operators.graph import connected_components
 from siftwell.session import cut_lineage
 
@@ -246,7 +247,7 @@ def _links(radius: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = 42) -> DataFrame:
     """id and fp (the 64 bits as a signed long) of every row."""
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    own = tw.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return own.mapInArrow(_fingerprints(shingle, seed), "id long, fp long")
 
 

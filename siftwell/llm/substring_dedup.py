@@ -76,7 +76,7 @@ def _blocks(window: int, k: int):
         for batch in batches:
             ids_all = batch.column(0).to_numpy(zero_copy_only=False)
             offs, data = tw.buffers(batch.column(1))
-            for a, b in tw.pieces(offs):
+            for a, b in tw.pieces(offs, 4 << 20):  # large, as repeats within a piece don't travel
                 starts, ends, rows = tw.spans(data, offs[a : b + 1])
                 if len(starts) < window:
                     continue
@@ -188,7 +188,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 0 < k <= window:
         raise ValueError("k must lie between 1 and window")
     extra = [F.struct(*carry).alias("row")] if carry else []
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"), *extra)
+    own = tw.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"), *extra)
     known = own.where("id is not null")
     ranges = repeated_ranges(own.select("id", "body"), window, k)
     none = F.array().cast("array<struct<s:int,e:int>>")

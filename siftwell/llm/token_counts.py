@@ -108,6 +108,6 @@ def _count(path: str, chunk: int, overlap: int):
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit of every row."""
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    own = tw.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = own.mapInArrow(_count(path, chunk, overlap), "id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

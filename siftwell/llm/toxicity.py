@@ -323,7 +323,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             own = [shared.value.score(offs[a : b + 1], data) for a, b in tw.pieces(offs)] or [(np.zeros(0), np.zeros(0, np.int64))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x)) for x in zip(*own, strict=True))], names=["id", "score", "matches"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double, matches long")
+    return tw.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double, matches long")
 
 
 def keep_below(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -337,4 +337,4 @@ def keep_below(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str
             stay = [shared.value.score(offs[a : b + 1], data)[0] < limit for a, b in tw.pieces(offs)]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *stay])))
 
-    return docs.mapInArrow(run, docs.schema)
+    return tw.bounded(docs).mapInArrow(run, docs.schema)

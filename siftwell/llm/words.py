@@ -10,8 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-PIECE = 4 << 20
+PIECE = 1 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, "8m"
 ODD = 0x9E3779B97F4A7C15
 #: Bytes that separate words: space and the ASCII controls from tab to carriage return.
 SPACES = np.zeros(256, bool)
@@ -23,6 +25,14 @@ _BASE = [0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """The same rows; from now on the session sends them to Python in batches of a few MB, whatever the texts' lengths."""
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(BATCH_ROWS, int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return docs
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> np.uint64(30))
