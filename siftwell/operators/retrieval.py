@@ -37,6 +37,19 @@ def cosine(a: str, b: str) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error("vectors differ in length")).otherwise(value)
 
 
+def against_all(queries: DataFrame, rows: DataFrame, blocks: int, salts: int) -> DataFrame:
+    """A stated set of queries against all rows: queries in blocks, each met by every row, spread over (block, salt)."""
+    q = queries.withColumn("_b", F.pmod(F.xxhash64(*queries.columns[:1]), F.lit(blocks))).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    r = rows.withColumn("_s", F.pmod(F.xxhash64(*rows.columns[:1]), F.lit(salts)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    return r.join(q, ["_b", "_s"]).drop("_b", "_s")
+
+
+def unit(a: str) -> Column:
+    """The vector in double precision, of length one; a zero vector stays."""
+    norm = F.sqrt(dot(a, a))
+    return F.transform(a, lambda x: F.when(norm == 0, 0.0).otherwise(x.cast("double") / norm))
+
+
 def hybrid(lexical: str, cos: str, weights: tuple[float, float] = (0.6, 0.4)) -> Column:
     a, b = (w / sum(weights) for w in weights)
     return F.col(lexical) * a + F.greatest(F.col(cos), F.lit(0.0)) * b

@@ -36,12 +36,12 @@ VEC = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c
 
 
 def cosines(spark, folder):
-    """A stated set of queries against all vectors: the vectors stream past the queries, which are one in fifty."""
-    rows = table(spark, folder, "embeddings")
-    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.lit(0).alias("block"))
-    every = rows.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("d"), F.lit(0).alias("block"))
-    met = every.join(asked, "block").where("query_id <> doc_id")
-    return met.select("query_id", "doc_id", v.cosine("q", "d").alias("cosine"))
+    """One vector in fifty as queries against all vectors, in blocks."""
+    rows = table(spark, folder, "embeddings").select("vec_id", v.unit("embedding").alias("e"))
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
+    every = rows.select(F.col("vec_id").alias("doc_id"), F.col("e").alias("d"))
+    met = v.against_all(asked, every, 4, 16).where("query_id <> doc_id")
+    return met.select("query_id", "doc_id", v.dot("q", "d").alias("cosine"))
 
 
 @query("v03_cosine_top", f"WITH {VEC} SELECT query_id, doc_id, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) AS n FROM c) WHERE n <= 10")

@@ -46,9 +46,9 @@ def n05(spark, folder):
     return table(spark, folder, "documents").select("doc_id").join(table(spark, folder, "labels"), "doc_id", "left").select("doc_id", plan.alias("plan"))
 
 
-@query("n06_reciprocal", """WITH p AS (SELECT DISTINCT l_partkey AS l, l_suppkey AS r FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-15'), a AS (SELECT l FROM p GROUP BY l HAVING count(*) = 1), b AS (SELECT r FROM p GROUP BY r HAVING count(*) = 1) SELECT l, r FROM p WHERE l IN (SELECT l FROM a) AND r IN (SELECT r FROM b)""")
+@query("n06_reciprocal", """WITH p AS (SELECT DISTINCT l_partkey AS l, l_orderkey AS r FROM lineitem WHERE l_orderkey % 50 = 3), a AS (SELECT l FROM p GROUP BY l HAVING count(*) = 1), b AS (SELECT r FROM p GROUP BY r HAVING count(*) = 1) SELECT l, r FROM p WHERE l IN (SELECT l FROM a) AND r IN (SELECT r FROM b)""")
 def n06(spark, folder):
-    pairs = table(spark, folder, "lineitem").where("l_shipdate < timestamp_ntz'1995-02-15'").select(F.col("l_partkey").alias("l"), F.col("l_suppkey").alias("r"))
+    pairs = table(spark, folder, "lineitem").where("l_orderkey % 50 = 3").select(F.col("l_partkey").alias("l"), F.col("l_orderkey").alias("r"))
     return e.reciprocal(pairs, "l", "r")
 
 

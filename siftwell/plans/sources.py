@@ -1 +1,103 @@
+"""Sources as queries over the driver's tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siftwell.functions import text as tf
+from siftwell.operators import identity as ident
+from siftwell.plans.registry import query
+from siftwell.session import table
+from siftwell.sources import readers as rd
+
+
+@query("s01_open_table", "SELECT r_regionkey, r_name FROM region")
+def s01(spark, folder):
+    return rd.read(spark, "parquet", f"{folder}/region.parquet").select("r_regionkey", "r_name")
+
+
+@query("s04_exploded_events", "SELECT event_id, u.k AS k, u.n AS n FROM (SELECT event_id, unnest([{'k': 'k', 'n': CAST(json_extract_string(props, '$.k') AS BIGINT)}, {'k': 'id', 'n': event_id}]) AS u FROM events)")
+def s04(spark, folder):
+    rows = table(spark, folder, "events").withColumn("m", F.map_concat(F.from_json("props", "map<string,bigint>"), F.create_map(F.lit("id"), F.col("event_id"))))
+    return rows.select("event_id", F.explode_outer("m").alias("k", "n"))
+
+
+@query("s05_lenient_casts", "SELECT event_id, try_cast(raw AS INTEGER) AS raw, raw IS NOT NULL AND try_cast(raw AS INTEGER) IS NULL AS rejected FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE json_extract_string(props, '$.k') END AS raw FROM events)")
+def s05(spark, folder):
+    rows = table(spark, folder, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.get_json_object("props", "$.k")).alias("raw"))
+    return rd.quarantine(rows, {"event_id": "bigint", "raw": "int"}).select("event_id", "raw", (F.size("rejected") > 0).alias("rejected"))
+
+
+@query("s06_line_accounting", "SELECT CASE WHEN event_id % 9 = 0 THEN 'blank' WHEN event_id % 5 = 0 THEN 'malformed' ELSE 'ok' END AS line_state, count(*) AS n FROM events GROUP BY 1")
+def s06(spark, folder):
+    """Lines of a capture with blank and broken ones among them, counted in one pass."""
+    k = F.col("event_id")
+    lines = table(spark, folder, "events").select(F.when(k % 9 == 0, " ").when(k % 5 == 0, F.substring("props", 1, 5)).otherwise(F.col("props")).alias("line"))
+    return rd.parse_lines(lines, "line", "k bigint").groupBy("line_state").agg(F.count("*").alias("n"))
+
+
+@query("s08_overlapping_pages", "SELECT l_orderkey, count(*) AS copies FROM (SELECT * FROM lineitem WHERE l_linenumber <= 2 UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 2) GROUP BY l_orderkey HAVING count(DISTINCT l_partkey) = 1")
+def s08(spark, folder):
+    """Pages that overlap: equal copies of an id count once, differing ones go."""
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    both = rows.where("l_linenumber <= 2").unionByName(rows.where("l_linenumber = 2"))
+    return ident.resolve_duplicates(both.select("l_orderkey", "l_partkey"), "l_orderkey", ["l_partkey"])[0].select("l_orderkey", "copies")
+
+
+@query("s09_packed_sheet")
+def s09(spark, folder):
+    """Base64 and zlib, which SQL can't undo: every part name is packed by a task and read back."""
+    import base64
+    import zlib
+
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    pack = F.pandas_udf(lambda s: s.map(lambda t: base64.b64encode(zlib.compress(t.encode())).decode()) if isinstance(s, pd.Series) else s, T.StringType())
+    rows = table(spark, folder, "part").select(F.to_json(F.array(F.struct(F.col("p_name").alias("name"), F.array("p_type").alias("options")))).alias("j"))
+    return rd.sheet_rows(rows.select(pack("j").alias("p")), "p", {"PROMO": "special"}).select("name", F.array_join("labels", ",").alias("labels"))
+
+
+@query("s13_joined_fields", "SELECT p_partkey, concat_ws(chr(10), nullif(trim(p_name), ''), nullif(trim(p_brand), ''), nullif(trim(p_type), '')) AS content FROM part")
+def s13(spark, folder):
+    return table(spark, folder, "part").select("p_partkey", rd.joined_fields(["p_name", "p_brand", "p_type"]).alias("content"))
+
+
+@query("s14_redacted_structure", "SELECT event_id, '[REDACTED]' AS token, json_extract_string(props, '$.k') AS k FROM events")
+def s14(spark, folder):
+    m = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("Token"), F.lit("x")))
+    own = rd.redact_keys(m, ["token", "password"])
+    return table(spark, folder, "events").select("event_id", F.try_element_at(own, F.lit("Token")).alias("token"), F.try_element_at(own, F.lit("k")).alias("k"))
+
+
+@query("s18_source_manifest", "SELECT source, count(*) AS files, sha256(string_agg(sha256(text), ',' ORDER BY doc_id)) AS mark FROM documents GROUP BY source")
+def s18(spark, folder):
+    own = table(spark, folder, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))).alias("f"))
+    return own.select("source", F.size("f").cast("long").alias("files"), F.sha2(F.array_join(F.transform("f", lambda x: x["h"]), ","), 256).alias("mark"))
+
+
+@query("s19_path_get", "SELECT event_id, json_extract_string(j, '$.a[0].k') AS k FROM (SELECT event_id, '{\"a\":[' || props || ']}' AS j FROM events)")
+def s19(spark, folder):
+    rows = table(spark, folder, "events").select("event_id", F.concat(F.lit('{"a":['), "props", F.lit("]}")).alias("j"))
+    return rows.select("event_id", rd.path_get("j", "a.0.k").alias("k"))
+
+
+@query("s20_page_texts")
+def s20(spark, folder):
+    """Visible text and links of pages by an HTML parser, which SQL lacks."""
+    return table(spark, folder, "pages").select("page_id", tf.html_text("html").alias("h")).select("page_id", "h.text", F.size("h.links").alias("links"), "h.active")
+
+
+@query("s22_observations", "SELECT user_id, count(DISTINCT event_type || '|' || floor(value)) AS observed, count(*) AS raw, max(ts) AS finished FROM events GROUP BY user_id")
+def s22(spark, folder):
+    """What a run observed, each observation once, with the evidence of the run."""
+    key = F.concat_ws("|", "event_type", F.floor("value").cast("string"))
+    return table(spark, folder, "events").groupBy("user_id").agg(F.count_distinct(key).alias("observed"), F.count("*").alias("raw"), F.max("ts").alias("finished"))
+
+
+@query("s24_full_sync", "SELECT c_custkey AS id, c_name AS name FROM customer")
+def s24(spark, folder):
+    from siftwell.operators.reconcile import merge
+
+    rows = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return merge(rows.where("id % 2 = 0"), rows, "id", {}).select("id", "name")

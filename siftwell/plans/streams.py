@@ -1 +1,86 @@
+"""Event logs, schedules and streams."""
 
+from __future__ import annotations
+
+from uuid import uuid4
+
+from pyspark.sql import functions as F
+
+from siftwell.operators import schedules as sc
+from siftwell.plans.registry import query
+from siftwell.session import shared_folder, table
+from siftwell.streaming import ingest as st
+
+
+@query("x01_stream_ingest", "SELECT event_type, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY event_type")
+def x01(spark, folder):
+    """The events as a stream into a table, each once, through a checkpoint in the shared folder."""
+    place = f"{shared_folder(spark)}/ingest-{uuid4().hex}"
+    st.ingest(st.file_stream(spark, f"{folder}/events.parquet"), f"{place}/rows", f"{place}/offsets")
+    return st.ingested(spark, f"{place}/rows", "event_id").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query("x02_dispositions", "SELECT CASE WHEN event_id % 3 = 0 THEN 'inserted' WHEN event_id % 5 = 0 THEN 'changed' ELSE 'reused' END AS disposition, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1")
+def x02(spark, folder):
+    rows = table(spark, folder, "events").select("event_id", "value")
+    batch = rows.where("event_id % 2 = 0").withColumn("value", F.when(F.col("event_id") % 5 == 0, F.col("value") + 1).otherwise(F.col("value")))
+    return st.dispositions(rows.where("event_id % 3 <> 0"), batch, "event_id", ["value"]).groupBy("disposition").agg(F.count("*").alias("n"))
+
+
+ACCEPTED = "SELECT user_id, event_id, sequence, row_number() OVER (PARTITION BY user_id, sequence ORDER BY event_id) = 1 AS accepted FROM (SELECT user_id, event_id, event_id // 3 AS sequence FROM events)"
+
+
+@query("x03_monotone_log", ACCEPTED)
+def x03(spark, folder):
+    rows = table(spark, folder, "events").select("user_id", "event_id", F.floor(F.col("event_id") / 3).alias("sequence"))
+    return st.accepted_of_log(rows, "user_id", "event_id", "sequence")
+
+
+@query("x03b_monotone_stream", ACCEPTED)
+def x03b(spark, folder):
+    """The same as a stateful stream, with the state kept between micro-batches."""
+    rows = st.file_stream(spark, f"{folder}/events.parquet").select("user_id", "event_id", F.floor(F.col("event_id") / 3).alias("sequence"))
+    return st.run_to_table(st.monotone_log(rows, "user_id", "event_id", "sequence"), f"log_{uuid4().hex}")
+
+
+@query("x04_outbox", "SELECT user_id, event_id FROM events e WHERE event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM events a WHERE a.user_id = e.user_id AND a.event_type = 'error' AND a.event_id = e.event_id + 1)")
+def x04(spark, folder):
+    rows = table(spark, folder, "events").select("user_id", "event_id", "event_type")
+    acked = rows.where("event_type = 'error'").select("user_id", (F.col("event_id") - 1).alias("event_id"))
+    return sc.unacknowledged(rows.where("event_type <> 'error'"), acked, ["user_id", "event_id"]).select("user_id", "event_id")
+
+
+@query("x06_due_occurrences", """WITH o AS (SELECT c_custkey AS id, CAST(d AS DATE) AS day FROM customer, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-05', INTERVAL 1 DAY) AS g(d) WHERE d <= TIMESTAMP '2024-01-04'),
+  x AS (SELECT c_custkey AS id, DATE '2024-01-01' + CAST(c_custkey % 5 AS INTEGER) AS day FROM customer WHERE c_custkey % 3 = 0)
+  SELECT id, max(day) AS claimed, count(*) - 1 AS skipped FROM o WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.id = o.id AND x.day = o.day) GROUP BY id""")
+def x06(spark, folder):
+    k = F.col("c_custkey")
+    plans = table(spark, folder, "customer").select(k.alias("id"), F.lit("2024-01-01").cast("date").alias("first"), F.lit("2024-01-05").cast("date").alias("last"))
+    done = table(spark, folder, "customer").where("c_custkey % 3 = 0").select(k.alias("id"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 5).cast("int")).alias("day"))
+    return sc.due_occurrences(plans, done, "id", "first", "last", F.lit("2024-01-04").cast("date"))
+
+
+@query("x07_retention", "SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-08' AND user_id NOT IN (SELECT conv_id FROM conversations) THEN NULL ELSE props END AS props FROM events")
+def x07(spark, folder):
+    pinned = table(spark, folder, "conversations").select(F.col("conv_id").alias("user_id"))
+    out = sc.compacted(table(spark, folder, "events"), pinned, "user_id", "ts", F.lit("2024-01-08").cast("timestamp_ntz"), "props")
+    return out.select("event_id", "props")
+
+
+@query("x08_retry_state", """WITH a AS (SELECT user_id, count(*) AS n, max(ts) AS t FROM events WHERE event_type = 'error' AND value > 20 GROUP BY user_id)
+  SELECT user_id, CASE WHEN n >= 12 THEN 'exhausted' WHEN floor(epoch(TIMESTAMP '2024-02-01') - floor(epoch(t))) < least(2000000, 600 * pow(2, n - 1)) THEN 'waiting' ELSE 'ready' END AS state FROM a""")
+def x08(spark, folder):
+    rows = table(spark, folder, "events").where("event_type = 'error' and value > 20").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("t"))
+    return rows.select("user_id", sc.retry_state(F.col("n"), F.col("t"), F.lit("2024-02-01").cast("timestamp_ntz"), 600, 12, 2_000_000).alias("state"))
+
+
+@query("x09_freshness_gate", "SELECT user_id, max(ts) < TIMESTAMP '2024-01-20' AS sync FROM events WHERE event_type <> 'error' GROUP BY user_id")
+def x09(spark, folder):
+    return table(spark, folder, "events").where("event_type <> 'error'").groupBy("user_id").agg((F.max("ts") < F.lit("2024-01-20").cast("timestamp_ntz")).alias("sync"))
+
+
+@query("x11_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS finish, count(*) AS n FROM s GROUP BY user_id, k""")
+def x11(spark, folder):
+    out = st.sessions(table(spark, folder, "events"), "user_id", "ts", "2 hours")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("finish"), "n")
