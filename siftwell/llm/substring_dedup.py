@@ -76,7 +76,7 @@ def _blocks(window: int, k: int):
         for batch in batches:
             ids_all = batch.column(0).to_numpy(zero_copy_only=False)
             offs, data = tw.buffers(batch.column(1))
-            for a, b in tw.pieces(offs, 4 << 20):  # large, as repeats within a piece don't travel
+            for a, b in tw.pieces(offs, 2 << 20):  # large, as repeats within a piece don't travel
                 starts, ends, rows = tw.spans(data, offs[a : b + 1])
                 if len(starts) < window:
                     continue
