@@ -7,8 +7,8 @@ of the documents share keeps its seeds. A document that has at least two seeds o
 aligned with it: local alignment of words, +2 for equal ones, -1 for a change, insertion or deletion, in the stretches around
 its seeds. The score is the alignment's share of the item's full score; ``THRESHOLD`` and more is reported.
 
-The items' hashes filter the documents as a broadcast while they are at most ``BROADCAST`` (checked); beyond that all runs of
-the documents are joined with them.
+While the items have at most ``BROADCAST`` runs (checked), their hashes filter the documents as a broadcast and their seeds meet
+the hits as one, so a run that many documents share stays where it was read; beyond that both are joins.
 
 Defined results: items of under N words, null texts and rows with null id have no runs and no result; rows of one id are one
 document with each text aligned by itself; an item id that is repeated counts each text; empty tables give an empty result.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from siftwell.llm import words as tw
 from siftwell.session import cut_lineage
 
-N, LEAST, THRESHOLD, BROADCAST = 3, 8, 0.5, 2_000_000
+N, LEAST, THRESHOLD, BROADCAST = 3, 8, 0.5, 500_000
 MATCH, OTHER = 2, -1
 
 _FOLD = np.arange(256)
@@ -135,9 +135,9 @@ def leaks(
     """id, item, score, seeds (hits of seeds), low (first word of the aligned stretch), end (word after the alignment)."""
     own = tw.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     tests = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null").distinct()
-    grams = tests.mapInArrow(_runs(None, n), "gram long, item long, place int")
-    distinct = cut_lineage(grams.select("gram").distinct())
-    if distinct.count() <= broadcast_limit:
+    grams = cut_lineage(tests.mapInArrow(_runs(None, n), "gram long, item long, place int"))
+    distinct, few = grams.select("gram").distinct(), grams.count() <= broadcast_limit
+    if few:
         known = np.sort(np.array([r.gram for r in distinct.collect()], np.int64).view(np.uint64))
         wanted = docs.sparkSession.sparkContext.broadcast(known)
         hits = own.mapInArrow(_runs(wanted, n), "gram long, id long, at int")
@@ -149,7 +149,8 @@ def leaks(
     rank = occurring.select("item", "gram", "docs").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("docs", "gram")))
     seeds = rank.withColumn("number", F.count("*").over(Window.partitionBy("item"))).where(F.col("rank") <= F.greatest(F.lit(LEAST), F.ceil(F.col("number") * 2 / 3)))
     seeds = seeds.withColumn("need", F.least(F.lit(2), F.col("number"))).join(occurring.select("item", "gram", "place"), ["item", "gram"])
-    met = hits.join(seeds.select("item", "gram", "place", "need"), "gram")
+    seeds = seeds.select("item", "gram", "place", "need")  # no more rows than the items have runs
+    met = hits.join(F.broadcast(seeds) if few else seeds, "gram")
     pairs = met.groupBy("id", "item").agg(F.collect_list(F.struct("at", "place")).alias("seeds"), F.count_distinct("gram").alias("found"), F.max("need").alias("need"))
     pairs = pairs.where("found >= need").join(tests.mapInArrow(_items, "item long, words array<long>"), "item")
     asked = pairs.groupBy("id").agg(F.collect_list(F.struct("item", "words", "seeds")).alias("asked"))
