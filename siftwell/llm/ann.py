@@ -201,7 +201,7 @@ def _rank(k: int):
                 edge = np.partition(rough, max(0, rough.shape[1] - k - 1), axis=1)[:, max(0, rough.shape[1] - k - 1)]
                 for i, line in enumerate(rough):
                     near = np.flatnonzero(line >= edge[i] - 1e-9 * (1 + abs(edge[i])))
-                    exact = (x[near] * q[a + i]).sum(axis=1)
+                    exact = np.add.accumulate(x[near] * q[a + i], axis=1)[:, -1]  # from the first component to the last
                     order = np.lexsort((first[near], -exact))[: k + 1]
                     pairs = [(-exact[j], v) for j in order for v in own_ids[near[j]] if v != asked[a + i]]
                     qids.append(int(asked[a + i]))
