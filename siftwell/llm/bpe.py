@@ -17,6 +17,7 @@ import base64
 import functools
 import heapq
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from siftwell.llm import words as tw
 
 LONG, CACHE = 256, 200_000
+#: Bytes from which a text is encoded in runs of so many matches, and ids that are decoded at a time.
+LARGE, RUN = 4 << 20, 200_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -218,18 +221,24 @@ def cache(path: str) -> Cache:
 
 def _encode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, find = cache(path), regex.compile(pattern).findall
+        known, rule = cache(path), regex.compile(pattern)
+        find, matches = rule.findall, rule.finditer
         for batch in batches:
             texts = batch.column(1)
             offs, _ = tw.buffers(texts)
             for a, b in tw.pieces(offs, 1 << 20):
-                found, each = [], []
-                for i in range(a, b):
-                    own = find(texts[i].as_py() or "")
-                    found += own
-                    each.append(len(own))
-                ids, size = known.look_up(found)
-                edge = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(each)))]
+                if offs[b] - offs[a] > LARGE:  # one text, in runs of matches
+                    each = (m.group() for m in matches(texts[a].as_py()))
+                    ids = np.concatenate([known.look_up(list(run))[0] for run in batched(each, RUN)] or [np.zeros(0, np.int32)])
+                    edge = np.array([0, len(ids)])
+                else:
+                    found, each = [], []
+                    for i in range(a, b):
+                        own = find(texts[i].as_py() or "")
+                        found += own
+                        each.append(len(own))
+                    ids, size = known.look_up(found)
+                    edge = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(each)))]
                 lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["id", "ids"])
 
@@ -242,7 +251,7 @@ def _decode(path: str):
         for batch in batches:
             cuts = batch.column(1).offsets.to_numpy()
             flat = batch.column(1).values.to_numpy(zero_copy_only=False)
-            out = [vocab.decode(flat[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            out = [b"".join(vocab.decode(flat[k : min(b, k + RUN)].tolist()) for k in range(a, b, RUN)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "ids", "decoded"])
 
     return run

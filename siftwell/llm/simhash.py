@@ -41,25 +41,42 @@ _LANE = (np.arange(8) * 256)[None, :]
 _WEIGHT = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
+def _shingles(words: list[bytes], shingle: int) -> list[bytes]:
+    """Runs of ``shingle`` words, cut out of the joined text."""
+    edge = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=edge[1:])
+    whole = b" ".join(words)
+    return [whole[a:b] for a, b in zip(edge[: len(words) - shingle + 1].tolist(), (edge[shingle:] - 1).tolist(), strict=True)]
+
+
+def _segments(raw: bytes, size: int = 1 << 22) -> Iterator[list[bytes]]:
+    """The words of a text in segments that end between words."""
+    at = 0
+    while at < len(raw):
+        to = min(len(raw), at + size)
+        while to < len(raw) and not tw.SPACES[raw[to]]:
+            to += 1
+        yield raw[at:to].split()
+        at = to
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    if len(words) < shingle:
-        words, count = [b" ".join(words)], 1
-        size = np.array([len(words[0])])
-        starts, ends = np.zeros(1, np.int64), size
-    else:
-        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        edge = np.concatenate(([0], np.cumsum(size)))
-        count = len(words) - shingle + 1
-        starts, ends = edge[:count], edge[shingle:] - 1
-    whole, total = b" ".join(words), np.zeros((8, 8), np.int64)
-    for at in range(0, count, 100_000):
-        own = [whole[a:b] for a, b in zip(starts[at : at + 100_000].tolist(), ends[at : at + 100_000].tolist(), strict=True)]
+    carry: list[bytes] = []
+    total, count = np.zeros((8, 8), np.int64), 0
+
+    def add(own: list[bytes]) -> int:
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(seed)), np.uint64, len(own))
         lanes = hashes.view(np.uint8).reshape(-1, 8) + _LANE
-        total += np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS
+        total[:] += np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS
+        return len(own)
+
+    for words in _segments((text or "").encode().lower()):
+        words = carry + words
+        if len(words) >= shingle:
+            count += add(_shingles(words, shingle))
+        carry = words[-(shingle - 1) :] if shingle > 1 else []
+    if not count and carry:
+        count = add([b" ".join(carry)])
     return int(_WEIGHT[total.ravel() * 2 > count].sum())
 
 

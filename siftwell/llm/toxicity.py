@@ -169,7 +169,8 @@ def letter_codes(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nda
     low, high = int(offs[0]), int(offs[-1])
     raw = data[low:high]
     letters = (raw < 0x80) | (raw >= 0xC0)  # continuation bytes go with the letter that they continue
-    place = np.concatenate(([0], np.cumsum(letters)))
+    place = np.zeros(len(letters) + 1, np.int64 if len(letters) >> 31 else np.int32)
+    np.cumsum(letters, out=place[1:])
     raw, own = raw[letters], place[offs - low]
     codes = _LETTER[raw]
     follow = np.append(codes[1:], PAD) if len(codes) else codes

@@ -39,3 +39,43 @@ def test_stages(spark):
         want_ids = library.encode_ordinary(texts[i])
         assert (n, ids, decoded) == (len(want_ids), hashlib.sha256(" ".join(map(str, want_ids)).encode()).hexdigest(), hashlib.sha256(texts[i].encode()).hexdigest())
     assert sorted(map(tuple, cp.run(spark, folder).collect())) == sorted(rows[5])
+
+
+def test_edge_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, long texts, clashing columns and no rows at all."""
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 8)))
+    text = " ".join(word() for _ in range(60))
+    long = " ".join(word() for _ in range(900_000))  # over 4 MB
+    rows = [(1, text, "en", "s", 1, 7), (1, text, "en", "s", 1, 7), (2, text, None, None, None, None), (None, text, "en", "s", 1, 7), (3, None, "en", "s", 1, 7), (4, "", "en", "s", 1, 7), (5, long, "en", "s", 1, 7), (6, "x" * 3_000_000, "en", "s", 1, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id int").withColumnRenamed("id", "body")
+    spark.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(long.split()[500:540])), (None, "a b c"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now, seen = docs, []
+    for _, stage in cp.STAGES:
+        now = stage(spark, now, str(tmp_path)).cache()
+        seen.append(sorted((-1 if r.doc_id is None else r.doc_id) for r in now.collect()))
+    every = [-1, 1, 1, 2, 3, 4, 5, 6]
+    assert seen == [every, [-1, 1, 1, 3, 5, 6], [-1, 1, 1, 3, 5, 6], [-1, 1, 1, 3, 6], [-1, 1, 1, 3, 6]]
+    none = docs.where("false")
+    for _, stage in cp.STAGES:
+        none = stage(spark, none, str(tmp_path))
+        assert none.count() == 0
+
+
+def test_long_texts_as_short_ones(spark):
+    import numpy as np
+
+    from siftwell.llm import bpe, quality, simhash
+
+    text = ("Some wörds, and more. " * 220_000)[: 9 << 19]
+    assert simhash.fingerprint(text) == fingerprint(text)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = bpe.decode(bpe.encode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), P.path("byte_bpe_50k.tiktoken")).first()
+    assert got.ids == library.encode_ordinary(text) and bytes(got.decoded).decode() == text
+    raw = np.frombuffer(text.encode(), np.uint8)
+    assert quality.features(np.array([0, len(raw)]), raw).shape[0] == 1
