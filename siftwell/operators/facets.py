@@ -22,8 +22,8 @@ def named_query(rows: DataFrame, name: str, wanted: str) -> DataFrame:
     """Rows whose normalised name contains the wanted one or is contained in it; unique or ambiguous on every row."""
     key, ask = tf.name_key(F.col(name)), "".join(c for c in wanted.lower() if c.isalnum() or c in "+#")
     hit = rows.where(F.contains(key, F.lit(ask)) | F.contains(F.lit(ask), key))
-    number = hit.agg(F.count("*").alias("_n"))
-    return hit.crossJoin(F.broadcast(number)).withColumn("status", F.when(F.col("_n") == 1, "unique").otherwise("ambiguous")).drop("_n")  # one row
+    number = hit.agg(F.count("*")).scalar()
+    return hit.withColumn("status", F.when(number == 1, "unique").otherwise("ambiguous"))
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str = "n") -> DataFrame:
@@ -46,11 +46,11 @@ def freshness(rows: DataFrame, key: str, seen: list[str], current_from: str) ->
 
 
 def stage_counts(rows: DataFrame, text_filter: Column | None, stage: str) -> DataFrame:
-    """One pass: groups count rows under the filter; totals come from the groups, which are few."""
+    """Groups count rows under the filter; the totals come from the groups, which are few, as scalar subqueries."""
     keep = F.lit(True) if text_filter is None else F.coalesce(text_filter, F.lit(False))
     groups = rows.groupBy(F.col(stage).alias("stage")).agg(F.count_if(keep).alias("n"), F.count("*").alias("_all"))
-    whole = Window.partitionBy()
-    return groups.withColumn("total", F.sum("n").over(whole)).withColumn("unfiltered", F.sum("_all").over(whole)).where("n > 0").drop("_all")
+    total, every = groups.agg(F.sum("n")).scalar(), groups.agg(F.sum("_all")).scalar()
+    return groups.where("n > 0").select("stage", "n", total.alias("total"), every.alias("unfiltered"))
 
 
 def company_facet(rows: DataFrame, group: str, unit: str, score: str, title: str, id_col: str) -> DataFrame:

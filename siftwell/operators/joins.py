@@ -65,11 +65,18 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, at: str, start:
     return points.withColumn("_bin", bin_of(at)).join(bins, keys).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bin")
 
 
-def overlapping_pairs(events: DataFrame, id_col: str, start: str, end: str, group: str) -> DataFrame:
-    """Pairs of one group with max(start) < min(end), each once, with the stretch they share."""
-    a = events.select(F.col(group), F.col(id_col).alias("first_id"), F.col(start).alias("_s"), F.col(end).alias("_e"))
-    b = events.select(F.col(group), F.col(id_col).alias("second_id"), F.col(start).alias("_s2"), F.col(end).alias("_e2"))
-    met = a.join(b, group).where((F.col("first_id") < F.col("second_id")) & (F.col("_s") < F.col("_e2")) & (F.col("_s2") < F.col("_e")))
+def overlapping_pairs(events: DataFrame, id_col: str, start: str, end: str, group: str, width: int = 86_400) -> DataFrame:
+    """Pairs of one group with max(start) < min(end), each once, with the stretch they share.
+
+    An interval goes to each bin of ``width`` seconds that it touches, and a pair counts in the bin where its overlap begins, so a
+    group of many intervals is met bin by bin and not all with all.
+    """
+    bin_of = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / width)
+    binned = events.where(F.col(start) <= F.col(end)).withColumn("_bin", F.explode(F.sequence(bin_of(start), bin_of(end))))
+    a = binned.select(F.col(group), "_bin", F.col(id_col).alias("first_id"), F.col(start).alias("_s"), F.col(end).alias("_e"))
+    b = binned.select(F.col(group), "_bin", F.col(id_col).alias("second_id"), F.col(start).alias("_s2"), F.col(end).alias("_e2"))
+    met = a.join(b, [group, "_bin"]).where((F.col("first_id") < F.col("second_id")) & (F.col("_s") < F.col("_e2")) & (F.col("_s2") < F.col("_e")))
+    met = met.where(F.col("_bin") == F.floor(F.unix_seconds(F.greatest("_s", "_s2").cast("timestamp")) / width))
     return met.select(group, "first_id", "second_id", F.greatest("_s", "_s2").alias("overlap_start"), F.least("_e", "_e2").alias("overlap_end"))
 
 

@@ -35,9 +35,9 @@ def p02(spark, folder):
     """The page together with the number of all matches."""
     keep = p.all_of(p.like_any("1-URGENT", "title", "organization", "company_name"), F.col("cohort") == 2027, F.col("batch").isin("early", "formal"), F.col("job_score") >= 40)
     hit = jobs(spark, folder).where(keep)
-    total = hit.agg(F.count("*").alias("total"))
+    total = hit.agg(F.count("*")).scalar()
     order = [F.desc_nulls_last("job_score"), F.desc("first_seen"), F.col("id")]
-    return page(hit.select("id", "title", "job_score", "first_seen"), order, 5, 25).crossJoin(F.broadcast(total))  # one row
+    return page(hit.select("id", "title", "job_score", "first_seen"), order, 5, 25).withColumn("total", total)
 
 
 @query("p03_browse_text", f"{WITH} SELECT id, title FROM jobs WHERE {BASE} AND position('000001' IN lower(concat_ws(' ', coalesce(company_name, ''), coalesce(title, ''), coalesce(organization, '')))) > 0")

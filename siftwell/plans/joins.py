@@ -34,8 +34,8 @@ def j04(spark, folder):
     """Inner to analyses, left to companies, with the scope's size beside the rows."""
     found = analyses(spark, folder).where("analysis_score > 90")
     rows = job_rows(spark, folder).join(found, F.col("id") == F.col("job_id")).join(companies(spark, folder), "company_id", "left")
-    size = found.agg(F.count("*").alias("scope"))  # ids of analyses are unique, so their number is the scope's
-    return rows.select("id", "company_name", "analysis_score").crossJoin(F.broadcast(size))  # one row
+    size = found.agg(F.count("*")).scalar()  # ids of analyses are unique, so their number is the scope's
+    return rows.select("id", "company_name", "analysis_score", size.alias("scope"))
 
 
 @query("j05_task_calls", "SELECT o_orderkey, count(*) AS calls, round(sum(l_quantity), 2) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
@@ -127,7 +127,7 @@ def j14(spark, folder):
   SELECT a.user_id, a.event_id AS first_id, b.event_id AS second_id, greatest(a.s, b.s) AS overlap_start, least(a.e, b.e) AS overlap_end FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.s < b.e AND b.s < a.e""")
 def j15(spark, folder):
     spans = table(spark, folder, "events").where(F.col("event_type").isin("signup", "purchase")).select("event_id", "user_id", F.col("ts").alias("s"), (F.col("ts") + F.expr("INTERVAL 90 MINUTE")).alias("e"))
-    return j.overlapping_pairs(spans, "event_id", "s", "e", "user_id")
+    return j.overlapping_pairs(spans, "event_id", "s", "e", "user_id", width=5400)
 
 
 @query("j16_fill_missing", """WITH r AS (SELECT c_custkey AS id, upper(c_name) AS name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS segment FROM customer), c AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_custkey % 3 <> 0)

@@ -88,10 +88,10 @@ def v07(spark, folder):
 
 @query("v09_filtered_vectors", "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT e AS qe FROM v WHERE vec_id = 7) SELECT vec_id, round(greatest(0, 1 - (1 - list_dot_product(e, qe) / sqrt(list_dot_product(e, e)) / sqrt(list_dot_product(qe, qe)))), 6) AS score FROM v, q WHERE label = 3 ORDER BY list_dot_product(e, qe) / sqrt(list_dot_product(e, e)) DESC, vec_id LIMIT 8")
 def v09(spark, folder):
-    """T5: exact search within a metadata filter; the one query vector is a constant of the plan."""
+    """T5: exact search within a metadata filter; the one query vector is a scalar subquery."""
     rows = table(spark, folder, "embeddings")
-    one = F.broadcast(rows.where("vec_id = 7").select(F.col("embedding").alias("q")))
-    scored = rows.where("label = 3").crossJoin(one).select("vec_id", v.cosine("embedding", "q").alias("c"))
+    one = rows.where("vec_id = 7").select("embedding").scalar()
+    scored = rows.where("label = 3").withColumn("q", one).select("vec_id", v.cosine("embedding", "q").alias("c"))
     return scored.orderBy(F.desc("c"), "vec_id").limit(8).select("vec_id", F.round(F.greatest(F.col("c"), F.lit(0.0)), 6).alias("score"))
 
 
