@@ -198,3 +198,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         labels("base").alias("base_labels"), F.array_sort(F.array_union(labels("base"), labels("kept"))).alias("labels"),
         F.coalesce(F.array_max(F.transform("kept", lambda h: h["weight"])), F.lit(0.0)).alias("score"),
     )
+
+
+def oracle() -> str:
+    """The same scan as SQL for DuckDB over ``documents``: the rules as a table joined with the marked contexts."""
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    plain = lambda r: r["pattern"].removeprefix("(?<= )").removesuffix("(?= )")
+    table = ", ".join(f"({i}, {quote(r['label'])}, {quote(r['need'])}, {quote(' ' + plain(r) + ' ')}, {r['weight']}, {str(r['base']).lower()})" for i, r in enumerate(rules()))
+    return rf"""
+        WITH rules(ord, label, need, pattern, weight, base) AS (VALUES {table}),
+        w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM documents),
+        p AS (SELECT doc_id, ws, unnest(list_filter(range(1, len(ws) + 1), lambda i: regexp_matches(ws[i], {quote(KEYWORD)}))) AS i FROM w),
+        c AS (SELECT doc_id, i - 1 AS place, ' ' || CASE WHEN i > 1 THEN array_to_string(ws[greatest(i - {REACH}, 1):i - 1], ' ') || ' ' ELSE '' END || '@'
+          || regexp_replace(array_to_string(ws[i:i + {REACH}], ' '), '^([al]?gpl)(v[123])', '\1 \2') || ' ' AS ctx FROM p),
+        m AS (SELECT doc_id, place, ctx, r.*, regexp_extract(ctx, r.pattern) AS found FROM c JOIN rules r ON contains(ctx, need) AND regexp_matches(ctx, r.pattern)),
+        n AS (SELECT *, substr(found, 2, length(found) - 2) AS hit FROM m),
+        h AS (SELECT *, place - (length(split_part(hit, '@', 1)) - length(replace(split_part(hit, '@', 1), ' ', ''))) AS s, length(hit) - length(replace(hit, ' ', '')) + 1
+          - CASE WHEN regexp_matches(ctx, '@[al]?gpl v[123] ') AND contains(hit, 'gpl v') THEN 1 ELSE 0 END AS size FROM n),
+        k AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.doc_id = h.doc_id AND g.ord < h.ord AND g.s <= h.s AND g.s + g.size >= h.s + h.size)),
+        b AS (SELECT doc_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h WHERE base GROUP BY doc_id),
+        l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM h WHERE base UNION SELECT doc_id, label FROM k) GROUP BY doc_id),
+        x AS (SELECT doc_id, CAST(max(weight) AS DOUBLE) AS score FROM k GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+        FROM w LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN x USING (doc_id)"""

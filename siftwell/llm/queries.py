@@ -92,6 +92,7 @@ ORACLES: dict[str, str] = {
         s AS (SELECT a.vec_id AS query_id, b.vec_id, list_reduce(list_transform(list_zip(a.e, b.e), lambda x: x[1] * x[2]), lambda s, x: s + x) AS score FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op3_license_scan": licenses.oracle(),
     "op2_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         t AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
