@@ -214,14 +214,15 @@ class Cache:
         return self.ids[source], size
 
 
-@functools.lru_cache(maxsize=2)
-def cache(path: str) -> Cache:
-    return Cache(vocabulary(path))
+def _decoded(vocab: Vocabulary, lists: pa.ListArray) -> pa.Array:
+    cuts, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    out = [b"".join(vocab.decode(flat[k : min(b, k + RUN)].tolist()) for k in range(a, b, RUN)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.array(out, pa.binary())
 
 
-def _encode(path: str, pattern: str):
+def _encode(path: str, pattern: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rule = cache(path), regex.compile(pattern)
+        known, rule = Cache(vocabulary(path)), regex.compile(pattern)
         find, matches = rule.findall, rule.finditer
         for batch in batches:
             texts = batch.column(1)
@@ -240,7 +241,8 @@ def _encode(path: str, pattern: str):
                     ids, size = known.look_up(found)
                     edge = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(each)))]
                 lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["id", "ids"])
+                more = [_decoded(known.vocab, lists)] if decoded else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, *more], names=["id", "ids", *(["decoded"] if decoded else [])])
 
     return run
 
@@ -249,18 +251,15 @@ def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            cuts = batch.column(1).offsets.to_numpy()
-            flat = batch.column(1).values.to_numpy(zero_copy_only=False)
-            out = [b"".join(vocab.decode(flat[k : min(b, k + RUN)].tolist()) for k in range(a, b, RUN)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _decoded(vocab, batch.column(1))], names=["id", "ids", "decoded"])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ids (array of int) of every row."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """id and ids (array of int) of every row; with ``decoded`` also what decode() gives for them, in the same pass."""
     own = tw.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(_encode(path, pattern), "id long, ids array<int>")
+    return own.mapInArrow(_encode(path, pattern, decoded), "id long, ids array<int>" + (", decoded binary" if decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -66,7 +66,7 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_digests(docs: DataFrame) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    out = bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select(
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")

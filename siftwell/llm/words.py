@@ -12,6 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Arrow's own pools keep what they once had; the system's gives large buffers back, which matters where workers are reused.
+pa.set_memory_pool(pa.system_memory_pool())
+
 PIECE = 1 << 20
 BATCH_ROWS, BATCH_BYTES = 1024, "8m"
 ODD = 0x9E3779B97F4A7C15

@@ -32,6 +32,8 @@ def test_bpe_as_the_library(spark, library):
     out = bpe.decode(bpe.encode(df, RANKS, P.PATTERN), RANKS).collect()
     want = sorted(((-1 if i is None else i), library.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows)
     assert sorted(((-1 if r.id is None else r.id), r.ids, bytes(r.decoded)) for r in out) == want
+    both = bpe.encode(df, RANKS, P.PATTERN, decoded=True).collect()
+    assert sorted(((-1 if r.id is None else r.id), r.ids, bytes(r.decoded)) for r in both) == want
     assert bpe.decode(bpe.encode(df.where("false"), RANKS, P.PATTERN), RANKS).count() == 0
 
 
