@@ -16,16 +16,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null")
     loops = cut_lineage(ends.distinct())
-    now, seen = loops.where("u <> v"), None
+    now, seen, size = loops.where("u <> v"), None, 2 * loops.count()
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         now = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v")))
-        now = cut_lineage(now.where("u <> v").distinct())
+        now = cut_lineage(now.where("u <> v").distinct(), size)  # a round never has more edges than ends
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == seen:
+        if mark == seen or mark[0] == 0:
             break
         seen = mark
     roots = loops.select("u").unionAll(loops.select("v")).distinct().withColumnRenamed("u", "node")

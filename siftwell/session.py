@@ -39,9 +39,17 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there."""
+ROWS_A_FILE = 200_000
+
+
+def cut_lineage(df: DataFrame, at_most: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it from there.
+
+    Where it is known to have ``at_most`` so many narrow rows, they go into as few files as hold them.
+    """
     shared_folder(df.sparkSession)
+    if at_most is not None:
+        df = df.coalesce(max(1, -(-at_most // ROWS_A_FILE)))
     return df.checkpoint(eager=True)
 
 
