@@ -25,8 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.session import cut_lineage
-
 TREES, SAMPLE, RECALL, EXACT = 8, 32_768, 0.98, 2_000
 BLOCK, QUERY_BLOCK = 2048, 2048
 
@@ -228,7 +226,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     packed = every.mapInArrow(_distinct(k + 1), "vec binary, ids array<long>")
     # two steps: one vector that is most of the table gathers short lists only
     salted = packed.groupBy("vec", F.pmod(F.spark_partition_id(), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
-    distinct = cut_lineage(salted.groupBy("vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")))
+    distinct = salted.groupBy("vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")).persist()
     n = distinct.count()
     norm = every.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0] ** 0.5
     sample = distinct.orderBy(F.xxhash64("vec")).limit(SAMPLE).select("vec").collect()

@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm import words as tw
-from siftwell.session import cut_lineage
 
 N, LEAST, THRESHOLD, BROADCAST = 3, 8, 0.5, 500_000
 MATCH, OTHER = 2, -1
@@ -135,7 +134,7 @@ def leaks(
     """id, item, score, seeds (hits of seeds), low (first word of the aligned stretch), end (word after the alignment)."""
     own = tw.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     tests = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null").distinct()
-    grams = cut_lineage(tests.mapInArrow(_runs(None, n), "gram long, item long, place int"))
+    grams = tests.mapInArrow(_runs(None, n), "gram long, item long, place int").persist()
     distinct, few = grams.select("gram").distinct(), grams.count() <= broadcast_limit
     if few:
         known = np.sort(np.array([r.gram for r in distinct.collect()], np.int64).view(np.uint64))
@@ -143,7 +142,7 @@ def leaks(
         hits = own.mapInArrow(_runs(wanted, n), "gram long, id long, at int")
     else:
         hits = own.mapInArrow(_runs(None, n), "gram long, id long, at int").join(distinct, "gram", "left_semi")
-    hits = cut_lineage(hits)
+    hits = hits.persist()  # small, and lost parts are read again
     spread = hits.select("gram", "id").distinct().groupBy("gram").agg(F.count("*").alias("docs"))
     occurring = grams.select("item", "gram", "place").join(spread, "gram")
     rank = occurring.select("item", "gram", "docs").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("docs", "gram")))

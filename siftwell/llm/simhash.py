@@ -288,7 +288,7 @@ def near_duplicates(
 ) -> DataFrame:
     """id, fp, component of every row."""
     every = cut_lineage(fingerprints(docs, id_col, text_col, shingle, seed))
-    distinct = cut_lineage(every.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")))
+    distinct = every.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")).persist()
     # one id may stand for several fingerprints, if rows repeat it; that only joins what is one document anyway
     found = connected_components(links(distinct, radius, block))
     named = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component"))

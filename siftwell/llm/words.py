@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 pa.set_memory_pool(pa.system_memory_pool())
 
 PIECE = 1 << 20
-BATCH_ROWS, BATCH_BYTES = 1024, "8m"
+BATCH_ROWS, BATCH_BYTES = 1024, "4m"
 ODD = 0x9E3779B97F4A7C15
 #: Bytes that separate words: space and the ASCII controls from tab to carriage return.
 SPACES = np.zeros(256, bool)
