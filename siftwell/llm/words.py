@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 pa.set_memory_pool(pa.system_memory_pool())
 
 PIECE = 1 << 20
-BATCH_ROWS, BATCH_BYTES = 1024, "4m"
+BATCH_ROWS, BATCH_BYTES, READER_ROWS = 1024, "4m", 256
 ODD = 0x9E3779B97F4A7C15
 #: Bytes that separate words: space and the ASCII controls from tab to carriage return.
 SPACES = np.zeros(256, bool)
@@ -29,10 +29,12 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def bounded(docs: DataFrame) -> DataFrame:
-    """The same rows; from now on the session sends them to Python in batches of a few MB, whatever the texts' lengths."""
+    """The same rows; from now on the session reads texts and sends them to Python in batches of a few MB."""
     conf = docs.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(BATCH_ROWS, int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    # the reader's vectors hold so many rows of text at once, and grow with the longest
+    conf.set("spark.sql.parquet.columnarReaderBatchSize", str(min(READER_ROWS, int(conf.get("spark.sql.parquet.columnarReaderBatchSize")))))
     return docs
 
 
