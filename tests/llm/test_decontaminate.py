@@ -68,3 +68,39 @@ def test_edges(spark):
     df = spark.createDataFrame([(7, "x a b c y", 1), (7, "x a b c y", 1), (8, None, 1)], "doc_id long, text string, item int")
     assert sorted((r.id, r.item, r.score) for r in de.leaks(df, bench).collect()) == [(7, 4, 1.0), (7, 4, 1.0)]
     assert de.leaks(df.where("false"), bench).count() == 0 and de.leaks(df, bench.where("false")).count() == 0
+
+
+def test_edited_beside_exact_copies(spark):
+    """Copies with a fifth to three tenths of the words changed, of items that stand in the corpus unchanged too; all pairs aligned."""
+    rng = random.Random(8)
+    common, rare = [f"c{i}" for i in range(15)], [f"r{i}" for i in range(3000)]
+    sentence = lambda n: [rng.choice(common if rng.random() < 0.3 else rare) for _ in range(n)]
+    items = {i: sentence(30) for i in range(8)}
+    docs, want = {}, set()
+    for d in range(120):
+        i, part, kind = d % 8, list(items[d % 8]), d // 8 % 5
+        if kind == 1:  # every 4th word
+            part[3::4] = [f"x{d}y{k}" for k in range(len(part[3::4]))]
+        elif kind == 2:
+            for k in rng.sample(range(30), rng.randrange(6, 10)):
+                part[k] = f"x{d}y{k}"
+        elif kind == 3:  # one run in common, words put in between the others
+            part = part[:3] + [w for k, p in enumerate(part[3:]) for w in ([p, f"x{d}y{k}"] if k % 2 else [p])]
+        elif kind == 4:
+            part = sentence(30)
+        docs[d] = sentence(rng.randrange(40)) + part + sentence(rng.randrange(40))
+        want |= {(d, i)} if kind < 4 else set()
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string").repartition(3)
+    brute = {(d, i): s / (2 * len(item)) for d, w in docs.items() for i, item in items.items() if (s := plain_align(item, w)) >= de.THRESHOLD * 2 * len(item)}
+    got = [(r.id, r.item, r.score, r.seeds, r.low, r.end) for r in de.leaks(df, bench).collect()]
+    assert want <= set(brute) and {(d, i): s for d, i, s, *_ in got} == brute
+    assert sorted(got) == sorted(tuple(r) for r in de.leaks(df, bench, broadcast_limit=0).collect())
+
+
+def test_index():
+    """One row a run and item, with the run's places; an item may repeat a run."""
+    words = [np.array(w, np.uint64) for w in ([1] * 9, [1, 1, 1, 2, 3], [4, 5, 6])]
+    x = de.index(np.arange(3), words, 3)
+    assert [len(w) - 2 for w in words] == [int(x.count[x.item == i].sum()) for i in range(3)]
+    assert (x.first[x.item == 0], x.last[x.item == 0]) == ([0], [6])
