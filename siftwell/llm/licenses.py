@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Words of context on either side of a keyword; no rule reaches farther.
-REACH = 12
 
 # Base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -131,6 +129,15 @@ def rules() -> tuple[dict, ...]:
     return tuple(out)
 
 
+def _reach(pattern: str) -> int:
+    """The most words that a rule takes on one side of its keyword; words of all alternatives count."""
+    sides = pattern.removeprefix("(?<= )").removesuffix("(?= )").replace("(?:[^ ]+ ){0,6}", " " * 6).split("@")
+    return max(side.count(" ") for side in sides)
+
+
+#: Words of context on either side of a keyword; no rule reaches farther.
+REACH = max(_reach(r["pattern"]) for r in rules())
+
 #: What marks a keyword among the words, and the same before words are cut.
 KEYWORD = r"^(?:license|licence|licensed|spdx|cc|[al]?gpl|[al]?gplv[123])$"
 GATE = r"(?i)licen[cs]e|spdx|gpl|(?<![0-9a-z])cc[^0-9a-z]"

@@ -68,3 +68,37 @@ def test_nulls_and_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     for r in out.collect():
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == plain(texts[r.doc_id])
+
+
+def longest(tree):
+    """Most spaces that a parsed regex takes."""
+    total = 0
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            total += arg == 32
+        elif name == "MAX_REPEAT":
+            own = longest(arg[2])
+            total += own and int(arg[1]) * own
+        elif name == "SUBPATTERN":
+            total += longest(arg[-1])
+        elif name == "BRANCH":
+            total += max(map(longest, arg[1]))
+    return total
+
+
+def test_context_holds_every_rule():
+    for r in li.rules():
+        assert max(longest(re._parser.parse(x)) for x in r["pattern"].removeprefix("(?<= )").removesuffix("(?= )").split("@")) <= li.REACH, r
+
+
+def test_standard_headers(spark):
+    later = "License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    start = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+    cases = {
+        1: ("General Public", "3", "gpl-3.0"), 2: ("General Public", "2", "gpl-2.0"), 3: ("Lesser General Public", "3", "lgpl-3.0"), 4: ("Lesser General Public", "2.1", "lgpl-2.1"),
+        5: ("Library General Public", "2", "lgpl-2.0"), 6: ("Affero General Public", "3", "agpl-3.0"),
+    }
+    got = scanned(spark, [(i, f"{start}{name} {later.format(v)} It comes without any warranty.") for i, (name, v, _) in cases.items()])
+    for i, (_, _, label) in cases.items():
+        assert f"{label}-or-later" in got[i].labels and label not in got[i].labels, got[i].labels
