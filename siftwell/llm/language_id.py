@@ -5,8 +5,8 @@ A text is cut into windows of ``LENGTH`` bytes (the last one padded; each sees t
 A filter on one-hot bytes is a sum of table rows, so inference looks up byte pairs. A text's distribution is the mean of its
 windows', weighed by their letters, and every window of the whole text counts.
 
-The network is trained with Adam on the driver, on a bounded sample: ``PER_LANGUAGE`` texts of each language, ``PER_TEXT`` windows
-of each. Weights are a few hundred kB and go to the tasks as a broadcast.
+The network is trained with Adam on the driver, on a bounded sample: ``PER_LANGUAGE`` texts of each language (fewer where all would be over
+``ROWS``), ``PER_TEXT`` windows of each. Weights are a few hundred kB and go to the tasks as a broadcast.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned.
 """
@@ -19,13 +19,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm import words as tw
 
 WIDTHS, FILTERS, LENGTH = (2, 3, 4), 12, 128
-PER_LANGUAGE, PER_TEXT = 800, 4
+#: Texts learned from, of each language and of all, and windows of each.
+PER_LANGUAGE, ROWS, PER_TEXT = 800, 100_000, 4
 _LETTER = regex.compile(r"\p{L}")
 _COUNTS = np.zeros(256, bool)
 _COUNTS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -120,34 +121,37 @@ def fit(windows: np.ndarray, y: np.ndarray, languages: list[str], epochs: int =
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, per_language: int = PER_LANGUAGE) -> Network | None:
-    own = tw.bounded(docs).where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).where(F.crc32(F.col(id_col).cast("string")) % folds != held)
+    """The network, or None where no row can be learned from. Every value of ``lang_col`` is learned.
+
+    Of each language at most ``per_language`` rows, and of all together ``ROWS``, the first by a hash of id and text.
+    """
+    own = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).where(F.crc32(F.col(id_col).cast("string")) % folds != held)
     own = own.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    names = [r.lang for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()]
-    picked = None
-    for name in names:
-        some = own.where(F.col("lang") == name).select("id").orderBy(F.xxhash64("id"), "id").limit(per_language)
-        picked = some if picked is None else picked.unionAll(some)
-    if picked is None:
+    counts = {r.lang: r["count"] for r in own.groupBy("lang").count().collect()}  # as many as the network has outputs
+    if not counts:
         return None
+    each = max(1, min(per_language, ROWS // len(counts)))
+    share = docs.sparkSession.createDataFrame([(k, min(1.0, (each + 8 * each**0.5 + 64) / n)) for k, n in counts.items()], "lang string, share double")
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offs, data = tw.buffers(batch.column(1))
-            ids, langs, windows = [], [], []
+            windows = []
             for i in range(batch.num_rows):
                 all_of = cut(data[offs[i] : offs[i + 1]])
-                for j in np.unique(np.linspace(0, len(all_of) - 1, PER_TEXT).astype(int)):
-                    ids.append(batch.column(0)[i].as_py())
-                    langs.append(batch.column(2)[i].as_py())
-                    windows.append(all_of[j].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(windows, pa.binary())], names=["id", "lang", "window"])
+                windows.append([all_of[j].tobytes() for j in np.unique(np.linspace(0, len(all_of) - 1, PER_TEXT).astype(int))])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(windows, pa.list_(pa.binary()))], names=["lang", "h", "windows"])
 
-    # at most 256 languages of per_language ids, so the ids may be broadcast
-    rows = own.join(F.broadcast(picked.distinct()), "id").mapInArrow(sample, "id long, lang string, window binary").collect()
-    rows.sort(key=lambda r: (r.id, r.lang, bytes(r.window)))
-    languages = sorted(names)
-    windows = np.frombuffer(b"".join(bytes(r.window) for r in rows), np.uint8).reshape(-1, LENGTH + max(WIDTHS) - 1)
-    return fit(windows, np.array([languages.index(r.lang) for r in rows]), languages)
+    # one pass: a limit on the hash by language, then the first rows of what is left
+    own = own.join(F.broadcast(share), "lang").withColumn("h", F.xxhash64("id")).where(F.col("h") < F.col("share") * 2.0**64 - 2.0**63)
+    drawn = own.select("id", "text", "lang", "h").mapInArrow(sample, "lang string, h long, windows array<binary>")
+    first = Window.partitionBy("lang").orderBy("h", "windows")
+    rows = drawn.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).select("lang", "windows").collect()
+    pairs = sorted((r.lang, bytes(w)) for r in rows for w in r.windows)
+    languages = sorted(counts)
+    number = {name: i for i, name in enumerate(languages)}
+    windows = np.frombuffer(b"".join(w for _, w in pairs), np.uint8).reshape(-1, LENGTH + max(WIDTHS) - 1)
+    return fit(windows, np.array([number[name] for name, _ in pairs]), languages)
 
 
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,4 +182,4 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
             score = np.where(letters, share.max(axis=1) if n else 0, 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["id", "lang", "score"])
 
-    return tw.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, lang string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, lang string, score double")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm import words as tw
@@ -83,19 +83,18 @@ def feature_rows(texts: DataFrame, maker: Callable[[np.ndarray, np.ndarray], np.
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 0, per_class: int = PER_CLASS) -> DataFrame:
-    """id, text and y of the labelled training rows: at most ``per_class`` of either label, in the order of a hash of the id.
+    """id, y, text and place of the labelled training rows: at most ``per_class`` ids of either label, placed by a hash of the id.
 
     Rows with crc32(id) mod ``folds`` equal to ``held`` are left out. The list of ids is bounded by 2 * per_class, so it is
-    broadcast.
+    broadcast; of rows that share an id the smallest text counts, so the sample is bounded by rows too.
     """
     own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     own = own.where(F.crc32(F.col("id").cast("string")) % folds != held)
-    picked = None
-    for y in (0, 1):
-        some = own.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
-        picked = some if picked is None else picked.unionAll(some)
-    texts = tw.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(picked), "id")
+    sizes = {r.y: r["count"] for r in own.groupBy("y").count().collect()}
+    parts = [tw.hash_sample(own.where(F.col("y") == y), "id", sizes.get(y, 0), per_class) for y in (0, 1)]
+    picked = parts[0].unionAll(parts[1]).withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"))))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(picked), "id").groupBy("id", "y", "place").agg(F.min("text").alias("text"))
 
 
 def collect_training(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -264,14 +264,14 @@ def _links(radius: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = 42) -> DataFrame:
     """id and fp (the 64 bits as a signed long) of every row."""
-    own = tw.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return own.mapInArrow(_fingerprints(shingle, seed), "id long, fp long")
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Edges a, b between ids that span the components of all pairs within the radius. ``distinct`` has fp (unique) and id."""
     n = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").collect()
+    sample = tw.hash_sample(distinct.select("fp"), "fp", n, SAMPLE).collect()
     parts = plan(np.array([r.fp for r in sample], np.int64).view(np.uint64), n, radius)
     rows = distinct.select("fp", "id").mapInArrow(_signatures(parts), "part int, key long, fp long, id long, home int")
     live = rows.groupBy("part", "key").agg(F.count("*").alias("n"), F.sum("home").alias("homes")).where("homes > 0 and n > 1").drop("homes")

@@ -1,12 +1,13 @@
 """Operator 5: toxicity from a lexicon met with Levenshtein automata, weighed by context.
 
 The lexicon has fixed terms and what labelled texts teach: words, and stems of 4 to 7 letters that stand for every word that begins
-with them. Those are counted on a bounded sample (``LEARN_FROM`` texts of either label); of terms that are ``LIFT`` times as
+with them, each with the words that it was learned from. They are counted on a bounded sample (``LEARN_FROM`` texts of either label); of terms that are ``LIFT`` times as
 frequent in toxic texts, a greedy cover takes the one that explains most toxic texts not yet explained, until too few are left.
 
 The lexicon is a trie. Its intersection with the Levenshtein automaton of each word (up to one insertion, deletion, change or
-swap of neighbours; none for terms of under five letters) is made deterministic once, as a table of states by letters; words run
-through it side by side. Digits and signs that stand for letters are read as those, other letters than a-z count as one letter.
+swap of neighbours; none for terms of under five letters, nor for stems, whose learned words are met so instead) is made
+deterministic once, as a table of states by letters; words run through it side by side. Letters are code points in lower case;
+digits and signs that stand for letters are read as those, letters that no term holds count as one.
 
 Each match has a context of ``WINDOW`` words on either side: quotation marks around it or reporting words mean quotation and
 lower its weight, words that address somebody raise it. A document's counts of exact and misspelled matches, weights and
@@ -18,6 +19,7 @@ Defined results: null and empty texts have no match; without labels of both kind
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,54 +43,108 @@ LEXICON = (
 REPORT = "said says say called calls call quoted quote quotes wrote writes word words term phrase insult insults alleged reported heard shouted article".split()
 ADDRESS = "you your youre yours u ur are is this such these those all".split()
 
-OTHER, PAD = 26, 27
-_LETTER = np.full(256, PAD, np.uint8)
-for _b in range(128, 256):
-    _LETTER[_b] = OTHER
-for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyz"):
-    _LETTER[ord(_c)] = _LETTER[ord(_c.upper())] = _i
-for _c, _to in zip("0123456789", "oizeasgtbg", strict=True):
-    _LETTER[ord(_c)] = ord(_to) - 97
-_SIGN = np.full(256, PAD, np.uint8)
-for _c, _to in zip("$@", "sa", strict=True):
-    _SIGN[ord(_c)] = ord(_to) - 97
-_QUOTES = np.zeros(256, bool)
-_QUOTES[[0x22, 0x27, 0x60, 0xAB, 0xBB, 0x9C, 0x9D, 0x98, 0x99]] = True
+#: What a folded text holds besides letters: gaps between words, and one letter for all beyond the basic plane.
+GAP, FAR = 0x20, 0xFFFF
+_SIGNS = {ord("$"): ord("s"), ord("@"): ord("a")}
+_QUOTES = np.array(sorted(map(ord, "\"'`\u00ab\u00bb\u2018\u2019\u201a\u201c\u201d\u201e")), np.uint32)
+
+
+@functools.cache
+def _fold() -> np.ndarray:
+    """Code points of the basic plane as lower-case letters; digits that stand for letters are read as those, anything else is a gap."""
+    out = np.full(1 << 16, GAP, np.uint16)
+    for i in range(1 << 16):
+        if unicodedata.category(chr(i))[0] in "LM":
+            low = chr(i).lower()
+            out[i] = ord(low) if len(low) == 1 else i
+    for c, to in zip("0123456789", "oizeasgtbg", strict=True):
+        out[ord(c)] = ord(to)
+    out[FAR] = FAR
+    return out
+
+
+def letters(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Folded code points of the texts, which of them are quotation marks, and where texts begin."""
+    low, high = int(offs[0]), int(offs[-1])
+    raw = data[low:high]
+    begin = (raw < 0x80) | (raw >= 0xC0)  # continuation bytes go with the letter that they continue
+    place = np.zeros(len(begin) + 1, np.int64 if len(begin) >> 31 else np.int32)
+    np.cumsum(begin, out=place[1:])
+    points, own = raw[begin].astype(np.uint32), place[offs - low]
+    wide = np.flatnonzero(points >= 0xC0)
+    if len(wide):
+        at, lead = np.flatnonzero(begin)[wide], points[wide]
+        follow = lambda k: raw[np.minimum(at + k, len(raw) - 1)].astype(np.uint32) & 0x3F
+        two, three = ((lead & 0x1F) << 6) | follow(1), ((lead & 0x0F) << 12) | (follow(1) << 6) | follow(2)
+        points[wide] = np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, FAR))
+    out = _fold()[points]
+    for sign, letter in _SIGNS.items():
+        here = np.flatnonzero(points == sign)
+        here = here[here + 1 < len(out)]
+        out[here[out[here + 1] != GAP]] = letter
+    return out, np.isin(points, _QUOTES), own
 
 
 LEARN_FROM, LIFT, CANDIDATES, STEMS = 2_500, 25, 2_000, (4, 5, 6, 7)
 DEAD, START, WHOLE = 0, 1, 2
-#: Codes of letters as text: other letters are {, gaps are spaces.
-_SHOWN = bytes(ord("a") + i if i < PAD else 32 for i in range(28)) + b" " * 228
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Terms and stems as letters a-z and {;
-    stems stand for every word that begins with them."""
+    """Terms, stems (they stand for every word that begins with them) and learned words, in lower case.
+
+    Terms and learned words of ``FUZZY_FROM`` letters and more are met with an edit too.
+    """
 
     terms: tuple[str, ...] = tuple(LEXICON)
     stems: tuple[str, ...] = ()
+    words: tuple[str, ...] = ()
 
 
-@functools.lru_cache(maxsize=4)
-def automaton(lexicon: Lexicon, fuzzy_from: int = FUZZY_FROM) -> tuple[np.ndarray, np.ndarray, int]:
-    """Transitions (state, letter) -> state, edits of accepted states (9: not accepted) and the longest term plus one.
+@dataclass(frozen=True)
+class Automaton:
+    """Codes of code points (the lexicon's letters, then one for all other letters, then the gap), transitions (state, code) -> state,
+    edits of accepted states (9: not accepted), whether those accept a learned word, and the longest term plus one.
 
     DEAD matches nothing more; WHOLE is entered by a stem and stays.
     """
+
+    codes: np.ndarray
+    table: np.ndarray
+    edits: np.ndarray
+    learned: np.ndarray
+    longest: int
+
+    @property
+    def gap(self) -> int:
+        return self.table.shape[1]
+
+
+@functools.lru_cache(maxsize=4)
+def automaton(lexicon: Lexicon, fuzzy_from: int = FUZZY_FROM) -> Automaton:
+    every = [*((t, 0) for t in lexicon.terms), *((t, 1) for t in lexicon.stems), *((t, 2) for t in lexicon.words)]
+    alphabet = "abcdefghijklmnopqrstuvwxyz" + "".join(sorted({c for t, _ in every for c in t} - set("abcdefghijklmnopqrstuvwxyz")))[:226]
+    number_of = {c: i for i, c in enumerate(alphabet)}
+    other = len(alphabet)
+    codes = np.full(1 << 16, other, np.uint8)
+    codes[GAP] = other + 1
+    for c, i in number_of.items():
+        codes[ord(c)] = i
     children: list[dict[int, int]] = [{}]
-    ends: dict[int, int] = {}
+    ends: dict[int, tuple[int, bool]] = {}
     stem_ends: set[int] = set()
-    for term, stem in [*((t, False) for t in lexicon.terms), *((t, True) for t in lexicon.stems)]:
+    for term, kind in every:
         node = 0
         for c in term:
-            code = ord(c) - 97
+            code = number_of.get(c, other)
             if code not in children[node]:
                 children[node][code] = len(children)
                 children.append({})
             node = children[node][code]
-        stem_ends.add(node) if stem else ends.__setitem__(node, len(term))
+        if kind == 1:
+            stem_ends.add(node)
+        else:
+            ends.setdefault(node, (len(term), kind == 2))
     #: Nodes below which no term ends can only be reached without edits.
     live = [False] * len(children)
     for node in range(len(children) - 1, -1, -1):
@@ -104,6 +160,7 @@ def automaton(lexicon: Lexicon, fuzzy_from: int = FUZZY_FROM) -> tuple[np.ndarra
         return frozenset(states.items())
 
     def step(state: frozenset, letter: int) -> frozenset:
+        """The states after a letter; -1 is any that none of them asks for."""
         out: dict[tuple[int, int], int] = {}
 
         def put(key: tuple[int, int], edits: int) -> None:
@@ -125,117 +182,128 @@ def automaton(lexicon: Lexicon, fuzzy_from: int = FUZZY_FROM) -> tuple[np.ndarra
                     swapped = children[kid].get(letter)
                     if swapped is not None and first != letter:
                         put((swapped, first), 1)
-        if any((node, -1) in out and out[node, -1] == 0 for node in stem_ends):
+        if any(out.get((node, -1)) == 0 for node in stem_ends):
             return frozenset({((-1, -1), 0)})
         return closed(out)
 
+    def asked(state: frozenset) -> set[int]:
+        out: set[int] = set()
+        for (node, wait), edits in state:
+            if wait >= 0:
+                out.add(wait)
+                continue
+            out |= children[node].keys()
+            if edits == 0:
+                for kid in children[node].values():
+                    out |= children[kid].keys()
+        return out
+
+    size = other + 1
     start, whole = closed({(0, -1): 0}), frozenset({((-1, -1), 0)})
-    number, table, todo = {frozenset(): DEAD, start: START, whole: WHOLE}, [[DEAD] * 27, [DEAD] * 27, [WHOLE] * 27], [start]
+    number, table, todo = {frozenset(): DEAD, start: START, whole: WHOLE}, [[DEAD] * size, [DEAD] * size, [WHOLE] * size], [start]
+
+    def place(state: frozenset) -> int:
+        if state not in number:
+            number[state] = len(table)
+            table.append([DEAD] * size)
+            todo.append(state)
+        return number[state]
+
     while todo:
         state = todo.pop()
-        for letter in range(27):
-            to = step(state, letter)
-            if to not in number:
-                number[to] = len(table)
-                table.append([0] * 27)
-                todo.append(to)
-            table[number[state]][letter] = number[to]
-    edits = np.full(len(table), 9, np.int8)
+        row = [place(step(state, -1))] * size
+        for letter in asked(state):
+            row[letter] = place(step(state, letter))
+        table[number[state]] = row
+    edits, learned = np.full(len(table), 9, np.int8), np.zeros(len(table), bool)
     edits[WHOLE] = 0
     for state, i in number.items():
-        for (node, wait), e in state:
-            if wait < 0 and node in ends and (e == 0 or ends[node] >= fuzzy_from):
-                edits[i] = min(edits[i], e)
-    return np.array(table, np.int32), edits, max(map(len, (*lexicon.terms, *lexicon.stems))) + 1
+        best = min(((e, ends[node][1]) for (node, wait), e in state if wait < 0 and node in ends and (e == 0 or ends[node][0] >= fuzzy_from)), default=None)
+        if best:
+            edits[i], learned[i] = best
+    return Automaton(codes, np.array(table, np.int32), edits, learned, max((len(t) for t, _ in every), default=0) + 1)
 
 
 _SEED = 1
 
 
+def _word_hash(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words of folded code points."""
+    return tw.span_hash(tw.mix(points.astype(np.uint64) + np.uint64(_SEED)), starts, ends, _SEED)
+
+
 def _hash_set(words: list[str]) -> np.ndarray:
-    data = np.frombuffer(" ".join(words).encode(), np.uint8)
-    codes = _LETTER[data]
-    starts, ends, _ = tw.spans(codes, np.array([0, len(codes)]), _GAP)
-    return np.sort(tw.word_hashes(codes, starts, ends, _SEED))
+    return np.array([_word_hash(np.array(list(map(ord, w))), np.array([0]), np.array([len(w)]))[0] for w in sorted(words)], np.uint64)
 
 
-_GAP = np.zeros(256, bool)
-_GAP[PAD] = True
 _REPORT, _ADDRESS = _hash_set(REPORT), _hash_set(ADDRESS)
 
 
-def letter_codes(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One code for each letter or gap of the texts, the byte that it came from, and where texts begin."""
-    low, high = int(offs[0]), int(offs[-1])
-    raw = data[low:high]
-    letters = (raw < 0x80) | (raw >= 0xC0)  # continuation bytes go with the letter that they continue
-    place = np.zeros(len(letters) + 1, np.int64 if len(letters) >> 31 else np.int32)
-    np.cumsum(letters, out=place[1:])
-    raw, own = raw[letters], place[offs - low]
-    codes = _LETTER[raw]
-    follow = np.append(codes[1:], PAD) if len(codes) else codes
-    return np.where((_SIGN[raw] != PAD) & (follow < OTHER), _SIGN[raw], codes), raw, own
-
-
-def matches(offs: np.ndarray, data: np.ndarray, lexicon: Lexicon = Lexicon(), window: int = WINDOW) -> dict[str, np.ndarray]:  # noqa: B008
-    """Row, edits, weight, quoted, addressed and learned (by a stem) of every match, and the words of each row."""
-    table, edits, longest = automaton(lexicon)
-    codes, raw, own = letter_codes(offs, data)
-    starts, ends, rows = tw.spans(codes, own, _GAP)
+def matches(offs: np.ndarray, data: np.ndarray, lexicon: Lexicon | Automaton = Lexicon(), window: int = WINDOW) -> dict[str, np.ndarray]:  # noqa: B008
+    """Row, edits, weight, quoted, addressed, stem (learned, by a stem) and learned (by a word) of every match, and the words of each row."""
+    known = automaton(lexicon) if isinstance(lexicon, Lexicon) else lexicon
+    points, quotes, own = letters(offs, data)
+    codes = known.codes[points]
+    gap = np.zeros(256, bool)
+    gap[known.gap] = True
+    starts, ends, rows = tw.spans(codes, own, gap)
     size = ends - starts
-    at = np.flatnonzero((size >= 3) & ((size <= longest) | bool(lexicon.stems)))
+    at = np.flatnonzero(size >= 3)
     state = np.full(len(at), START, np.int32)
     left = size[at]
-    found, found_edits, by_stem = [], [], []
-    for j in range(longest + 1):
+    found, found_state = [], []
+    for j in range(known.longest + 2):
         done = (left == j) | (state == WHOLE)
         if done.any():
             found.append(at[done])
-            found_edits.append(edits[state[done]])
-            by_stem.append(state[done] == WHOLE)
+            found_state.append(state[done])
         live = ~done & (state != DEAD)
         at, state, left = at[live], state[live], left[live]
         if not len(at):
             break
-        state = table[state, codes[starts[at] + j]]
-    hit, e, stem = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found, found_edits, by_stem))
+        state = known.table[state, codes[starts[at] + j]]
+    hit, last = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found, found_state))
     order = np.argsort(hit, kind="stable")
-    order = order[e[order] < 9]
-    hit, e, stem = hit[order], e[order], stem[order].astype(bool)
+    order = order[known.edits[last[order]] < 9]
+    hit, last = hit[order], last[order]
+    e, stem, learned = known.edits[last], last == WHOLE, known.learned[last]
     quoted, addressed = np.zeros(len(hit), bool), np.zeros(len(hit), bool)
     if len(hit):
-        before, after = np.maximum(starts[hit] - 1, 0), np.minimum(ends[hit], len(raw) - 1)
-        quoted = _QUOTES[raw[before]] & _QUOTES[raw[after]]
+        before, after = np.maximum(starts[hit] - 1, 0), np.minimum(ends[hit], len(points) - 1)
+        quoted = quotes[before] & quotes[after]
         for d in [*range(-window, 0), *range(1, window + 1)]:
             near = np.clip(hit + d, 0, len(rows) - 1)
-            same = (rows[near] == rows[hit]) & (near != hit)
+            same = (rows[near] == rows[hit]) & (near != hit) & (size[near] < 16)  # no word of the two lists is longer
             h = np.zeros(len(hit), np.uint64)
             if same.any():
-                near = near[same]
-                unique, back = np.unique(near, return_inverse=True)
-                h[same] = tw.word_hashes(codes, starts[unique], ends[unique], _SEED)[back]
+                unique, back = np.unique(near[same], return_inverse=True)
+                length = size[unique]
+                flat = np.repeat(starts[unique] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+                edge = np.append(0, np.cumsum(length))
+                h[same] = _word_hash(points[flat], edge[:-1], edge[1:])[back]
             quoted |= same & np.isin(h, _REPORT)
             addressed |= same & np.isin(h, _ADDRESS)
     weight = np.where(e == 0, 1.0, 0.7) * np.where(quoted, 0.35, 1.0) * np.where(addressed, 1.25, 1.0)
-    return {"row": rows[hit], "edits": e, "weight": weight, "quoted": quoted, "addressed": addressed, "stem": stem, "words": np.bincount(rows, minlength=len(offs) - 1)}
+    return {"row": rows[hit], "edits": e, "weight": weight, "quoted": quoted, "addressed": addressed, "stem": stem, "learned": learned, "words": np.bincount(rows, minlength=len(offs) - 1)}
 
 
-def features(offs: np.ndarray, data: np.ndarray, lexicon: Lexicon = Lexicon()) -> np.ndarray:  # noqa: B008
+def features(offs: np.ndarray, data: np.ndarray, lexicon: Lexicon | Automaton = Lexicon()) -> np.ndarray:  # noqa: B008
     """The last column is the weight of all matches, the one before their number."""
     m, n = matches(offs, data, lexicon), len(offs) - 1
     count = lambda which, w=None: np.bincount(m["row"][which], None if w is None else w[which], n).astype(np.float64)
     every = np.ones(len(m["row"]), bool)
-    exact, fuzzy, stem, weight = count((m["edits"] == 0) & ~m["stem"]), count(m["edits"] > 0), count(m["stem"]), count(every, m["weight"])
+    exact, fuzzy, stem, weight = count((m["edits"] == 0) & ~m["stem"]), count((m["edits"] > 0) & ~m["learned"]), count(m["stem"]), count(every, m["weight"])
+    near = count((m["edits"] > 0) & m["learned"])
     quoted, addressed = count(m["quoted"]), count(m["addressed"])
     density = weight / np.maximum(m["words"], 20) * 100
-    flags = [exact > 0, exact > 1, stem > 0, stem > 1, fuzzy > 1, exact + stem > 0]
-    return np.column_stack([*flags, np.log1p(exact), np.log1p(stem), np.log1p(fuzzy), np.log1p(weight), np.log1p(density), np.log1p(quoted), np.log1p(addressed), count(every), weight])
+    flags = [exact > 0, exact > 1, stem > 0, stem > 1, fuzzy > 1, near > 0, exact + stem > 0]
+    return np.column_stack([*flags, np.log1p(exact), np.log1p(stem), np.log1p(fuzzy), np.log1p(near), np.log1p(weight), np.log1p(density), np.log1p(quoted), np.log1p(addressed), count(every), weight])
 
 
 def _terms(text: bytes) -> set[tuple[str, bool]]:
     """Distinct words and stems of a text."""
-    offs = np.array([0, len(text)])
-    words = set(letter_codes(offs, np.frombuffer(text, np.uint8))[0].tobytes().translate(_SHOWN).decode().split())
+    points, _, _ = letters(np.array([0, len(text)]), np.frombuffer(text, np.uint8))
+    words = set(points.astype("<u4").tobytes().decode("utf-32-le", "replace").split())
     return {(w, False) for w in words if 3 <= len(w) <= 24} | {(w[:k], True) for w in words for k in STEMS if len(w) >= k}
 
 
@@ -286,8 +354,9 @@ def learn(rows: DataFrame) -> Lexicon:
             break
         chosen.append(best[top])
         open_texts -= members[top]
-    terms = dict.fromkeys([*LEXICON, *(r.term for r in chosen if not r.stem)])
-    return Lexicon(tuple(terms), tuple(sorted(r.term for r in chosen if r.stem)))
+    stems = tuple(sorted(r.term for r in chosen if r.stem))
+    words = {r.term for r in chosen if not r.stem} | {r.term for r in best if not r.stem and r.term.startswith(stems or ("\0",))}
+    return Lexicon(tuple(LEXICON), stems, tuple(sorted(words - set(LEXICON))))
 
 
 @dataclass
@@ -295,16 +364,19 @@ class Model:
     lexicon: Lexicon
     linear: linear.Scaled | None
 
+    def __post_init__(self) -> None:
+        self.automaton = automaton(self.lexicon)
+
     def score(self, offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores and numbers of matches."""
-        x = features(offs, data, self.lexicon)
+        x = features(offs, data, self.automaton)
         return linear.sigmoid(self.linear.score(x)) if self.linear else 1 - 0.6 ** x[:, -1], x[:, -2].astype(np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 0) -> Model:
-    lexicon = learn(cut_lineage(linear.labelled(docs, labels, label, id_col, text_col, folds, held, LEARN_FROM).select("id", "text", "y")))
-    rows = linear.labelled(docs, labels, label, id_col, text_col, folds, held)
-    x, y = linear.collect_training(linear.feature_rows(rows.select("id", "text", "y"), functools.partial(features, lexicon=lexicon)))
+    rows = cut_lineage(linear.labelled(docs, labels, label, id_col, text_col, folds, held))  # bounded; one pass over the texts
+    lexicon = learn(rows.where(F.col("place") <= LEARN_FROM))
+    x, y = linear.collect_training(linear.feature_rows(rows.select("id", "text", "y"), functools.partial(features, lexicon=automaton(lexicon))))
     if len(set(y.tolist())) < 2:
         return Model(lexicon, None)
     model = linear.Scaled.of(x, ())
@@ -324,7 +396,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             own = [shared.value.score(offs[a : b + 1], data) for a, b in tw.pieces(offs)] or [(np.zeros(0), np.zeros(0, np.int64))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x)) for x in zip(*own, strict=True))], names=["id", "score", "matches"])
 
-    return tw.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double, matches long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double, matches long")
 
 
 def keep_below(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -338,4 +410,4 @@ def keep_below(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str
             stay = [shared.value.score(offs[a : b + 1], data)[0] < limit for a, b in tw.pieces(offs)]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *stay])))
 
-    return tw.bounded(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -6,17 +6,16 @@ memory is bounded by the piece (or by the longest single document) and not by th
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-
-#: Arrow's own pools keep what they once had; the system's gives large buffers back, which matters where workers are reused.
-pa.set_memory_pool(pa.system_memory_pool())
+from pyspark.sql import functions as F
 
 PIECE = 1 << 20
-BATCH_ROWS, BATCH_BYTES, READER_ROWS = 1024, "4m", 256
 ODD = 0x9E3779B97F4A7C15
 #: Bytes that separate words: space and the ASCII controls from tab to carriage return.
 SPACES = np.zeros(256, bool)
@@ -28,14 +27,23 @@ _BASE = [0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def bounded(docs: DataFrame) -> DataFrame:
-    """The same rows; from now on the session reads texts and sends them to Python in batches of a few MB."""
-    conf = docs.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(BATCH_ROWS, int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    # the reader's vectors hold so many rows of text at once, and grow with the longest
-    conf.set("spark.sql.parquet.columnarReaderBatchSize", str(min(READER_ROWS, int(conf.get("spark.sql.parquet.columnarReaderBatchSize")))))
-    return docs
+@functools.cache
+def _lean() -> None:
+    """In a worker: Arrow's own pools keep what they once had; the system's gives large buffers back to it."""
+    if TaskContext.get() is not None:
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+def hash_sample(rows: DataFrame, key: str, n: int, size: int) -> DataFrame:
+    """``size`` of the distinct rows in the order of a hash of the key, for about ``n`` rows in all.
+
+    Where there are more, a limit on the hash keeps all but some more than ``size`` of them out of the sort.
+    """
+    h = F.xxhash64(key)
+    share = (size + 8 * size**0.5 + 64) / max(1, n)
+    if share < 1:
+        rows = rows.where(h < int(share * 2.0**64) - 2**63)
+    return rows.distinct().orderBy(h, key).limit(size)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,6 +79,7 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (one more than rows) and UTF-8 bytes of a string column; null counts as empty."""
+    _lean()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
