@@ -4,8 +4,9 @@ Ordinary texts go to the library whole, in small batches. A text of over ``chunk
 with offsets. Two neighbours are spliced at a position where both begin a new pre-token (the library's word number changes):
 the pre-tokenizer's pattern looks only ahead, so from a common beginning on both cut alike, and merges never cross a
 pre-token. On the left the last pre-tokens are not trusted, as their continuation is cut off. Where the overlap has no common
-beginning it is doubled, at last up to the whole left chunk, which then is one chunk with the right one. So memory is bounded
-by chunks, and the count is that of the whole text.
+beginning it is doubled, at last up to the whole left chunk, which then is one chunk with a right one that is four times
+as long each time, so that the work for a word of any length is in proportion to it. Memory is bounded by chunks, or by the longest stretch without a boundary, and the count
+is that of the whole text.
 
 Special strings inside texts are tokens, as is the library's default; a chunk border inside one has no common beginning
 there. Defined results: null counts as an empty text; ids (null, repeated) are carried along.
@@ -56,28 +57,32 @@ def tokenizer(path: str):
 
 def spliced_count(text: str, parts, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of the whole text, from chunks that overlap."""
-    total, own_from, start, end = 0, 0, 0, min(len(text), chunk)
+    total, own_from, start, end, step = 0, 0, 0, min(len(text), chunk), chunk
     starts, fresh = parts(text[start:end])
     starts = starts + start
     while end < len(text):
         width = overlap
         heads = starts[fresh]
         heads = heads[:-DISTRUST]
-        far = min(len(text), end + chunk)
         while True:
             left = max(start, end - width)
-            if left <= own_from:  # no room: the left chunk is encoded again together with the right one
-                left = own_from
+            if left > own_from and not (heads > left).any():
+                width *= 2
+                continue
+            if left <= own_from:  # no room: the left chunk is encoded again together with a right one that grows fourfold each time
+                left, step = own_from, 4 * step
+                far = min(len(text), end + step)
                 more, more_fresh = parts(text[left:far])
                 more = more + left
                 break
+            far = min(len(text), end + chunk)
             more, more_fresh = parts(text[left:far])
             more = more + left
             common = np.intersect1d(heads[heads > left], more[more_fresh])
             if len(common):
                 cut = int(common[len(common) // 2])
                 total += int(np.searchsorted(starts, cut) - np.searchsorted(starts, own_from))
-                own_from = cut
+                own_from, step = cut, chunk
                 break
             width *= 2
         start, end, starts, fresh = left, far, more, more_fresh

@@ -54,7 +54,7 @@ def test_bpe_on_the_table(spark, library):
 
 def test_counts_as_the_library(spark):
     model = Tokenizer.from_file(JSON)
-    table = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(150).collect()]
+    table = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     rows = list(enumerate(ODD + random_texts(100, 5) + table)) + [(9999, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     for chunk, overlap in ((token_counts.CHUNK, token_counts.OVERLAP), (300, 8), (64, 4)):
@@ -68,3 +68,20 @@ def test_sentencepiece_and_empty(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert [r.n_tokens > 0 for r in token_counts.count_tokens(df, P.path("piece_bpe_32k.model")).orderBy("id").collect()] == [True, False]
     assert token_counts.count_tokens(df.where("false"), JSON).count() == 0
+
+
+def test_words_without_a_boundary():
+    """Texts of one word: equal to the library, and the work grows with the length, not with its square."""
+    counts, parts = token_counts.tokenizer(JSON)
+    rng = random.Random(6)
+    encoded = []
+
+    def counted(text):
+        encoded.append(len(text))
+        return parts(text)
+
+    for n in (1 << 17, 1 << 19, 1 << 21):
+        for text in ("a" * n, "".join(rng.choices("abcdefgh", k=n)), "word " * 9000 + "x" * n + " and words" * 9000):
+            encoded.clear()
+            assert token_counts.spliced_count(text, counted) == counts([text])[0]
+            assert sum(encoded) < 5 * len(text)
