@@ -9,7 +9,8 @@ Search: the 64 bits are cut into m parts, correlated bits together. If part i ha
 thresholds add up to radius - m + 1, any linked pair lies within t_i in some part i. A dynamic programme chooses m and the
 thresholds by the rows and candidate pairs that they cost, estimated on a bounded sample of fingerprints (``SAMPLE``); the
 choice changes the cost only, never the result. Each distinct fingerprint goes to the bucket of its value in every part with
-t_i >= 0, and where t_i = 1 also to those with one set bit cleared (one of two values that differ in one bit has it set).
+t_i >= 0, for t_i = 1 also to those with one set bit cleared (one of two values that differ in one bit has it set), and beyond
+to all within half of t_i, rounded up, so that two neighbours meet half-way.
 
 Only distinct fingerprints are searched, so exact copies cost a row. A bucket of over ``BLOCK`` fingerprints is cut into blocks
 and each pair of blocks is a group of its own, so no group has over about twice that. A group answers with a spanning forest
@@ -22,7 +23,8 @@ are rows of their own; empty input gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,10 @@ from siftwell.operators.graph import connected_components
 from siftwell.session import cut_lineage
 
 SHINGLE, RADIUS = 4, 4
-SAMPLE, BLOCK = 20_000, 1024
+#: Sampled fingerprints, those of them that are held against each other for the plan, rows of a block.
+SAMPLE, PAIRED, BLOCK = 20_000, 2_000, 1024
+#: Radius for a Jaccard similarity of 0.8, the same for two fingerprints together, and bytes of shingles of a block.
+WIDE, BOTH, BLOCK_BYTES = 12, 30, 16 << 20
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANE = (np.arange(8) * 256)[None, :]
 _WEIGHT = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -60,31 +65,43 @@ def _segments(raw: bytes, size: int = 1 << 22) -> Iterator[list[bytes]]:
         at = to
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
+def shape(text: str | None, shingle: int = SHINGLE, seed: int = 42, both: bool = False) -> tuple[int, int, int, int]:
+    """Fingerprint, number of distinct shingles, a hash of the sequence of words, and a second fingerprint of the hashes mixed."""
     carry: list[bytes] = []
-    total, count = np.zeros((8, 8), np.int64), 0
+    total, second, count, made = np.zeros((8, 8), np.int64), np.zeros((8, 8), np.int64), 0, []
+    whole = xxhash.xxh64(seed=seed)
 
     def add(own: list[bytes]) -> int:
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(seed)), np.uint64, len(own))
-        lanes = hashes.view(np.uint8).reshape(-1, 8) + _LANE
-        total[:] += np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS
+        for bits, own_hashes in ((total, hashes), (second, tw.mix(hashes)))[: 1 + both]:
+            lanes = own_hashes.view(np.uint8).reshape(-1, 8) + _LANE
+            bits += np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS
+        made.append(hashes)
         return len(own)
 
     for words in _segments((text or "").encode().lower()):
+        whole.update(b" ".join(words) + b" ")
         words = carry + words
         if len(words) >= shingle:
             count += add(_shingles(words, shingle))
         carry = words[-(shingle - 1) :] if shingle > 1 else []
     if not count and carry:
         count = add([b" ".join(carry)])
-    return int(_WEIGHT[total.ravel() * 2 > count].sum())
+    distinct = len(np.unique(np.concatenate(made))) if both and made else 0
+    first, other = (int(_WEIGHT[bits.ravel() * 2 > count].sum()) for bits in (total, second))
+    return first, distinct, whole.intdigest(), other
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
+    return shape(text, shingle, seed)[0]
 
 
-def _fingerprints(shingle: int, seed: int):
+def _fingerprints(shingle: int, seed: int, both: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["id", "fp"])
+            made = [shape(t.as_py(), shingle, seed, both) for t in batch.column(1)]
+            columns = [np.array([m[k] for m in made], np.uint64).view(np.int64) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=["id", "fp", "n", "h", "fp2"])
 
     return run
 
@@ -115,19 +132,29 @@ def part_values(fps: np.ndarray, part: np.ndarray) -> np.ndarray:
     return out
 
 
-def expected_cost(values: np.ndarray, width: int, n: int) -> dict[int, float]:
-    """Rows and candidate pairs for thresholds -1, 0 and 1 of a part, scaled from the sample to n fingerprints."""
-    kinds, count = np.unique(values, return_counts=True)
-    size, scale = len(values), (n / max(1, len(values))) ** 2
-    same = float((count * (count - 1)).sum()) / 2 + size * size / 2.0 ** (width + 6)
-    near = 0.0
-    for k in range(width):
-        other = kinds[(kinds >> k) & 1 == 1] ^ (1 << k)
-        at = np.minimum(np.searchsorted(kinds, other), len(kinds) - 1)
-        hit = kinds[at] == other
-        near += float((count[(kinds >> k) & 1 == 1][hit] * count[at[hit]]).sum()) + size * size / 2.0 ** (width + 6)
+def rows_for(width: int, t: int) -> float:
+    """Rows a fingerprint for threshold t of a part; for 1 on average."""
+    return (1, 1 + width / 2)[t] if t < 2 else float(sum(comb(width, k) for k in range((t + 1) // 2 + 1)))
+
+
+def expected_cost(values: np.ndarray, width: int, n: int, most: int) -> dict[int, float]:
+    """Rows and comparisons for thresholds -1 to ``most`` of a part, for n fingerprints like those of the sample.
+
+    A pair of distance d meets in as many buckets as the neighbourhoods of both have in common.
+    """
+    some = values[:PAIRED]
+    apart = np.bincount(np.bitwise_count(some[:, None] ^ some[None, :]).ravel(), minlength=width + 1).astype(float)
+    apart[0] -= len(some)
+    share = apart / max(1, len(some) * (len(some) - 1))
+    pairs = [max(share[d], comb(width, d) / 2.0**width) * n * n / 2 for d in range(min(most, width) + 1)]
     row, pair = 40.0, 0.05
-    return {-1: 0.0, 0: n * row + same * scale * pair, 1: n * row * (1 + width / 2) + (same + near * 2) * scale * pair}
+    out = {-1: 0.0}
+    for t in range(min(most, width) + 1):
+        reach = (t + 1) // 2
+        meet = [rows_for(width, t) if d == 0 else max(1.0, 2.0 * width ** max(0, reach - (d + 1) // 2)) for d in range(t + 1)]
+        copies = max(1.0, n * rows_for(width, t) / 2.0**width / BLOCK)  # a row goes to each block of its bucket
+        out[t] = n * row * rows_for(width, t) * copies + pair * sum(p * m for p, m in zip(pairs, meet, strict=False))
+    return out
 
 
 def thresholds(costs: list[dict[int, float]], total: int) -> tuple[float, list[int]]:
@@ -149,31 +176,39 @@ def plan(sample: np.ndarray, n: int, radius: int = RADIUS) -> list[tuple[np.ndar
         return []
     bits = ((sample[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
     found = (float("inf"), [])
-    for m in range(max(1, (radius + 2) // 2), radius + 2):
+    for m in range(1, radius + 2):
         parts = correlated_parts(bits, m)
-        price, chosen = thresholds([expected_cost(part_values(sample, p), len(p), n) for p in parts], radius - m + 1)
+        price, chosen = thresholds([expected_cost(part_values(sample, p), len(p), n, min(radius, 4)) for p in parts], radius - m + 1)
         if price < found[0]:
             found = (price, [(p, t) for p, t in zip(parts, chosen, strict=True) if t >= 0])
     return found[1]
 
 
+def _neighbourhood(width: int, flips: int) -> np.ndarray:
+    """What to flip to reach every value within so many bits, those of fewer bits first."""
+    return np.array([sum(1 << k for k in c) for f in range(flips + 1) for c in combinations(range(width), f)], np.int64)
+
+
 def _signatures(parts: list[tuple[np.ndarray, int]]):
-    names = ["part", "key", "fp", "id", "home"]
+    names = ["part", "key", "fp", "id", "n", "fp2", "home"]
 
-    def rows(part: int, keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, home: int) -> pa.RecordBatch:
-        n = len(keys)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(keys), pa.array(fps.view(np.int64)), pa.array(ids), pa.array(np.full(n, home, np.int32))], names=names)
+    def rows(part: int, keys: np.ndarray, which: np.ndarray | slice, own: list[np.ndarray], home: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), part, np.int32)), pa.array(keys), *(pa.array(c[which]) for c in own), pa.array(np.full(len(keys), home, np.int32))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
-            ids = batch.column(1).to_numpy()
+            own = [batch.column(k).to_numpy() for k in range(4)]
             for i, (part, t) in enumerate(parts):
-                keys = part_values(fps, part)
-                yield rows(i, keys, fps, ids, 1)
-                for k in range(len(part) if t else 0):
-                    has = (keys >> k) & 1 == 1
-                    yield rows(i, keys[has] ^ (1 << k), fps[has], ids[has], 0)
+                keys = part_values(own[0].view(np.uint64), part)
+                if t == 1:  # one of two values that differ in a bit has it set
+                    yield rows(i, keys, slice(None), own, True)
+                    for k in range(len(part)):
+                        has = (keys >> k) & 1 == 1
+                        yield rows(i, keys[has] ^ (1 << k), has, own, False)
+                    continue
+                flips = _neighbourhood(len(part), (t + 1) // 2)
+                for flip in flips.tolist():  # two values within t meet where one has flipped t // 2 bits at most
+                    yield rows(i, keys ^ flip, slice(None), own, flip.bit_count() <= t // 2)
 
     return run
 
@@ -196,100 +231,178 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[label[far]]
 
 
-def _near(group: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within groups of rows that stand together."""
+def _near(group: np.ndarray, rows: list[np.ndarray], radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links within groups of rows (fp, id, n, fp2) that stand together: fingerprints within the radius, sizes within the ratio.
+
+    With a ratio both fingerprints together must be within BOTH, which keeps chance links out.
+    """
     a, b = [], []
+
+    def close(x: list, y: list) -> np.ndarray:
+        apart = np.bitwise_count(x[0] ^ y[0])
+        if not ratio:
+            return apart <= radius
+        return (apart <= radius) & (apart + np.bitwise_count(x[3] ^ y[3]) <= BOTH) & (np.minimum(x[2], y[2]) >= ratio * np.maximum(x[2], y[2]))
+
     edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     size = np.diff(np.append(edge, len(group)))
     for s, n in zip(edge[size > 256], size[size > 256], strict=True):  # breadth first: each row meets those not yet reached
-        own, own_ids = fps[s : s + n], ids[s : s + n]
-        while len(own):
-            front = [(own[0], own_ids[0])]
-            own, own_ids = own[1:], own_ids[1:]
-            while front and len(own):
-                f, i = front.pop()
-                hit = np.bitwise_count(own ^ f) <= radius
+        own = [c[s : s + n] for c in rows]
+        while len(own[0]):
+            front = [[c[0] for c in own]]
+            own = [c[1:] for c in own]
+            while front and len(own[0]):
+                f = front.pop()
+                hit = close(own, f)
                 if hit.any():
-                    b.append(own_ids[hit])
-                    a.append(np.full(len(b[-1]), i))
-                    front += zip(own[hit], own_ids[hit], strict=True)
-                    own, own_ids = own[~hit], own_ids[~hit]
+                    b.append(own[1][hit])
+                    a.append(np.full(len(b[-1]), f[1]))
+                    front += map(list, zip(*(c[hit] for c in own), strict=True))
+                    own = [c[~hit] for c in own]
     small = np.repeat(size <= 256, size)
-    group, fps, ids = group[small], fps[small], ids[small]
+    group, rows = group[small], [c[small] for c in rows]
     at = np.arange(len(group))
     for d in range(1, 256):
         at = at[at + d < len(group)]
         at = at[group[at] == group[at + d]]
         if not len(at):
             break
-        hit = at[np.bitwise_count(fps[at] ^ fps[at + d]) <= radius]
-        a.append(ids[hit])
-        b.append(ids[hit + d])
+        hit = at[close([c[at] for c in rows], [c[at + d] for c in rows])]
+        a.append(rows[1][hit])
+        b.append(rows[1][hit + d])
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
     other = a != b
     return spanning(a[other], b[other])
 
 
-def _links(radius: int):
-    """Rows come ordered by bucket and block pair; groups may go over the ends of batches."""
-
-    def out(rest: list[np.ndarray]) -> pa.RecordBatch:
-        keys = rest[:4]
-        change = np.zeros(len(keys[0]), bool)
-        for k in keys:
-            change[1:] |= k[1:] != k[:-1]
-        a, b = _near(np.cumsum(change), rest[4].view(np.uint64), rest[5], radius)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[list[np.ndarray]]:
+    """Columns of rows that come ordered by their first ``keys`` columns, in parts that end between groups."""
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        rest = own if rest is None else [np.concatenate(x) for x in zip(rest, own, strict=True)]
+        if len(rest[0]) < rows:
+            continue
+        last = np.ones(len(rest[0]), bool)
+        for k in rest[:keys]:
+            last &= k == k[-1]
+        cut = int(np.argmax(last))
+        if cut:
+            yield [x[:cut] for x in rest]
+            rest = [x[cut:] for x in rest]
+    if rest is not None and len(rest[0]):
+        yield rest
+
+
+def _groups(keys: list[np.ndarray]) -> np.ndarray:
+    """Numbers of the groups of equal keys."""
+    change = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        change[1:] |= k[1:] != k[:-1]
+    return np.cumsum(change)
+
+
+def _links(radius: int, ratio: float):
+    """Links of rows that come ordered by bucket and pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-        for batch in batches:
-            own = [c.to_numpy() for c in batch.columns]
-            rest = own if rest is None else [np.concatenate(x) for x in zip(rest, own, strict=True)]
-            n = len(rest[0])
-            if n < 20_000:
-                continue
-            last = np.ones(n, bool)
-            for k in rest[:4]:
-                last &= k == k[-1]
-            cut = int(np.argmax(last))
-            if cut:
-                yield out([x[:cut] for x in rest])
-                rest = [x[cut:] for x in rest]
-        if rest is not None and len(rest[0]):
-            yield out(rest)
+        for own in _whole_groups(batches, 4, 20_000):
+            a, b = _near(_groups(own[:4]), [own[4].view(np.uint64), own[5], own[6], own[7].view(np.uint64)], radius, ratio)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = 42) -> DataFrame:
-    """id and fp (the 64 bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = 42, both: bool = False) -> DataFrame:
+    """id, fp (the 64 bits as a signed long), h (hash of the words) and, if ``both``, n (distinct shingles) and fp2 of every row."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(_fingerprints(shingle, seed), "id long, fp long")
+    return own.mapInArrow(_fingerprints(shingle, seed, both), "id long, fp long, n long, h long, fp2 long")
+
+
+def _in_blocks(rows: DataFrame, keys: list[str], own: str, columns: list[str]) -> DataFrame:
+    """Every row with column c, the number of its group's blocks, once for each pair (x, y) of blocks that its own is in; ordered for it."""
+    block = F.pmod(F.xxhash64(own), F.col("c")).cast("int")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda x: F.struct(F.least(x, block).alias("x"), F.greatest(x, block).alias("y"))))
+    met = rows.select(*keys, pair.alias("p"), *columns).select(*keys, "p.x", "p.y", *columns)
+    return met.repartition(*keys, "x", "y").sortWithinPartitions(*keys, "x", "y")
+
 
+def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK, ratio: float = 0.0) -> DataFrame:
+    """Edges a, b between ids that span the components of all pairs within the radius, whose n are within the ratio.
 
-def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Edges a, b between ids that span the components of all pairs within the radius. ``distinct`` has fp (unique) and id."""
-    n = distinct.count()
-    sample = tw.hash_sample(distinct.select("fp"), "fp", n, SAMPLE).collect()
-    parts = plan(np.array([r.fp for r in sample], np.int64).view(np.uint64), n, radius)
-    rows = distinct.select("fp", "id").mapInArrow(_signatures(parts), "part int, key long, fp long, id long, home int")
-    live = rows.groupBy("part", "key").agg(F.count("*").alias("n"), F.sum("home").alias("homes")).where("homes > 0 and n > 1").drop("homes")
-    met = rows.join(live, ["part", "key"]).withColumn("c", F.ceil(F.col("n") / block).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda x: F.struct(F.least(x, own).alias("x"), F.greatest(x, own).alias("y"))))
-    met = met.select("part", "key", pair.alias("p"), "fp", "id").select("part", "key", "p.x", "p.y", "fp", "id")
-    met = met.repartition("part", "key", "x", "y").sortWithinPartitions("part", "key", "x", "y")
-    return met.mapInArrow(_links(radius), "a long, b long")
+    ``distinct`` has fp, id, n and fp2.
+    """
+    size = distinct.count()
+    sample = tw.hash_sample(distinct.select("fp"), "fp", size, SAMPLE).collect()
+    parts = plan(np.array([r.fp for r in sample], np.int64).view(np.uint64), size, radius)
+    rows = distinct.select("fp", "id", "n", "fp2").mapInArrow(_signatures(parts), "part int, key long, fp long, id long, n long, fp2 long, home int")
+    live = rows.groupBy("part", "key").agg(F.count("*").alias("rows"), F.sum("home").alias("homes")).where("homes > 0 and rows > 1").drop("homes")
+    met = rows.join(live, ["part", "key"]).withColumn("c", F.ceil(F.col("rows") / block).cast("int"))
+    return _in_blocks(met, ["part", "key"], "fp", ["fp", "id", "n", "fp2"]).mapInArrow(_links(radius, ratio), "a long, b long")
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = 42, radius: int = RADIUS, block: int = BLOCK
 ) -> DataFrame:
-    """id, fp, component of every row."""
-    every = cut_lineage(fingerprints(docs, id_col, text_col, shingle, seed))
-    distinct = every.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")).persist()
+    """id, fp, component of every row; links are fingerprints within the radius."""
+    every = cut_lineage(fingerprints(docs, id_col, text_col, shingle, seed).select("id", "fp"))
+    distinct = cut_lineage(every.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")).withColumns({"n": F.lit(0).cast("long"), "fp2": F.lit(0).cast("long")}))
     # one id may stand for several fingerprints, if rows repeat it; that only joins what is one document anyway
     found = connected_components(links(distinct, radius, block))
     named = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
     return every.join(named, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+
+
+def _verified(shingle: int, radius: int, similarity: float):
+    """Links of at least the similarity among the texts of each pair of blocks: each row meets those not yet reached."""
+
+    def group(fps: np.ndarray, ids: np.ndarray, texts: np.ndarray) -> Iterator[tuple[int, int]]:
+        sets = []
+        for t in texts:
+            data = np.frombuffer(t.encode().lower(), np.uint8)
+            starts, ends, _ = tw.spans(data, np.array([0, len(data)]))
+            words = tw.word_hashes(data, starts, ends)
+            sets.append(np.unique(tw.grams(words, min(shingle, len(words)))) if len(words) else np.zeros(0, np.uint64))
+        size = np.array([len(x) for x in sets])
+        left = np.argsort(ids, kind="stable")
+        while len(left):
+            front, left = [left[0]], left[1:]
+            while front and len(left):
+                i = front.pop()
+                near = (np.bitwise_count(fps[left] ^ fps[i]) <= radius) & (np.minimum(size[left], size[i]) >= similarity * np.maximum(size[left], size[i]))
+                for k in np.flatnonzero(near).tolist():
+                    both = len(np.intersect1d(sets[i], sets[left[k]], assume_unique=True))
+                    near[k] = both >= similarity * (size[i] + size[left[k]] - both)
+                front += left[near].tolist()
+                yield from ((int(ids[i]), int(ids[k])) for k in left[near])
+                left = left[~near]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _whole_groups(batches, 3, 1):
+            edge = np.flatnonzero(np.append(True, np.diff(_groups(own[:3])) > 0))
+            found = [e for s, t in zip(edge, np.append(edge[1:], len(own[0])), strict=True) for e in group(own[3][s:t].view(np.uint64), own[4][s:t], own[5][s:t])]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE, seed: int = 42, block: int = BLOCK, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """id and component of every row: components of pairs whose sets of shingles have a Jaccard similarity of at least ``similarity``.
+
+    Candidates are the pairs within the radius (wide enough for nearly all such pairs; README has the recall) with sizes that the
+    similarity allows and second fingerprints that agree as well, so that chance links don't grow with the square of the table. Their components are cut into blocks, and within each pair of blocks the texts' shingles decide: each row
+    meets those that no link has reached, so a group of copies costs its rows, not its pairs.
+    """
+    every = cut_lineage(fingerprints(docs, id_col, text_col, shingle, seed, True))
+    kinds = cut_lineage(every.where("id is not null").groupBy("fp", "h").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("fp2").alias("fp2")))
+    met = connected_components(links(kinds, radius, block, similarity)).withColumnRenamed("node", "id")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    own = own.where("text is not null").join(kinds.join(met, "id").select("id", "fp", "component"), "id")
+    # sizes come from the fingerprints, so the texts are dealt twice only: to their ids and to their blocks
+    number = kinds.join(met, "id").groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.col("n") * 8) / block_bytes)).cast("int").alias("c"))
+    edges = _in_blocks(own.join(number, "component"), ["component"], "id", ["fp", "id", "text"]).mapInArrow(_verified(shingle, radius, similarity), "a long, b long")
+    found = connected_components(edges).withColumnRenamed("node", "id")
+    named = kinds.join(found, "id", "left").select("fp", "h", F.coalesce("component", "id").alias("component"))
+    return every.join(named, ["fp", "h"], "left").select("id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
