@@ -8,21 +8,34 @@ from pyspark.sql import functions as F
 from siftwell.session import cut_lineage
 
 
+#: Nodes of more than 1 / SPREAD of the ends of all edges, and over LIGHT, are hubs; there are never more than SPREAD of them.
+SPREAD, LIGHT = 50_000, 64
+
+
+def _with(edges: DataFrame, by_node: DataFrame, size: int) -> DataFrame:
+    """Edges joined with the row of their node u. Hubs' rows, bounded in number, are broadcast, so no task gets all edges of a hub."""
+    heavy = F.col("degree") > max(LIGHT, size // SPREAD)
+    hubs, others = by_node.where(heavy).drop("degree"), by_node.where(~heavy).drop("degree")
+    light = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(others, "u")
+    return light.unionByName(edges.join(F.broadcast(hubs), "u"))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node that can be reached) for every node of an edge; rows with a null end don't count.
 
-    Rounds of large-star and small-star. Every exchange is by node with the minimum combined before it, or a join whose hot
-    keys Spark may split; each round is written to the shared checkpoint folder.
+    Rounds of large-star and small-star, about the logarithm of the longest chain of them. Every exchange is by node with the
+    minimum combined before it, or a join that hubs don't take part in; each round is written to the shared checkpoint folder.
     """
     ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null")
     loops = cut_lineage(ends.distinct())
     now, seen, size = loops.where("u <> v"), None, 2 * loops.count()
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.count("*").alias("degree"), F.least(F.min("v"), F.first("u")).alias("m"))
+        large = _with(both, least, size).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.groupBy("u").agg(F.count("*").alias("degree"), F.min("v").alias("m"))
+        moved = _with(large, small, size).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = moved.unionAll(small.select("u", F.col("m").alias("v")))
         now = cut_lineage(now.where("u <> v").distinct(), size)  # a round never has more edges than ends
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == seen or mark[0] == 0:
