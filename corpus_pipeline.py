@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; rows without an id stay."""
-    found = simhash.near_duplicates(docs)
+    """Of each group of documents whose five-word shingles are similar by 0.8 the one with the smallest id stays; rows without an id stay."""
+    found = simhash.similar_groups(docs)
     away = found.where("component <> id").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(away, "doc_id", "left_anti").select(*COLUMNS)
 
