@@ -3,17 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def names_equal(a: Column, b: Column, stem: str = r"(co|inc|ltd|llc|gmbh|group)$", shortest: int = 3) -> Column:
+LEGAL_ENDING = r"(co|inc|ltd|llc|gmbh|group)$"
+
+
+def names_equal(a: Column, b: Column, stem: str = LEGAL_ENDING, shortest: int = 3) -> Column:
     """Equal keys, or equal keys without a legal ending if at least ``shortest`` letters are left."""
     sa, sb = F.regexp_replace(a, stem, ""), F.regexp_replace(b, stem, "")
     return (a == b) | ((sa == sb) & (F.length(sa) >= shortest))
 
 
+def equal_names(names: DataFrame, key: str, aliases: Sequence[Sequence[str]] = (), stem: str = LEGAL_ENDING, shortest: int = 3) -> DataFrame:
+    """Pairs (key, other) of different keys that name the same company: by stem, or as members of one controlled alias group.
+
+    ``names`` has each key once. Both rules are equi-joins; empty keys name nobody.
+    """
+    known = names.select(key).where(F.col(key) != "").distinct()
+    member = {k: i for i, group in enumerate(aliases) for k in group}
+    group = F.create_map(*(F.lit(x) for kv in member.items() for x in kv)) if member else F.lit(None).cast("map<string,int>")
+    stems = known.withColumn("by", F.regexp_replace(key, stem, "")).where(F.length("by") >= shortest)
+    groups = known.withColumn("by", F.try_element_at(group, F.col(key)).cast("string")).where("by is not null")
+    met = None
+    for side in (stems, groups):
+        own = side.join(side.withColumnRenamed(key, "other"), "by").select(key, "other")
+        met = own if met is None else met.unionAll(own)
+    return met.where(F.col(key) != F.col("other")).distinct()
+
+
 def short_name(short: Column, name: Column, least: int = 2) -> Column:
     """Contained, or all its letters occur in the name; at least ``least`` letters."""
     letters = lambda c: F.array_distinct(F.split(c, ""))
@@ -21,17 +43,76 @@ def short_name(short: Column, name: Column, least: int = 2) -> Column:
     return (F.length(short) >= least) & (F.contains(name, short) | inside)
 
 
-def tiered_match(pairs: DataFrame, left: str, right: str, tiers: Sequence[Column]) -> DataFrame:
-    """For each left row the rights of its first tier that holds for any; unique or ambiguous.
+def tiered_match(tiers: Sequence[DataFrame], left: str, right: str) -> DataFrame:
+    """For each left row the rights of its first tier that has any; unique or ambiguous.
+
+    ``tiers`` are tables of (left, right) pairs in order of trust, each joined on keys of its own. Lefts that an earlier tier
+    settled take no part in a later one.
+    """
+    own = None
+    for i, pairs in enumerate(tiers):
+        some = pairs.select(left, right).distinct().groupBy(left).agg(F.count("*").alias("n"), F.min(right).alias(right)).withColumn("tier", F.lit(i))
+        own = some if own is None else own.unionByName(some.join(own.select(left), left, "left_anti"))
+    return own.select(left, "tier", F.when(F.col("n") == 1, F.col(right)).alias(right), F.when(F.col("n") == 1, "unique").otherwise("ambiguous").alias("status"))
+
+
+def stated_facts(title: str | Column) -> Column:
+    """A posting's title without its closed tags, and what they state: cohort year, city, number of the volunteer choice ('' if none)."""
+    t = F.trim(title)
+    year = F.regexp_extract(t, r"^[\[(]?(20\d\d|\d\d)届?[\])]?\s*[-:]\s*", 1)
+    rest = F.regexp_replace(t, r"^[\[(]?(20\d\d|\d\d)届?[\])]?\s*[-:]\s*", "")
+    choice = F.regexp_extract(rest, r"\s*\[choice (\d+)\]$", 1)
+    rest = F.regexp_replace(rest, r"\s*\[choice \d+\]$", "")
+    city = F.regexp_extract(rest, r"\s*[(]([^()]+)[)]$", 1)
+    rest = F.regexp_replace(rest, r"\s*[(][^()]+[)]$", "")
+    return F.struct(rest.alias("title"), F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year).alias("year"), F.lower(city).alias("city"), choice.alias("choice"))
+
+
+def facts_agree(a: Column, b: Column) -> Column:
+    """Equal titles, and no tag that both state differently; a tag that one side leaves out does no harm."""
+    same = lambda k: (a[k] == "") | (b[k] == "") | (a[k] == b[k])
+    return (a["title"] != "") & (a["title"] == b["title"]) & same("year") & same("city") & same("choice")
+
+
+def provenance_error(digest: Column, stored_digest: Column, quotes: Column, sources: Sequence[Column]) -> Column:
+    """Why a proposal about a stored text doesn't hold: another revision, or a quote that none of the sources has, white space aside."""
+    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    held = F.forall(quotes, lambda q: reduce(or_, (F.contains(flat(s), flat(q)) for s in sources)))
+    return F.when(~digest.eqNullSafe(stored_digest), "content_digest_mismatch").when(~F.coalesce(held, F.lit(False)), "evidence_quote_not_found")
+
+
+def aligned_authentication(results: str | Column, sender: Column, return_path: Column) -> Column:
+    """Whether any result (authserv_id, method, result, aligned, identity_domain) authenticates the sender.
+
+    It must name its server, pass and be aligned; SPF counts only if the three domains are one, case and a final dot aside.
+    """
+    domain = lambda c: F.regexp_replace(F.lower(c), r"\.+$", "")
+
+    def holds(r: Column) -> Column:
+        passed = (F.coalesce(r["authserv_id"], F.lit("")) != "") & (r["result"] == "pass") & r["aligned"]
+        dotted = F.contains(sender, F.lit(".")) & F.contains(return_path, F.lit(".")) & F.contains(r["identity_domain"], F.lit("."))
+        one = (domain(sender) == domain(return_path)) & (domain(sender) == domain(r["identity_domain"]))
+        return F.coalesce(passed & ((r["method"] == "dkim") | ((r["method"] == "spf") & dotted & one)), F.lit(False))
+
+    return F.coalesce(F.exists(results, holds), F.lit(False))
+
+
+FULL_WIDTH = "".join(map(chr, range(0xFF01, 0xFF5F)))
+HALF_WIDTH = "".join(map(chr, range(0x21, 0x7F)))
+
+
+def evidence_spans(source: Column, fragment: Column) -> Column:
+    """Every half-open span (start, end; characters from 0) of the source that is the fragment, full-width forms folded.
 
-    ``pairs`` are candidates; a pair's tier is the first condition that holds.
+    The text is cut before each occurrence, overlapping ones too, so the work is in proportion to it.
     """
-    tier = F.lit(None).cast("int")
-    for i, condition in reversed(list(enumerate(tiers))):
-        tier = F.when(F.coalesce(condition, F.lit(False)), i).otherwise(tier)
-    own = pairs.select(left, right, tier.alias("tier")).where("tier is not null").distinct()
-    best = own.groupBy(left, "tier").agg(F.count("*").alias("n"), F.min(right).alias(right)).groupBy(left).agg(F.min_by(F.struct("tier", "n", right), "tier").alias("b"))
-    return best.select(left, "b.tier", F.when(F.col("b.n") == 1, F.col(f"b.{right}")).alias(right), F.when(F.col("b.n") == 1, "unique").otherwise("ambiguous").alias("status"))
+    text, needle = F.translate(source, FULL_WIDTH, HALF_WIDTH), F.translate(fragment, FULL_WIDTH, HALF_WIDTH)
+    ahead = F.concat(F.lit("(?=\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    sizes = F.transform(F.split(text, ahead), lambda p: F.length(p))
+    ends = F.aggregate(sizes, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+    starts = F.concat(F.when(F.startswith(text, needle), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.slice(ends, 2, F.greatest(F.size(ends) - 2, F.lit(0))))
+    found = F.transform(starts, lambda s: F.struct(s.alias("start"), (s + F.length(needle)).alias("end")))
+    return F.when(F.length(needle) > 0, found).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def reciprocal(pairs: DataFrame, left: str, right: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as tf
@@ -14,16 +14,30 @@ def term_counts(rows: DataFrame, id_col: str, text_col: str, as_id: str) -> Data
     return rows.select(F.col(id_col).alias(as_id), F.explode(tf.tokens(text_col)).alias("token")).groupBy(as_id, "token").agg(F.count("*").alias("n"))
 
 
+#: Rows of (query, token) up to which the queries go to every task.
+ASKED = 500_000
+
+
 def lexical_scores(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str) -> DataFrame:
     """query_id, doc_id, lexical: the share of a query's tokens, with repeats, that the document has. Pairs without any aren't listed.
 
-    An equi-join on tokens with one row for each token of a text; its sums are combined before the exchange.
+    Documents are dealt once, by id; while the queries are few (checked) they are broadcast, so tokens that no query asks for go
+    before they are counted, frequent tokens meet where their documents are, and the sums need no further exchange. Many queries
+    meet the documents' counted tokens in a join.
     """
     q = term_counts(queries, query_id, query_text, "query_id").withColumnRenamed("n", "qn")
-    d = term_counts(docs, doc_id, doc_text, "doc_id")
-    total = q.groupBy("query_id").agg(F.sum("qn").alias("total"))
-    both = d.join(q, "token").groupBy("query_id", "doc_id").agg(F.sum(F.least("n", "qn")).alias("covered"))
-    return both.join(total, "query_id").select("query_id", "doc_id", (F.col("covered") / F.col("total")).alias("lexical"))
+    total = Window.partitionBy("query_id")
+    q = q.withColumn("total", F.sum("qn").over(total))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
+    few = q.limit(ASKED + 1).count() <= ASKED
+    if few:
+        asked = F.broadcast(q.select("token").distinct())
+        d = own.repartition("doc_id").select("doc_id", F.explode(tf.tokens("text")).alias("token")).join(asked, "token", "left_semi").groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+        met = d.join(F.broadcast(q), "token")
+    else:
+        met = term_counts(own, "doc_id", "text", "doc_id").join(q, "token")
+    both = met.groupBy("query_id", "doc_id").agg(F.sum(F.least("n", "qn")).alias("covered"), F.first("total").alias("total"))
+    return both.select("query_id", "doc_id", (F.col("covered") / F.col("total")).alias("lexical"))
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -77,3 +91,16 @@ def chunk_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def guard_unique(rows: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def refresh_index(index: DataFrame, docs: DataFrame, id_col: str, text_col: str, fingerprint: Column) -> DataFrame:
+    """The next state of an index of chunks (doc, mark, index, chunk, chunk_id).
+
+    Documents with the same fingerprint keep their chunks; only new and changed ones are cut again; those that are gone leave.
+    """
+    own = docs.withColumn("mark", fingerprint)
+    known = index.select(F.col("doc").alias(id_col), F.col("mark").alias("_m")).distinct()
+    changed = own.join(known, id_col, "left").where(~F.col("mark").eqNullSafe(F.col("_m"))).drop("_m")
+    kept = index.join(own.select(F.col(id_col).alias("doc"), "mark"), ["doc", "mark"], "left_semi")
+    cut = chunk_table(changed, id_col, text_col).join(changed.select(F.col(id_col).alias("doc"), "mark"), "doc")
+    return kept.select("doc", "mark", "index", "chunk", "chunk_id").unionByName(cut.select("doc", "mark", "index", "chunk", "chunk_id"))

@@ -29,3 +29,15 @@ def retry_state(attempts: Column, last_ts: Column, now: Column, base: int = 60,
     pause = F.least(F.lit(longest), F.lit(base) * F.pow(F.lit(2), attempts - 1))
     age = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(last_ts.cast("timestamp"))
     return F.when(attempts >= limit, "exhausted").when(age < pause, "waiting").otherwise("ready")
+
+
+def scope_digest(*parts: str | Column) -> Column:
+    """A digest of what a run covers, in a stated order."""
+    return F.sha2(F.to_json(F.array(*(F.lit(p) if isinstance(p, str) else p for p in parts))), 256)
+
+
+def resume_states(work: DataFrame, attempts: DataFrame, key: str, digest: Column, most: int = 3) -> DataFrame:
+    """pending, retry, exhausted or done for each row of the work. ``attempts``: key, scope, ok; only those of the same scope count."""
+    own = attempts.where(F.col("scope") == digest).groupBy(key).agg(F.count_if(~F.col("ok")).alias("_failed"), F.bool_or("ok").alias("_done"))
+    state = F.when(F.col("_done"), "done").when(F.col("_failed") >= most, "exhausted").when(F.col("_failed") > 0, "retry").otherwise("pending")
+    return work.join(own, key, "left").select(*work.columns, state.alias("state"))

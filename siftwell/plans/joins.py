@@ -80,14 +80,14 @@ def j10(spark, folder):
     return j.multi_key_match(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), "id", "id", ["a", "b"])
 
 
-@query("j11_lead_reconciliation", """WITH lead AS (SELECT p_partkey AS id, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' project' ELSE '' END AS name FROM part), alias AS (SELECT p_name AS name, min(p_partkey) AS company FROM part WHERE p_partkey < 30 GROUP BY p_name),
+@query("j11_lead_reconciliation", """WITH lead AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'new ' ELSE '' END || p_name || CASE WHEN p_partkey % 3 = 0 THEN ' project' ELSE '' END AS name FROM part), alias AS (SELECT p_name AS name, min(p_partkey) AS company FROM part GROUP BY p_name),
   e AS (SELECT lead.id, company, length(alias.name) AS n FROM lead JOIN alias ON lead.name = alias.name OR starts_with(lead.name, alias.name || ' '))
   SELECT lead.id, max_by(company, n) AS company, CASE WHEN count(company) > 0 THEN 'matched' ELSE 'new' END AS bucket FROM lead LEFT JOIN e ON lead.id = e.id GROUP BY lead.id""")
 def j11(spark, folder):
     """By name, else by the longest name that is a whole-word prefix: leads are exploded into their prefixes, so both are equi-joins."""
     rows = table(spark, folder, "part")
-    leads = rows.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " project").otherwise("")).alias("lead"))
-    alias = rows.where("p_partkey < 30").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("company"))
+    leads = rows.select(F.col("p_partkey").alias("id"), F.concat(F.when(F.col("p_partkey") % 5 == 0, "new ").otherwise(""), "p_name", F.when(F.col("p_partkey") % 3 == 0, " project").otherwise("")).alias("lead"))
+    alias = rows.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("company"))
     words = F.split("lead", " ")
     prefixes = leads.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))).alias("name"))
     hit = prefixes.join(alias, "name").groupBy("id").agg(F.max_by("company", F.length("name")).alias("company"))

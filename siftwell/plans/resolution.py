@@ -10,15 +10,21 @@ from siftwell.plans.registry import query
 from siftwell.session import table
 
 
-@query("e01_names_equal", r"""WITH a AS (SELECT p_partkey AS id, regexp_replace(lower(p_name || CASE WHEN p_partkey % 2 = 0 THEN ' Ltd' ELSE '' END), '[^a-z0-9]+', '', 'g') AS k FROM part WHERE p_partkey < 200)
-  SELECT x.id, count(*) AS n FROM a x JOIN a y ON x.id <> y.id AND (x.k = y.k OR (regexp_replace(x.k, '(co|inc|ltd|llc|gmbh|group)$', '') = regexp_replace(y.k, '(co|inc|ltd|llc|gmbh|group)$', '') AND length(regexp_replace(x.k, '(co|inc|ltd|llc|gmbh|group)$', '')) >= 3)) GROUP BY x.id""")
+ALIASES = (("redring", "hotring"), ("bluegear", "smallgear", "biggearltd"))
+MEMBER = "CASE " + " ".join(f"WHEN {{0}} = '{k}' THEN {i}" for i, group in enumerate(ALIASES) for k in group) + " END"
+
+
+@query("e01_names_equal", rf"""WITH a AS (SELECT p_partkey AS id, regexp_replace(lower(p_name || CASE WHEN p_partkey % 2 = 0 THEN ' Ltd' ELSE '' END), '[^a-z0-9]+', '', 'g') AS k FROM part),
+  n AS (SELECT k, regexp_replace(k, '(co|inc|ltd|llc|gmbh|group)$', '') AS stem, {MEMBER.format('k')} AS g, count(*) AS times FROM a GROUP BY 1, 2, 3),
+  m AS (SELECT x.k, CAST(sum(y.times) AS BIGINT) AS n FROM n x JOIN n y ON x.k = y.k OR (x.stem = y.stem AND length(x.stem) >= 3) OR x.g = y.g GROUP BY x.k) SELECT id, m.n - 1 AS n FROM a JOIN m USING (k)""")
 def e01(spark, folder):
-    """An equi-join on the stem proposes, the rule decides."""
-    rows = table(spark, folder, "part").where("p_partkey < 200")
+    """How many others have the same name: counted by distinct name, so that no pair of rows is formed."""
     key = tf.company_key(F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " Ltd").otherwise("")))
-    own = rows.select(F.col("p_partkey").alias("id"), key.alias("k")).withColumn("stem", F.regexp_replace("k", "(co|inc|ltd|llc|gmbh|group)$", ""))
-    other = own.select(F.col("id").alias("id2"), F.col("k").alias("k2"), "stem")
-    return own.join(other, "stem").where((F.col("id") != F.col("id2")) & e.names_equal(F.col("k"), F.col("k2"))).groupBy("id").agg(F.count("*").alias("n"))
+    own = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), key.alias("k"))
+    times = own.groupBy("k").agg(F.count("*").alias("times"))
+    others = e.equal_names(times, "k", ALIASES).join(times.select(F.col("k").alias("other"), "times"), "other")
+    total = others.select("k", "times").unionAll(times).groupBy("k").agg(F.sum("times").alias("n"))
+    return own.join(total, "k").select("id", (F.col("n") - 1).alias("n"))
 
 
 @query("e02_short_name", r"SELECT p_partkey, length(s) >= 2 AND (position(s IN p_name) > 0 OR len(list_filter(list_distinct(string_split(s, '')), lambda c: NOT list_contains(string_split(p_name, ''), c))) = 0) AS fits FROM (SELECT p_partkey, p_name, lower(substr(p_type, 1, 3)) AS s FROM part)")
@@ -26,58 +32,105 @@ def e02(spark, folder):
     return table(spark, folder, "part").select("p_partkey", e.short_name(F.lower(F.substring("p_type", 1, 3)), F.col("p_name")).alias("fits"))
 
 
-@query("e05_exact_match", "SELECT o_custkey, o_orderpriority, CASE count(*) WHEN 1 THEN 'unique' ELSE 'ambiguous' END AS status FROM orders WHERE o_orderstatus = 'P' GROUP BY 1, 2")
+@query("e05_exact_match", "SELECT o_custkey, o_orderpriority, CASE count(*) WHEN 1 THEN 'unique' ELSE 'ambiguous' END AS status FROM orders GROUP BY 1, 2")
 def e05(spark, folder):
-    return table(spark, folder, "orders").where("o_orderstatus = 'P'").groupBy("o_custkey", "o_orderpriority").agg(F.when(F.count("*") == 1, "unique").otherwise("ambiguous").alias("status"))
+    return table(spark, folder, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.when(F.count("*") == 1, "unique").otherwise("ambiguous").alias("status"))
+
+
+NEXT = "n AS (SELECT p_partkey - 1 AS p_partkey, p_name AS other FROM part)"
+
 
+def with_next(spark, folder):
+    """Each part with the name of the next one."""
+    rows = table(spark, folder, "part")
+    return rows.join(rows.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other")), "p_partkey", "left")
 
-@query("e06_department_title", "SELECT p_partkey, position(split_part(p_name, ' ', 2) IN lower(p_type || ' ring widget')) > 0 AS fits FROM part")
+
+@query("e06_department_title", f"WITH {NEXT} SELECT p_partkey, coalesce(position(split_part(p_name, ' ', 2) IN other) > 0, false) AS fits FROM part LEFT JOIN n USING (p_partkey)")
 def e06(spark, folder):
-    """A title without its department, contained in a text."""
-    return table(spark, folder, "part").select("p_partkey", F.contains(F.lower(F.concat("p_type", F.lit(" ring widget"))), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("fits"))
+    """A title without its department, contained in another text."""
+    fits = F.contains("other", F.split_part("p_name", F.lit(" "), F.lit(2)))
+    return with_next(spark, folder).select("p_partkey", F.coalesce(fits, F.lit(False)).alias("fits"))
 
 
 @query("e07_tiered_match", """WITH p AS (SELECT s_suppkey AS l, c_custkey AS r, CASE WHEN s_suppkey = c_custkey THEN 0 WHEN abs(s_acctbal - c_acctbal) < 20 THEN 1 WHEN s_suppkey % 50 = c_custkey % 50 THEN 2 END AS tier FROM supplier JOIN customer ON s_nationkey = c_nationkey),
   m AS (SELECT l, min(tier) AS tier FROM p WHERE tier IS NOT NULL GROUP BY l)
   SELECT l, tier, CASE WHEN count(*) = 1 THEN min(r) END AS r, CASE WHEN count(*) = 1 THEN 'unique' ELSE 'ambiguous' END AS status FROM p JOIN m USING (l, tier) GROUP BY l, tier""")
 def e07(spark, folder):
-    s, c = table(spark, folder, "supplier"), table(spark, folder, "customer")
-    pairs = s.join(c, s.s_nationkey == c.c_nationkey).withColumns({"l": F.col("s_suppkey"), "r": F.col("c_custkey")})
-    tiers = [F.col("l") == F.col("r"), F.abs(F.col("s_acctbal") - F.col("c_acctbal")) < 20, F.col("l") % 50 == F.col("r") % 50]
-    return e.tiered_match(pairs, "l", "r", tiers)
-
-
-@query("e08_agreement", r"SELECT o_orderkey, year(o_orderdate) = CAST(regexp_extract('batch ' || (1994 + o_orderkey % 9), '([0-9]{4})', 1) AS INTEGER) AS agrees FROM orders")
+    """Tier by tier on its own key: equal numbers, balances in the same or a neighbouring bin, equal remainders."""
+    s = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("a"))
+    c = table(spark, folder, "customer").select(F.col("c_custkey").alias("r"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("b"))
+    bin_of = lambda x: F.floor(F.col(x) / 20)
+    near = s.withColumn("bin", F.explode(F.array(bin_of("a") - 1, bin_of("a"), bin_of("a") + 1))).join(c.withColumn("bin", bin_of("b")), ["nation", "bin"])
+    tiers = [
+        s.join(c.withColumn("l", F.col("r")), ["nation", "l"]),
+        near.where(F.abs(F.col("a") - F.col("b")) < 20),
+        s.withColumn("m", F.col("l") % 50).join(c.withColumn("m", F.col("r") % 50), ["nation", "m"]),
+    ]
+    return e.tiered_match(tiers, "l", "r")
+
+
+@query("e08_agreement", """WITH t AS (SELECT o_orderkey, o_orderkey % 4 AS q, o_orderpriority AS a, o_orderkey % 3 AS y, o_orderkey % 5 AS z, o_orderkey % 7 AS c, o_custkey % 2 AS d FROM orders)
+  SELECT o_orderkey, q <> 0 AND (y = 0 OR y = 1) AND (z <> 2 OR d = 1) AND c <> 6 AS agrees FROM t""")
 def e08(spark, folder):
-    stated = F.regexp_extract(F.concat(F.lit("batch "), (F.lit(1994) + F.col("o_orderkey") % 9).cast("string")), "([0-9]{4})", 1)
-    return table(spark, folder, "orders").select("o_orderkey", (F.year("o_orderdate") == stated.cast("int")).alias("agrees"))
+    """Titles with tags of year, city and choice; each tag differs for some rows and is left out for others."""
+    k = F.col("o_orderkey")
+    year = F.element_at(F.array(F.lit("2027届-"), F.lit("27届-"), F.lit("[2026]-")), (k % 3 + 1).cast("int"))
+    city = F.when(k % 5 == 2, " (Berlin)").otherwise("")
+    left = F.concat(F.lit("2027届-"), "o_orderpriority", F.when(F.col("o_custkey") % 2 == 1, " (BERLIN)").otherwise(" (Paris)"), F.when(k % 7 == 6, " [choice 1]").otherwise(""))
+    right = F.concat(year, "o_orderpriority", F.when(k % 4 == 0, " lead").otherwise(""), city, F.lit(" [choice 2]"))
+    facts = table(spark, folder, "orders").select("o_orderkey", e.stated_facts(left).alias("a"), e.stated_facts(right).alias("b"))
+    return facts.select("o_orderkey", e.facts_agree(F.col("a"), F.col("b")).alias("agrees"))
 
 
-@query("e09_title_in_context", r"SELECT p_partkey, regexp_matches(p_name || ' and more', '(^|[^\p{L}\p{N}])ring([^\p{L}\p{N}]|$)') AS found FROM part")
+@query("e09_title_in_context", rf"WITH {NEXT} SELECT p_partkey, coalesce(regexp_matches(CASE WHEN p_partkey % 3 = 0 THEN replace(other, ' ', '') ELSE other END, '(^|[^\p{{L}}\p{{N}}])' || split_part(p_name, ' ', 2) || '([^\p{{L}}\p{{N}}]|$)'), false) AS found FROM part LEFT JOIN n USING (p_partkey)")
 def e09(spark, folder):
-    return table(spark, folder, "part").select("p_partkey", F.concat("p_name", F.lit(" and more")).rlike(r"(?<![\p{L}\p{N}])ring(?![\p{L}\p{N}])").alias("found"))
+    """A row's title in the text of another, as whole words."""
+    text = F.when(F.col("p_partkey") % 3 == 0, F.replace("other", F.lit(" "), F.lit(""))).otherwise(F.col("other"))
+    title = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(r"\E(?![\p{L}\p{N}])"))
+    return with_next(spark, folder).select("p_partkey", F.coalesce(F.rlike(text, title), F.lit(False)).alias("found"))
 
 
-@query("e10_quote_provenance", r"SELECT conv_id, turn, position(regexp_replace(substr(text, 5, 20), '\s+', ' ', 'g') IN regexp_replace(text, '\s+', ' ', 'g')) > 0 AND turn % 4 <> 3 AS grounded FROM conversations")
+@query("e10_quote_provenance", r"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '\s+', ' ', 'g') AS own, regexp_replace(substr(text, 5, 20), '\s+', ' ', 'g') AS quote FROM conversations),
+  n AS (SELECT conv_id, turn - 1 AS turn, quote AS theirs FROM t) SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'content_digest_mismatch' WHEN position(trim(CASE WHEN turn % 2 = 0 THEN quote ELSE coalesce(theirs, quote) END) IN trim(own)) = 0 THEN 'evidence_quote_not_found' END AS error
+  FROM t LEFT JOIN n USING (conv_id, turn)""")
 def e10(spark, folder):
-    """A quote counts if it stands in the source, white space aside."""
-    flat = lambda c: F.regexp_replace(c, r"\s+", " ")
-    return table(spark, folder, "conversations").select("conv_id", "turn", (F.contains(flat("text"), flat(F.substring("text", 5, 20))) & (F.col("turn") % 4 != 3)).alias("grounded"))
+    """Proposals that quote the stored text with other white space, or the text of the next turn, some for an older revision."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "text", F.substring("text", 5, 20).alias("quote"))
+    theirs = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("quote").alias("theirs"))
+    quote = F.when(F.col("turn") % 2 == 0, F.regexp_replace("quote", " ", "\n ")).otherwise(F.coalesce("theirs", "quote"))
+    digest = F.sha2("text", 256)
+    error = e.provenance_error(F.when(F.col("turn") % 4 == 3, "stale").otherwise(digest), digest, F.array(quote), [F.lit(""), F.col("text")])
+    return rows.join(theirs, ["conv_id", "turn"], "left").select("conv_id", "turn", error.alias("error"))
 
 
-@query("e11_aligned_authentication", "SELECT conv_id, bool_or(role = 'user' AND turn % 2 = 0) AS aligned FROM conversations GROUP BY conv_id")
+@query("e11_aligned_authentication", """SELECT o_orderkey, bool_or(l_linenumber <> 4 AND l_returnflag = 'N' AND l_linestatus = 'O' AND (l_linenumber % 2 = 1 OR (o_custkey % 3 = o_orderkey % 3 AND o_custkey % 3 = l_suppkey % 3))) AS aligned
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
 def e11(spark, folder):
-    rows = table(spark, folder, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", "turn")).alias("checks"))
-    return rows.select("conv_id", F.exists("checks", lambda c: (c["role"] == "user") & (c["turn"] % 2 == 0)).alias("aligned"))
-
-
-@query("e12_binding_revision", "SELECT o_custkey, sha256(string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey)) AS revision, count(*) AS bound FROM orders WHERE o_totalprice > 300000 GROUP BY o_custkey")
+    """Lines as results of authentication: DKIM counts by itself, SPF only where sender, return path and identity are one domain."""
+    k = F.col("l_linenumber")
+    name = lambda c, dot="": F.concat(F.lit("M"), (F.col(c) % 3).cast("string"), F.lit(f".example{dot}"))
+    result = F.struct(
+        F.when(k != 4, "mx").alias("authserv_id"), F.when(k % 2 == 1, "dkim").otherwise("spf").alias("method"), F.when(F.col("l_returnflag") == "N", "pass").otherwise("fail").alias("result"),
+        (F.col("l_linestatus") == "O").alias("aligned"), F.lower(name("l_suppkey")).alias("identity_domain"),
+    )
+    results = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(result).alias("results"))
+    mails = table(spark, folder, "orders").join(results, "o_orderkey")
+    return mails.select("o_orderkey", e.aligned_authentication("results", name("o_custkey", "."), name("o_orderkey")).alias("aligned"))
+
+
+@query("e12_binding_revision", "SELECT o_custkey, sha256(string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey)) AS revision, count(*) AS bound FROM orders GROUP BY o_custkey")
 def e12(spark, folder):
-    rows = table(spark, folder, "orders").where("o_totalprice > 300000").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("b"))
+    rows = table(spark, folder, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("b"))
     text = F.array_join(F.transform("b", lambda x: F.concat(x["o_orderkey"].cast("string"), F.lit(":"), x["o_orderstatus"])), ",")
     return rows.select("o_custkey", F.sha2(text, 256).alias("revision"), F.size("b").cast("long").alias("bound"))
 
 
-@query("e13_evidence_span", "SELECT doc_id, position('the' IN lower(text)) AS starts FROM documents")
+@query("e13_evidence_span", """WITH p AS (SELECT doc_id, text, '. ' || substr(text, 1, 1) AS f, string_split(text, '. ' || substr(text, 1, 1)) AS parts FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, len(parts) - 1 AS spans, CASE WHEN len(parts) > 1 THEN length(parts[1]) END AS first_start, CASE WHEN len(parts) > 1 THEN length(text) - length(parts[-1]) END AS last_end FROM p""")
 def e13(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.locate("the", F.lower("text")).cast("long").alias("starts"))
+    """Where a document has sentences that begin as it does itself."""
+    rows = table(spark, folder, "documents").where("text is not null")
+    spans = rows.select("doc_id", e.evidence_spans(F.col("text"), F.concat(F.lit(". "), F.substring("text", 1, 1))).alias("s"))
+    ends = [F.try_element_at("s", F.lit(1))["start"], F.try_element_at("s", F.lit(-1))["end"]]
+    return spans.select("doc_id", F.size("s").cast("long").alias("spans"), ends[0].cast("long").alias("first_start"), ends[1].cast("long").alias("last_end"))

@@ -59,7 +59,10 @@ def hybrid(spark, folder):
     vectors = table(spark, folder, "embeddings")
     q = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     d = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("d"))
-    scored = lexical(spark, folder).join(q, "query_id").join(d, "doc_id").withColumn("cosine", v.cosine("q", "d")).drop("q", "d")
+    have = vectors.select(F.col("vec_id").alias("doc_id"))
+    docs = table(spark, folder, "documents").join(have, "doc_id", "left_semi")  # texts without a vector have no score
+    lexical = v.lexical_scores(table(spark, folder, "benchmark"), docs, "item_id", "text", "doc_id", "text")
+    scored = lexical.join(q, "query_id").join(d, "doc_id").withColumn("cosine", v.cosine("q", "d")).drop("q", "d")
     scored = scored.withColumns({"score": F.round(v.hybrid("lexical", "cosine"), 9), "lexical": F.round("lexical", 9), "cosine": F.round("cosine", 9)})
     return v.retrieve(scored, 5)
 
@@ -86,6 +89,16 @@ def v07(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.sha2(F.concat_ws(":", "source", F.col("doc_id").cast("string"), F.sha2("text", 256)), 256).alias("fingerprint"))
 
 
+@query("v08_refreshed_index")
+def v08(spark, folder):
+    """An index of older documents brought up to date: some texts changed since, some documents are new and some are gone."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    mark = F.sha2("text", 256)
+    older = docs.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))).withColumn("mark", mark)
+    index = v.chunk_table(older, "doc_id", "text").join(older.select(F.col("doc_id").alias("doc"), "mark"), "doc")
+    return v.refresh_index(index, docs.where("doc_id % 11 <> 0"), "doc_id", "text", mark).select("doc", "index", "chunk_id")
+
+
 @query("v09_filtered_vectors", "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT e AS qe FROM v WHERE vec_id = 7) SELECT vec_id, round(greatest(0, 1 - (1 - list_dot_product(e, qe) / sqrt(list_dot_product(e, e)) / sqrt(list_dot_product(qe, qe)))), 6) AS score FROM v, q WHERE label = 3 ORDER BY list_dot_product(e, qe) / sqrt(list_dot_product(e, e)) DESC, vec_id LIMIT 8")
 def v09(spark, folder):
     """T5: exact search within a metadata filter; the one query vector is a scalar subquery."""

@@ -40,25 +40,32 @@ def u05(spark, folder):
     return table(spark, folder, "events").select("user_id").distinct().join(known, "user_id", "left_anti")
 
 
-COMPONENTS = """WITH RECURSIVE e AS (SELECT DISTINCT p_name AS a, p_brand AS b FROM part WHERE p_size = 7), v AS (SELECT DISTINCT x.a AS u, y.a AS w FROM e x JOIN e y ON x.b = y.b),
-  r AS (SELECT u, w FROM v UNION SELECT r.u, v.w FROM r JOIN v ON r.w = v.u) SELECT u AS node, min(w) AS component FROM r GROUP BY u"""
+# Parts and the two identities that each has, of size and brand and of name and price; components by their smallest part.
+COMPONENTS = """WITH RECURSIVE e AS (SELECT p_partkey AS a, 's' || p_size || p_brand AS b FROM part UNION ALL SELECT p_partkey, 'n' || p_name || CAST(floor(p_retailprice / 7) AS BIGINT) % 40 FROM part),
+  v AS (SELECT b, min(a) AS hub FROM e GROUP BY b), x AS (SELECT DISTINCT a AS u, hub AS w FROM e JOIN v USING (b) WHERE a <> hub), y AS (SELECT u, w FROM x UNION SELECT w, u FROM x),
+  c(node, component) USING KEY (node) AS (SELECT p_partkey, p_partkey FROM part UNION (SELECT y.w, min(c.component) FROM c JOIN y ON c.node = y.u JOIN recurring.c AS now ON now.node = y.w WHERE c.component < now.component GROUP BY y.w))"""
+FIRST_IDENTITY = 1 << 60
 
 
-@query("u06_components", COMPONENTS)
+def identities(spark, folder):
+    """(p_partkey, p_type, identity): identities are numbers above all parts, so a part names each component."""
+    rows = table(spark, folder, "part")
+    kinds = F.array(F.xxhash64(F.lit("s"), "p_size", "p_brand"), F.xxhash64(F.lit("n"), "p_name", F.floor(F.col("p_retailprice") / 7) % 40))
+    return rows.select("p_partkey", "p_type", F.explode(F.transform(kinds, lambda h: F.shiftrightunsigned(h, 4) + FIRST_IDENTITY)).alias("identity"))
+
+
+@query("u06_components", f"{COMPONENTS} SELECT node, component FROM c")
 def u06(spark, folder):
-    """Names that share a brand, directly or by others; edges go through the brands, so no pairs are formed."""
-    rows = table(spark, folder, "part").where("p_size = 7").select("p_name", F.concat(F.lit("~"), "p_brand").alias("brand"))
-    return connected_components(rows, "p_name", "brand").where(~F.startswith("node", F.lit("~")))
+    """Records that share an identity, directly or by others; edges go through the identities, so no pairs are formed."""
+    return connected_components(identities(spark, folder), "p_partkey", "identity").where(F.col("node") < FIRST_IDENTITY)
 
 
-@query("u07_conflicts", """WITH RECURSIVE e AS (SELECT DISTINCT p_name AS a, p_brand AS b FROM part WHERE p_size = 7), v AS (SELECT DISTINCT x.a AS u, y.a AS w FROM e x JOIN e y ON x.b = y.b),
-  r AS (SELECT u, w FROM v UNION SELECT r.u, v.w FROM r JOIN v ON r.w = v.u), c AS (SELECT u, min(w) AS component FROM r GROUP BY u)
-  SELECT component, count(DISTINCT p_type) AS companies, count(DISTINCT p_type) >= 2 AS deferred FROM c JOIN part ON p_name = u AND p_size = 7 GROUP BY component""")
+@query("u07_conflicts", f"{COMPONENTS} SELECT component, count(DISTINCT p_type) AS companies, count(DISTINCT p_type) >= 2 AS deferred FROM c JOIN part ON p_partkey = node GROUP BY component")
 def u07(spark, folder):
-    rows = table(spark, folder, "part").where("p_size = 7")
-    edges = rows.select("p_name", F.concat(F.lit("~"), "p_brand").alias("brand"))
-    groups = connected_components(edges, "p_name", "brand").withColumnRenamed("node", "p_name")
-    return rows.join(groups, "p_name").groupBy("component").agg(F.count_distinct("p_type").alias("companies")).withColumn("deferred", F.col("companies") >= 2)
+    """Components whose records name two companies or more are deferred."""
+    groups = u06(spark, folder).withColumnRenamed("node", "p_partkey")
+    rows = table(spark, folder, "part").join(groups, "p_partkey")
+    return rows.groupBy("component").agg(F.count_distinct("p_type").alias("companies")).withColumn("deferred", F.col("companies") >= 2)
 
 
 @query("u08_concatenate", "SELECT l_orderkey, arg_max(l_quantity, l_linenumber * 1000 + l_partkey / 1e6) AS quantity FROM (SELECT * FROM lineitem WHERE l_linenumber <= 3 UNION ALL SELECT * FROM lineitem WHERE l_linenumber > 2) GROUP BY l_orderkey")

@@ -36,12 +36,21 @@ def s06(spark, folder):
     return rd.parse_lines(lines, "line", "k bigint").groupBy("line_state").agg(F.count("*").alias("n"))
 
 
-@query("s08_overlapping_pages", "SELECT l_orderkey, count(*) AS copies FROM (SELECT * FROM lineitem WHERE l_linenumber <= 2 UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 2) GROUP BY l_orderkey HAVING count(DISTINCT l_partkey) = 1")
+@query("s08_overlapping_pages", """WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey, l_linenumber FROM lineitem), r AS (SELECT id, l_partkey FROM p UNION ALL SELECT id, l_partkey + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END FROM p WHERE l_linenumber = 2)
+  SELECT id, count(*) AS copies FROM r GROUP BY id HAVING count(DISTINCT l_partkey) = 1""")
 def s08(spark, folder):
-    """Pages that overlap: equal copies of an id count once, differing ones go."""
-    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    both = rows.where("l_linenumber <= 2").unionByName(rows.where("l_linenumber = 2"))
-    return ident.resolve_duplicates(both.select("l_orderkey", "l_partkey"), "l_orderkey", ["l_partkey"])[0].select("l_orderkey", "copies")
+    """Pages that overlap (a line in each order is read again, changed in some): equal copies of an id count once, differing ones go."""
+    rows = table(spark, folder, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_partkey", "l_linenumber")
+    again = rows.where("l_linenumber = 2").withColumn("l_partkey", F.col("l_partkey") + F.when(F.col("id") % 7 == 0, 1).otherwise(0))
+    return ident.resolve_duplicates(rows.unionByName(again).select("id", "l_partkey"), "id", ["l_partkey"])[0].select("id", "copies")
+
+
+@query("s08b_capture_resume", """WITH p AS (SELECT user_id, event_id % 40 AS page, count(*) AS total, max(event_id) AS newest FROM events GROUP BY 1, 2), t AS (SELECT *, lag(total) OVER (PARTITION BY user_id ORDER BY page) AS before FROM p)
+  SELECT user_id, min(page) FILTER (WHERE total <> before) - 1 AS reread_from, max(page) AS next_page FROM t GROUP BY user_id""")
+def s08b(spark, folder):
+    """Where a capture goes on: from the overlap before the first page whose stated total changed, else after the last page."""
+    pages = table(spark, folder, "events").groupBy("user_id", (F.col("event_id") % 40).alias("page")).agg(F.count("*").alias("total"))
+    return rd.capture_resume(pages, "user_id", "page", "total")
 
 
 @query("s09_packed_sheet")
@@ -95,9 +104,28 @@ def s22(spark, folder):
     return table(spark, folder, "events").groupBy("user_id").agg(F.count_distinct(key).alias("observed"), F.count("*").alias("raw"), F.max("ts").alias("finished"))
 
 
-@query("s24_full_sync", "SELECT c_custkey AS id, c_name AS name FROM customer")
+@query("s24_full_sync", """SELECT coalesce(n.id, o.id) AS id, coalesce(n.name, o.name) AS name, CASE WHEN o.id IS NULL THEN 'inserted' WHEN n.id IS NULL THEN 'kept' ELSE 'updated' END AS action
+  FROM (SELECT c_custkey AS id, upper(c_name) AS name FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT -1 - s_suppkey, s_name FROM supplier) o FULL JOIN (SELECT c_custkey AS id, c_name AS name FROM customer) n ON o.id = n.id""")
 def s24(spark, folder):
+    """A full snapshot over a target that lacks some rows, has older names for others and holds rows of its own."""
     from siftwell.operators.reconcile import merge
 
     rows = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return merge(rows.where("id % 2 = 0"), rows, "id", {}).select("id", "name")
+    own = table(spark, folder, "supplier").select((-1 - F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"))
+    target = rows.where("id % 3 <> 0").withColumn("name", F.upper("name")).unionByName(own)
+    return merge(target, rows, "id", {}).select("id", "name", "action")
+
+
+@query("s16_mailbox_cursor", """WITH m AS (SELECT user_id, event_id, CASE WHEN user_id % 3 = 0 THEN 2 ELSE 1 END AS validity, event_id % 5000 AS uid FROM events)
+  SELECT user_id, event_id FROM m WHERE uid > CASE WHEN validity = 1 THEN 2500 ELSE 0 END""")
+def s16(spark, folder):
+    """Messages after the cursor of each mailbox; a mailbox whose validity changed is read from its beginning."""
+    rows = table(spark, folder, "events").select("user_id", "event_id", F.when(F.col("user_id") % 3 == 0, 2).otherwise(1).alias("validity"), (F.col("event_id") % 5000).alias("uid"))
+    cursors = rows.select("user_id").distinct().withColumns({"validity": F.lit(1), "last_uid": F.lit(2500)})
+    return rd.after_cursor(rows, cursors, "user_id", "validity", "uid").select("user_id", "event_id")
+
+
+@query("hmac_sha256")
+def hmac(spark, folder):
+    """Keyed digests with built-in functions only; tests hold them against the library."""
+    return table(spark, folder, "documents").select("doc_id", tf.hmac_sha256(b"key of the sender", "text").alias("mac"))

@@ -67,11 +67,11 @@ def x07(spark, folder):
     return out.select("event_id", "props")
 
 
-@query("x08_retry_state", """WITH a AS (SELECT user_id, count(*) AS n, max(ts) AS t FROM events WHERE event_type = 'error' AND value > 20 GROUP BY user_id)
-  SELECT user_id, CASE WHEN n >= 12 THEN 'exhausted' WHEN floor(epoch(TIMESTAMP '2024-02-01') - floor(epoch(t))) < least(2000000, 600 * pow(2, n - 1)) THEN 'waiting' ELSE 'ready' END AS state FROM a""")
+@query("x08_retry_state", """WITH a AS (SELECT user_id, count(*) AS n, max(ts) AS t FROM events WHERE event_type = 'error' GROUP BY user_id)
+  SELECT user_id, CASE WHEN n >= 16 THEN 'exhausted' WHEN floor(epoch(TIMESTAMP '2024-02-01') - floor(epoch(t))) < least(2000000, 600 * pow(2, n - 1)) THEN 'waiting' ELSE 'ready' END AS state FROM a""")
 def x08(spark, folder):
-    rows = table(spark, folder, "events").where("event_type = 'error' and value > 20").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("t"))
-    return rows.select("user_id", sc.retry_state(F.col("n"), F.col("t"), F.lit("2024-02-01").cast("timestamp_ntz"), 600, 12, 2_000_000).alias("state"))
+    rows = table(spark, folder, "events").where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("t"))
+    return rows.select("user_id", sc.retry_state(F.col("n"), F.col("t"), F.lit("2024-02-01").cast("timestamp_ntz"), 600, 16, 2_000_000).alias("state"))
 
 
 @query("x09_freshness_gate", "SELECT user_id, max(ts) < TIMESTAMP '2024-01-20' AS sync FROM events WHERE event_type <> 'error' GROUP BY user_id")
@@ -84,3 +84,14 @@ def x09(spark, folder):
 def x11(spark, folder):
     out = st.sessions(table(spark, folder, "events"), "user_id", "ts", "2 hours")
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("finish"), "n")
+
+
+@query("r14_resume_scope", """WITH s AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 4 = 0 THEN 'old' ELSE 'now' END AS scope FROM orders), a AS (SELECT l_orderkey AS id, count(*) FILTER (WHERE l_returnflag <> 'N') AS failed, count(*) FILTER (WHERE l_returnflag = 'N' AND l_quantity > 40) AS done FROM lineitem GROUP BY 1)
+  SELECT s.id, CASE WHEN scope = 'old' THEN 'pending' WHEN done > 0 THEN 'done' WHEN failed >= 3 THEN 'exhausted' WHEN failed > 0 THEN 'retry' ELSE 'pending' END AS state FROM s LEFT JOIN a ON s.id = a.id""")
+def r14(spark, folder):
+    """What a run still has to do: attempts of the same scope count, three failures end it, other scopes' attempts don't matter."""
+    work = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 4 == 0, "old").otherwise("now").alias("s"))
+    ok = F.when(F.col("l_returnflag") != "N", F.lit(False)).when(F.col("l_quantity") > 40, F.lit(True))
+    tries = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("id"), ok.alias("ok")).where("ok is not null").join(work, "id")
+    attempts = tries.select("id", F.when(F.col("s") == "old", "older digest").otherwise(sc.scope_digest("now")).alias("scope"), "ok")
+    return sc.resume_states(work.select("id"), attempts, "id", sc.scope_digest("now"), 3)

@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,3 +157,23 @@ def sheet_rows(payloads: DataFrame, column: str, options: Mapping[str, str]) ->
 
 def canonical_json(value) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
+def capture_resume(pages: DataFrame, source: str, page: str, total: str) -> DataFrame:
+    """For each source the page before the first one whose stated total changed (null if none did), and its last page so far."""
+    own = pages.withColumn("_before", F.lag(total).over(Window.partitionBy(source).orderBy(page)))
+    changed = F.min(F.when(F.col(total) != F.col("_before"), F.col(page)))
+    return own.groupBy(source).agg((changed - 1).alias("reread_from"), F.max(page).alias("next_page"))
+
+
+def after_cursor(rows: DataFrame, cursors: DataFrame, box: str, validity: str, uid: str) -> DataFrame:
+    """Rows beyond the cursor of their box (box, validity, last_uid). Another validity, or no cursor, means from the beginning."""
+    known = cursors.select(box, F.col(validity).alias("_v"), F.col("last_uid").alias("_last"))
+    start = F.when(F.col("_v") == F.col(validity), F.col("_last")).otherwise(0)
+    return rows.join(known, box, "left").where(F.col(uid) > start).select(*rows.columns)
+
+
+def read_traces(spark: SparkSession, *paths: str, schema: str | None = None) -> DataFrame:
+    """Trace rows of several recorders together, with the file each came from; broken lines are kept in _corrupt_record."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.json(list(paths)).withColumn("trace_file", F.input_file_name())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,18 @@ def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_lines(df: DataFrame, path: str) -> None:
-    """JSON lines, replaced as a whole."""
-    df.write.mode("overwrite").json(path)
+    """JSON lines, replaced as a whole: written beside the path first, then put in its place by renaming.
+
+    A reader sees the old lines, or for a moment none, or the new ones, never half of them; a run that fails leaves the old ones.
+    """
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
+    df.write.json(beside)
+    jvm = df.sparkSession.sparkContext._jvm
+    new, own = (jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path))
+    fs = own.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(own, True)
+    if not fs.rename(new, own):
+        raise OSError(f"{beside} could not be renamed to {path}")
 
 
 def append_trace(df: DataFrame, path: str, secret: Sequence[str] = ()) -> None:

@@ -81,3 +81,17 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
 def progress(query) -> list[dict]:
     """What each micro-batch did, for a run log."""
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "ms": p["durationMs"].get("triggerExecution")} for p in query.recentProgress]
+
+
+STEPS = "run string, sequence long, stage string, status string, at timestamp"
+
+
+def record_step(spark: SparkSession, folder: str, run: str, sequence: int, stage: str, status: str) -> None:
+    """One step event of a run, stored as it happens; the same step written twice replaces itself."""
+    row = spark.createDataFrame([(run, sequence, stage, status)], "run string, sequence long, stage string, status string").withColumn("at", F.current_timestamp())
+    row.drop("run", "sequence").write.mode("overwrite").json(f"{folder}/run={run}/sequence={sequence}")
+
+
+def recorded_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """All step events, from the store."""
+    return spark.read.schema(STEPS).json(folder).select("run", "sequence", "stage", "status", "at")

@@ -216,7 +216,7 @@ def test_metrics_and_changes(spark):
 
 def test_tiers_and_reciprocity(spark):
     pairs = table(spark, [(1, 10, 0), (1, 11, 1), (2, 10, 1), (2, 11, 1), (3, 12, 9)], "l long, r long, t int")
-    got = {r.l: (r.tier, r.r, r.status) for r in resolution.tiered_match(pairs, "l", "r", [F.col("t") == 0, F.col("t") == 1]).collect()}
+    got = {r.l: (r.tier, r.r, r.status) for r in resolution.tiered_match([pairs.where("t = 0"), pairs.where("t = 1")], "l", "r").collect()}
     assert got == {1: (0, 10, "unique"), 2: (1, None, "ambiguous")}
     assert [tuple(r) for r in resolution.reciprocal(pairs, "l", "r").collect()] == [(3, 12)]
 
@@ -226,3 +226,89 @@ def test_schedules(spark):
     done = table(spark, [(1, "2024-01-03")], "id long, d string").select("id", F.to_date("d").alias("day"))
     got = {r.id: (str(r.claimed), r.skipped) for r in schedules.due_occurrences(plans, done, "id", "a", "b", F.lit("2024-01-04").cast("date")).collect()}
     assert got == {1: ("2024-01-04", 2)}
+
+
+def row_of(spark, *columns):
+    return spark.range(1).select(*(c.alias(f"c{i}") for i, c in enumerate(columns))).first()
+
+
+def test_hostile_pages(spark):
+    rows = spark.createDataFrame([(1, "<![foo[x]]>hi"), (2, None), (3, "<p>fine</p>")], "id long, html string")
+    got = {r.id: r.h for r in rows.select("id", tf.html_text("html").alias("h")).collect()}
+    assert (got[1].text, got[1].links, got[1].active) == ("", [], True) and got[2].text is None and got[3].text == "fine"
+
+
+def test_hmac_as_the_library(spark):
+    import hashlib
+    import hmac
+
+    for key in (b"", b"k", b"x" * 64, b"y" * 200):
+        for message in ("", "text", "é" * 500):
+            assert row_of(spark, tf.hmac_sha256(key, F.lit(message))).c0 == hmac.new(key, message.encode(), hashlib.sha256).hexdigest()
+
+
+def test_alignment_of_domains(spark):
+    def holds(sender="a.org", path="A.org.", **more):
+        r = {"authserv_id": "mx", "method": "spf", "result": "pass", "aligned": True, "identity_domain": "a.ORG"} | more
+        item = F.struct(*(F.lit(v).alias(k) for k, v in r.items()))
+        return row_of(spark, resolution.aligned_authentication(F.array(item), F.lit(sender), F.lit(path))).c0
+
+    assert holds() and holds(method="dkim", identity_domain="b.org")
+    assert not any((holds(authserv_id=""), holds(result="fail"), holds(aligned=False), holds(identity_domain="b.org"), holds(sender="b.org"), holds(path="org"), holds(path=None), holds(method="dmarc"), holds(authserv_id=None)))
+    assert not row_of(spark, resolution.aligned_authentication(F.lit(None).cast("array<struct<authserv_id:string,method:string,result:string,aligned:boolean,identity_domain:string>>"), F.lit("a.b"), F.lit("a.b"))).c0
+
+
+def test_provenance_and_facts(spark):
+    why = lambda digest, quotes: row_of(spark, resolution.provenance_error(F.lit(digest), F.lit("d"), F.array(*map(F.lit, quotes)), [F.lit("a  subject"), F.lit("some\nbody text")])).c0
+    assert why("d", ["some body", "a subject "]) is None and why("x", ["some body"]) == "content_digest_mismatch" and why("d", ["subject some"]) == "evidence_quote_not_found" and why(None, []) == "content_digest_mismatch"
+    agree = lambda a, b: row_of(spark, resolution.facts_agree(resolution.stated_facts(F.lit(a)), resolution.stated_facts(F.lit(b)))).c0
+    assert agree("27届-Data engineer (Berlin)", "2027-Data engineer") and not agree("27届-C", "2026-C") and not agree("C (Berlin)", "C (Paris)")
+    assert agree("C [choice 1]", "C") and not agree("C [choice 1]", "C [choice 2]") and not agree("C", "D") and not agree("27届-", "27届-")
+
+
+def test_spans(spark):
+    spans = lambda text, part: [tuple(s) for s in row_of(spark, resolution.evidence_spans(F.lit(text), F.lit(part))).c0]
+    assert spans("aaa", "aa") == [(0, 2), (1, 3)] and spans("xＡＢ ab", "AB") == [(1, 3)] and spans("a.b\\E", ".b\\E") == [(1, 5)] and spans("abc", "") == [] and spans("abc", "d") == [] and spans("", "d") == []
+
+
+def test_equal_names(spark):
+    keys = ["acme", "acmeltd", "acmeinc", "co", "coltd", "redring", "hotring", "", "zed"]
+    names = spark.createDataFrame([(k,) for k in keys], "k string")
+    got = {tuple(r) for r in resolution.equal_names(names, "k", [("redring", "hotring")]).collect()}
+    want = {(a, b) for a in keys[:3] for b in keys[:3] if a != b} | {("redring", "hotring"), ("hotring", "redring")}
+    assert got == want
+
+
+def test_components_by_hand(spark):
+    import random
+
+    from siftwell.operators.graph import connected_components
+
+    rng = random.Random(4)
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1060)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(250)] + [(5, None), (7000, 7000)]
+    label = {}
+
+    def find(x):
+        while label.setdefault(x, x) != x:
+            x = label[x]
+        return x
+
+    for a, b in edges:
+        if b is not None:
+            x, y = find(a), find(b)
+            label[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: find(k) for k in list(label)}
+
+
+def test_refreshed_index(spark):
+    from siftwell.operators import retrieval
+
+    mark = F.sha2("text", 256)
+    old = spark.createDataFrame([(1, "same"), (2, "before"), (3, "gone")], "id long, text string")
+    new = spark.createDataFrame([(1, "same"), (2, "after"), (4, "added")], "id long, text string")
+    index = retrieval.chunk_table(old, "id", "text").join(old.select(F.col("id").alias("doc"), mark.alias("mark")), "doc")
+    got = retrieval.refresh_index(index, new, "id", "text", mark)
+    assert sorted((r.doc, r.chunk) for r in got.collect()) == [(1, "same"), (2, "after"), (4, "added")]
+    again = retrieval.chunk_table(new, "id", "text").select("doc", "chunk_id").collect()
+    assert sorted(map(tuple, got.select("doc", "chunk_id").collect())) == sorted(map(tuple, again))

@@ -86,3 +86,26 @@ def test_monotone_log_over_batches(spark, tmp_path):
                 os.utime(f"{source}/{name}", (time.time() - 100 + 50 * i,) * 2) if os.path.getmtime(f"{source}/{name}") > time.time() - 40 else None
     out = st.run_to_table(st.monotone_log(st.file_stream(spark, source, 1), "k", "e", "s"), "log_test")
     assert {r.e for r in out.where("accepted").collect()} == {10, 11, 14}
+
+
+def test_lines_are_replaced_whole(spark, tmp_path):
+    path = f"{tmp_path}/lines"
+    wr.write_lines(spark.range(3), path)
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        wr.write_lines(broken, path)
+    assert spark.read.json(path).count() == 3
+    wr.write_lines(spark.range(5), path)
+    assert spark.read.json(path).count() == 5
+
+
+def test_steps_and_traces(spark, tmp_path):
+    for n, (stage, status) in enumerate([("fetch", "started"), ("fetch", "done"), ("write", "done")]):
+        st.record_step(spark, f"{tmp_path}/steps", "r1", n, stage, status)
+    st.record_step(spark, f"{tmp_path}/steps", "r1", 2, "write", "failed")
+    rows = st.recorded_steps(spark, f"{tmp_path}/steps").orderBy("sequence").collect()
+    assert [(r.run, r.sequence, r.stage, r.status) for r in rows] == [("r1", 0, "fetch", "started"), ("r1", 1, "fetch", "done"), ("r1", 2, "write", "failed")]
+    for k in "ab":
+        wr.append_trace(spark.createDataFrame([(k, "s")], "who string, token string"), f"{tmp_path}/trace-{k}", ["token"])
+    got = rd.read_traces(spark, f"{tmp_path}/trace-a", f"{tmp_path}/trace-b").collect()
+    assert {(r.who, r.token) for r in got} == {("a", "[REDACTED]"), ("b", "[REDACTED]")} and len({r.trace_file for r in got}) == 2
