@@ -3,8 +3,9 @@
 Index: vectors get one more component, sqrt(M^2 - |x|^2) with M the largest norm, so that the largest inner product is the
 nearest vector. Each of ``TREES`` trees cuts space by random hyperplanes at medians of a bounded sample (``SAMPLE`` vectors,
 fitted on the driver); every vector is then put into one leaf of each tree. Search: one priority queue over all trees gives a
-query its leaves in order of their margin; the number taken is the smallest that reaches ``RECALL`` on the sample (all leaves
-for tables of up to ``EXACT`` vectors). Candidates of the taken leaves are ranked exactly, in double precision.
+query its leaves in order of their margin; the number taken is the smallest that reaches ``RECALL`` on the sample, with as many
+of the trees as make that cheapest, at every size of the table. Candidates of the taken leaves are ranked exactly, in double
+precision; a query takes more leaves where these hold fewer vectors than it asks for.
 
 A leaf of many vectors or queries is cut into blocks of bounded size and all pairs of its blocks are searched, so no task
 holds a whole leaf. Equal vectors are indexed once, with the k + 1 smallest of their ids, which is all that an answer can use.
@@ -25,7 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TREES, SAMPLE, RECALL, EXACT = 8, 32_768, 0.98, 2_000
+from siftwell.llm import words as tw
+from siftwell.session import cut_lineage
+
+#: Most trees, vectors that they are fitted on, the share of the sample's neighbours that the leaves taken must hold.
+TREES, SAMPLE, RECALL = 8, 32_768, 0.98
 BLOCK, QUERY_BLOCK = 2048, 2048
 
 
@@ -40,8 +45,16 @@ class Forest:
     probes: int
 
     def extended(self, x: np.ndarray, query: bool) -> np.ndarray:
-        rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.norm**2 - np.einsum("ij,ij->i", x, x), 0))
-        return np.column_stack((x, rest))
+        """Vectors as shares of the largest norm, with one component more; queries at unit length, which their order doesn't depend on."""
+        if query:
+            x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 5e-324)
+            x = x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 5e-324)[:, None]
+            return np.column_stack((x, np.zeros(len(x))))
+        x = x / self.norm
+        return np.column_stack((x, np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", x, x), 0))))
+
+    def first(self, trees: int) -> Forest:
+        return Forest(self.normals[:trees], self.cuts[:trees], self.depth, self.norm, trees << self.depth)
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The cell (tree * leaves + leaf) of each vector in each tree."""
@@ -54,27 +67,32 @@ class Forest:
             out.append((t << self.depth) + node - (1 << self.depth) + 1)
         return np.column_stack(out)
 
-    def search(self, x: np.ndarray, probes: int | None = None) -> np.ndarray:
-        """The first cells of each query from a priority queue that all trees share."""
+    def search(self, x: np.ndarray, sizes: np.ndarray | None = None, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cells: the first cells of each query from a priority queue that all trees share.
+
+        With ``sizes`` of the cells a query goes on until the cells of one tree hold ``least`` vectors, or all do.
+        """
         trees, nodes = self.cuts.shape
-        probes = min(probes or self.probes, trees << self.depth)
+        probes = min(self.probes, trees << self.depth)
         flat = self.normals.reshape(trees * nodes, -1)
         margin = self.extended(x, True) @ flat.T - self.cuts.ravel()
-        out = np.empty((len(x), probes), np.int64)
-        inner = nodes
+        rows, cells = [], []
         for q, own in enumerate(margin.tolist()):
             queue = [(-np.inf, t, 0) for t in range(trees)]
-            found = 0
-            while found < probes:
+            found, held = 0, [0] * trees
+            while queue and (found < probes or (sizes is not None and max(held) < least)):
                 worst, t, node = heapq.heappop(queue)
-                while node < inner:  # down the near side; the far side waits
+                while node < nodes:  # down the near side; the far side waits
                     m = own[t * nodes + node]
                     far, near = (2 * node + 1, 2 * node + 2) if m >= 0 else (2 * node + 2, 2 * node + 1)
                     heapq.heappush(queue, (max(worst, abs(m)), t, far))
                     node = near
-                out[q, found] = (t << self.depth) + node - inner
+                cells.append((t << self.depth) + node - nodes)
+                if sizes is not None:
+                    held[t] += int(sizes[cells[-1]])
                 found += 1
-        return out
+            rows.append(found)
+        return np.repeat(np.arange(len(x)), rows), np.array(cells, np.int64)
 
 
 def fit(sample: np.ndarray, norm: float, depth: int, k: int, trees: int = TREES, recall: float = RECALL, seed: int = 7) -> Forest:
@@ -91,24 +109,29 @@ def fit(sample: np.ndarray, norm: float, depth: int, k: int, trees: int = TREES,
                 normal = rng.normal(size=x.shape[1])
                 if len(own) > 1:
                     a, b = x[rng.choice(own, 2, replace=False)]
-                    if (a != b).any():
+                    if np.linalg.norm(a - b) > 0:
                         normal = a - b
                 normal /= np.linalg.norm(normal)
                 along = x[own] @ normal
                 forest.normals[t, node], forest.cuts[t, node] = normal, np.median(along) if len(own) else 0.0
                 at[own] = 2 * node + 1 + (along >= forest.cuts[t, node])
-    if len(sample) <= EXACT:
+    if len(sample) < 2:
         return forest
-    asked = rng.choice(len(sample), min(300, len(sample)), replace=False)
-    scores = sample[asked] @ sample.T
+    k = min(k, len(sample) - 1)
+    asked = rng.choice(len(sample), min(300 if depth < 9 else 100, len(sample)), replace=False)
+    scores = forest.extended(sample[asked], True)[:, :-1] @ x[:, :-1].T
     scores[np.arange(len(asked)), asked] = -np.inf
-    best = np.argpartition(-scores, k, axis=1)[:, :k]
-    cells, order = forest.leaves(sample), forest.search(sample[asked], trees << depth)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
-    needed = np.sort(np.stack([place[i, cells[b]].min(axis=1) for i, b in enumerate(best)]).ravel())
-    forest.probes = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
-    return forest
+    best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    options = []
+    for own in {trees, max(1, trees // 2), max(1, trees // 4)}:
+        some = forest.first(own)
+        cells, order = some.leaves(sample), some.search(sample[asked])[1].reshape(len(asked), -1)
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+        needed = np.sort(np.stack([place[i, cells[b]].min(axis=1) for i, b in enumerate(best)]).ravel())
+        some.probes = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
+        options.append(some)
+    return min(options, key=lambda f: (f.probes, -len(f.cuts)))  # every leaf holds as many vectors
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -160,7 +183,7 @@ def _place(forest: Forest, blocks: np.ndarray, query_blocks: np.ndarray):
     return run
 
 
-def _probe(forest: Forest, blocks: np.ndarray, query_blocks: np.ndarray):
+def _probe(forest: Forest, sizes: np.ndarray, least: int, blocks: np.ndarray, query_blocks: np.ndarray):
     """Each query in each of its cells, once for every block of the cell's vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +191,7 @@ def _probe(forest: Forest, blocks: np.ndarray, query_blocks: np.ndarray):
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 ids, x = part.column(0).to_numpy(), np.ascontiguousarray(_vectors(part.column(1)).astype(np.float64))
-                cells = forest.search(x)
-                row, cell = np.repeat(np.arange(len(ids)), cells.shape[1]), cells.ravel()
+                row, cell = forest.search(x, sizes, least)
                 qblock = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % np.maximum(query_blocks[cell], 1)
                 times = blocks[cell]
                 at = np.repeat(np.arange(len(row)), times)
@@ -194,12 +216,15 @@ def _rank(k: int):
             own_ids = ids.to_pylist()
             first = np.array([i[0] for i in own_ids])
             asked, q = right.column("qid").to_numpy(), _packed(right.column("qvec").combine_chunks())
+            # what rounding can move a sum of products by, at most
+            long = np.sqrt(np.einsum("ij,ij->i", x, x)).max()
+            doubt = np.sqrt(np.einsum("ij,ij->i", q, q)) * long * (4 * x.shape[1] * np.finfo(float).eps)
             for a in range(0, len(q), 256):
                 rough = q[a : a + 256] @ x.T
                 edge = np.partition(rough, max(0, rough.shape[1] - k - 1), axis=1)[:, max(0, rough.shape[1] - k - 1)]
                 for i, line in enumerate(rough):
-                    near = np.flatnonzero(line >= edge[i] - 1e-9 * (1 + abs(edge[i])))
-                    exact = np.add.accumulate(x[near] * q[a + i], axis=1)[:, -1]  # from the first component to the last
+                    near = np.flatnonzero(~(line < edge[i] - doubt[a + i]))  # sums that overflow are looked at too
+                    exact = np.nan_to_num(np.add.accumulate(x[near] * q[a + i], axis=1)[:, -1], nan=-np.inf, posinf=np.inf, neginf=-np.inf)  # from the first component to the last
                     order = np.lexsort((first[near], -exact))[: k + 1]
                     pairs = [(-exact[j], v) for j in order for v in own_ids[near[j]] if v != asked[a + i]]
                     qids.append(int(asked[a + i]))
@@ -215,7 +240,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return own.where(F.coalesce(good, F.lit(False)))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", exact: int = EXACT) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), the neighbour's id and score for each row of ``queries`` against all of ``vectors``."""
     names = f"query_id long, rank int, {id_col} long, score double"
     every, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
@@ -226,16 +251,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     packed = every.mapInArrow(_distinct(k + 1), "vec binary, ids array<long>")
     # two steps: one vector that is most of the table gathers short lists only
     salted = packed.groupBy("vec", F.pmod(F.spark_partition_id(), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
-    distinct = salted.groupBy("vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")).persist()
+    distinct = cut_lineage(salted.groupBy("vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")))
     n = distinct.count()
-    norm = every.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0] ** 0.5
-    sample = distinct.orderBy(F.xxhash64("vec")).limit(SAMPLE).select("vec").collect()
+    largest = every.agg(F.max(F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double")))))).first()[0]
+    # in two factors, as squares of large components overflow
+    norm = largest * every.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x.cast("double") / largest) * (x.cast("double") / largest)))).first()[0] ** 0.5
+    sample = tw.hash_sample(distinct.select("vec"), "vec", n, SAMPLE).collect()
     x = np.frombuffer(b"".join(r.vec for r in sample), np.float64).reshape(-1, sizes.d)
-    depth = max(6, min(12, int(np.ceil(np.log2(max(1, n / BLOCK)))))) if n > exact else 3
+    depth = max(6, min(12, int(np.ceil(np.log2(max(1, n / BLOCK))))))
     forest = fit(x, norm, depth, k)
-    if n <= exact:
-        forest.probes = TREES << depth
-    cells = TREES << depth
+    cells = forest.cuts.shape[0] << depth
 
     def counted(df: DataFrame, column: str, maker) -> np.ndarray:
         """Rows of each cell; the number of cells is a constant of the forest."""
@@ -255,10 +280,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
         return run
 
-    blocks = -(-counted(distinct, "vec", count_cells(forest.leaves)) // BLOCK)
-    query_blocks = -(-counted(asked, "vec", count_cells(forest.search)) // QUERY_BLOCK)
+    sizes = counted(distinct, "vec", count_cells(forest.leaves))
+    blocks = -(-sizes // BLOCK)
+    query_blocks = -(-counted(asked, "vec", count_cells(lambda x: forest.search(x, sizes, k + 1)[1])) // QUERY_BLOCK)
     left = distinct.mapInArrow(_place(forest, blocks, query_blocks), "cell long, block long, qblock long, vec binary, ids array<long>")
-    right = asked.select("id", "vec").mapInArrow(_probe(forest, blocks, query_blocks), "cell long, block long, qblock long, qid long, qvec binary")
+    right = asked.select("id", "vec").mapInArrow(_probe(forest, sizes, k + 1, blocks, query_blocks), "cell long, block long, qblock long, qid long, qvec binary")
     keys = ("cell", "block", "qblock")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_rank(k), "qid long, best array<struct<less:double,id:long>>")
     best = found.groupBy("qid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))

@@ -83,15 +83,9 @@ QUERIES = {
         op1_ann, op2_substring_dedup, op3_license_scan, op4_quality, op5_toxicity, op6_token_counts, op7_simhash, op8_language_id, op9_decontamination, op10_byte_bpe
     )
 }
-#: SQL where it can say the contract; the other operators train models, hash shingles, encode tokens or align words, and tests hold
-#: those against brute force, the public libraries or held-out labels.
+#: SQL where it can say what the operator returns; the other operators search by an index whose recall is under 1, train models, hash
+#: shingles, encode tokens or align words, and tests hold those against brute force, the public libraries or held-out labels.
 ORACLES: dict[str, str] = {
-    # exact search; the operator's is exact too on tables of up to ann.EXACT vectors
-    "op1_ann": """
-        WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-        s AS (SELECT a.vec_id AS query_id, b.vec_id, list_reduce(list_transform(list_zip(a.e, b.e), lambda x: x[1] * x[2]), lambda s, x: s + x) AS score FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
-        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
-        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op3_license_scan": licenses.oracle(),
     "op2_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
