@@ -9,9 +9,9 @@ winnowing; it depends on the window's words alone, so equal windows have equal a
 anchor stand side by side; the stretch of words that they cover is the anchor *extended both ways* as far as the seed speaks
 for it, here called a block.
 
-1. Each task keeps the earliest of equal blocks that it has read; the others are repeats for certain. The earliest go to the
-   seed's partition, one row a block and task, so that a passage which a third of the documents share brings no more rows
-   there than there were tasks.
+1. Each task keeps the earliest of equal blocks that it has read (``_Seen``); later ones are repeats for certain. The earliest
+   go to the seed's partition: one row a block and task where ids rise, a few where they don't, so that a passage which a third
+   of the documents share brings no more rows there than there were tasks, whatever their size.
 2. There the earliest block of equal ones stays; where blocks of one seed differ (edges of repeats, edited copies), their
    earliest ones are compared window by window in a second, much smaller exchange. Adjacent repeated windows merge into
    maximal repeats when they are applied to the texts.
@@ -48,7 +48,32 @@ def _unpacked(found: DataFrame) -> DataFrame:
     return found.withColumn("s", s).withColumn("e", s + F.shiftright(F.col("at").bitwiseAND(0xFFFFFFFF), 1).cast("int")).withColumn("repeat", F.col("at").bitwiseAND(1) == 1)
 
 
-def _earliest(k1, k2, ids, s, e) -> Iterator[pa.RecordBatch]:
+class _Seen:
+    """The earliest places of the keys that a task has met, for up to ``most`` keys; what it doesn't hold travels."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most = most
+        self.h, self.k2 = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.ids, self.s = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def earlier(self, k1, k2, ids, s) -> np.ndarray:
+        """Which of the (distinct) keys have been met at an earlier place; keeps the earliest of all."""
+        h = tw.mix(k1) ^ k2
+        at = np.searchsorted(self.h, h)
+        near = np.minimum(at, max(0, len(self.h) - 1))
+        hit = (self.h[near] == h) & (self.k2[near] == k2) if len(self.h) else np.zeros(len(h), bool)
+        out = np.zeros(len(h), bool)
+        own = near[hit]
+        out[hit] = (self.ids[own] < ids[hit]) | ((self.ids[own] == ids[hit]) & (self.s[own] < s[hit]))
+        now = hit & ~out
+        self.ids[near[now]], self.s[near[now]] = ids[now], s[now]
+        new = np.flatnonzero(~hit)[: max(0, self.most - len(self.h))]
+        new = new[np.argsort(h[new], kind="stable")]
+        self.h, self.k2, self.ids, self.s = (np.insert(a, at[new], b[new]) for a, b in ((self.h, h), (self.k2, k2), (self.ids, ids), (self.s, s)))
+        return out
+
+
+def _earliest(k1, k2, ids, s, e, seen: _Seen | None = None) -> Iterator[pa.RecordBatch]:
     """The earliest of equal keys as they are; the others, merged where they touch, as repeats under a key of their own."""
     if not len(k1):
         return
@@ -58,6 +83,9 @@ def _earliest(k1, k2, ids, s, e) -> Iterator[pa.RecordBatch]:
     first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
     same = ~new & (ids[order] == ids[first]) & (s[order] == s[first])
     stay, again = np.sort(order[new]), order[~new & ~same]  # in the order of the texts, which packs better
+    if seen is not None:
+        gone = seen.earlier(k1[stay], k2[stay], ids[stay], s[stay])
+        stay, again = stay[~gone], np.concatenate((again, stay[gone]))
     yield _batch(tw.signed(k1[stay]), tw.signed(k2[stay]), ids[stay], s[stay], e[stay], False)
     if len(again):
         ids, s, e = ids[again], s[again], e[again]
@@ -73,10 +101,11 @@ def _earliest(k1, k2, ids, s, e) -> Iterator[pa.RecordBatch]:
 
 def _blocks(window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for batch in batches:
             ids_all = batch.column(0).to_numpy(zero_copy_only=False)
             offs, data = tw.buffers(batch.column(1))
-            for a, b in tw.pieces(offs, 2 << 20):  # large, as repeats within a piece don't travel
+            for a, b in tw.pieces(offs, 2 << 20):
                 starts, ends, rows = tw.spans(data, offs[a : b + 1])
                 if len(starts) < window:
                     continue
@@ -94,7 +123,7 @@ def _blocks(window: int, k: int):
                 row = rows[s]
                 base = np.searchsorted(rows, row)  # the document's first word
                 yield from _earliest(
-                    seeds[own[left]], tw.span_hash(hashes, s, e + window, 1), ids_all[a + row], (s - base).astype(np.int32), (e - base).astype(np.int32)
+                    seeds[own[left]], tw.span_hash(hashes, s, e + window, 1), ids_all[a + row], (s - base).astype(np.int32), (e - base).astype(np.int32), seen
                 )
 
     return run
