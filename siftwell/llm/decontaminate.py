@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import words as tw
+from siftwell.session import cut_lineage
 
 N, THRESHOLD, BROADCAST = 3, 0.5, 500_000
 MATCH, OTHER = 2, -1
@@ -251,7 +252,7 @@ def leaks(
     shape = "id long, item long, score double, seeds long, low long, end long"
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     tests = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null").distinct()
-    read = tests.mapInArrow(_items, "item long, words array<long>").where(F.size("words") >= n).persist()
+    read = cut_lineage(tests.mapInArrow(_items, "item long, words array<long>").where(F.size("words") >= n))
     if (read.agg(F.sum(F.size("words") - (n - 1))).first()[0] or 0) <= broadcast_limit:
         rows = read.orderBy("item", "words").collect()
         known = index(np.array([r.item for r in rows], np.int64), [np.array(r.words, np.int64).view(np.uint64) for r in rows], n)
