@@ -37,8 +37,8 @@ from siftwell.operators.graph import connected_components
 from siftwell.session import cut_lineage
 
 SHINGLE, RADIUS = 4, 4
-#: Sampled fingerprints, those of them that are held against each other for the plan, rows of a block.
-SAMPLE, PAIRED, BLOCK = 20_000, 2_000, 1024
+#: Sampled fingerprints, those of them that are held against each other for the plan, rows of a block; keys of buckets that may be broadcast.
+SAMPLE, PAIRED, BLOCK, FEW_KEYS = 20_000, 2_000, 4096, 100_000
 #: Radius for a Jaccard similarity of 0.8, the same for two fingerprints together, and bytes of shingles of a block.
 WIDE, BOTH, BLOCK_BYTES = 12, 30, 16 << 20
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -239,10 +239,14 @@ def _near(group: np.ndarray, rows: list[np.ndarray], radius: int, ratio: float)
     a, b = [], []
 
     def close(x: list, y: list) -> np.ndarray:
+        """Where rows x are close to rows y, or to the row y."""
         apart = np.bitwise_count(x[0] ^ y[0])
-        if not ratio:
-            return apart <= radius
-        return (apart <= radius) & (apart + np.bitwise_count(x[3] ^ y[3]) <= BOTH) & (np.minimum(x[2], y[2]) >= ratio * np.maximum(x[2], y[2]))
+        at = np.flatnonzero(apart <= radius)
+        if not ratio or not len(at):
+            return at
+        (second, size), (second_y, size_y) = ((c[3][at], c[2][at]) if np.ndim(c[0]) else (c[3], c[2]) for c in (x, y))
+        near = apart[at] + np.bitwise_count(second ^ second_y) <= BOTH
+        return at[near & (np.minimum(size, size_y) >= ratio * np.maximum(size, size_y))]
 
     edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     size = np.diff(np.append(edge, len(group)))
@@ -254,11 +258,11 @@ def _near(group: np.ndarray, rows: list[np.ndarray], radius: int, ratio: float)
             while front and len(own[0]):
                 f = front.pop()
                 hit = close(own, f)
-                if hit.any():
+                if len(hit):
                     b.append(own[1][hit])
                     a.append(np.full(len(b[-1]), f[1]))
                     front += map(list, zip(*(c[hit] for c in own), strict=True))
-                    own = [c[~hit] for c in own]
+                    own = [np.delete(c, hit) for c in own]
     small = np.repeat(size <= 256, size)
     group, rows = group[small], [c[small] for c in rows]
     at = np.arange(len(group))
@@ -306,8 +310,8 @@ def _links(radius: int, ratio: float):
     """Links of rows that come ordered by bucket and pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in _whole_groups(batches, 4, 20_000):
-            a, b = _near(_groups(own[:4]), [own[4].view(np.uint64), own[5], own[6], own[7].view(np.uint64)], radius, ratio)
+        for own in _whole_groups(batches, 1, 20_000):
+            a, b = _near(_groups(own[:1]), [own[1].view(np.uint64), own[2], own[3], own[4].view(np.uint64)], radius, ratio)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
@@ -319,11 +323,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return own.mapInArrow(_fingerprints(shingle, seed, both), "id long, fp long, n long, h long, fp2 long")
 
 
-def _in_blocks(rows: DataFrame, keys: list[str], own: str, columns: list[str]) -> DataFrame:
-    """Every row with column c, the number of its group's blocks, once for each pair (x, y) of blocks that its own is in; ordered for it."""
+def _in_blocks(rows: DataFrame, keys: list[str], own: str, columns: list[str], hashed: bool = False) -> DataFrame:
+    """Every row with column c, the number of its group's blocks, once for each pair (x, y) of blocks that its own is in; ordered for it.
+
+    The keys and the pair, or a hash of them, come first.
+    """
     block = F.pmod(F.xxhash64(own), F.col("c")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda x: F.struct(F.least(x, block).alias("x"), F.greatest(x, block).alias("y"))))
-    met = rows.select(*keys, pair.alias("p"), *columns).select(*keys, "p.x", "p.y", *columns)
+    met = rows.select(*keys, pair.alias("p"), *columns)
+    if hashed:
+        return met.select(F.xxhash64(*keys, "p").alias("g"), *columns).repartition("g").sortWithinPartitions("g")
+    met = met.select(*keys, "p.x", "p.y", *columns)
     return met.repartition(*keys, "x", "y").sortWithinPartitions(*keys, "x", "y")
 
 
@@ -337,8 +347,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK, ratio:
     parts = plan(np.array([r.fp for r in sample], np.int64).view(np.uint64), size, radius)
     rows = distinct.select("fp", "id", "n", "fp2").mapInArrow(_signatures(parts), "part int, key long, fp long, id long, n long, fp2 long, home int")
     live = rows.groupBy("part", "key").agg(F.count("*").alias("rows"), F.sum("home").alias("homes")).where("homes > 0 and rows > 1").drop("homes")
+    if sum(2 ** len(p) for p, _ in parts) <= FEW_KEYS:
+        live = F.broadcast(live)
     met = rows.join(live, ["part", "key"]).withColumn("c", F.ceil(F.col("rows") / block).cast("int"))
-    return _in_blocks(met, ["part", "key"], "fp", ["fp", "id", "n", "fp2"]).mapInArrow(_links(radius, ratio), "a long, b long")
+    # groups of buckets and blocks go by a hash: two that share it are only compared for nothing
+    return _in_blocks(met, ["part", "key"], "fp", ["fp", "id", "n", "fp2"], True).mapInArrow(_links(radius, ratio), "a long, b long")
 
 
 def near_duplicates(
