@@ -20,6 +20,13 @@ def _with(edges: DataFrame, by_node: DataFrame, size: int) -> DataFrame:
     return light.unionByName(edges.join(F.broadcast(hubs), "u"))
 
 
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a root, and no root an edge to another."""
+    roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    by_node = roles.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return by_node.where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node that can be reached) for every node of an edge; rows with a null end don't count.
 
@@ -28,7 +35,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null")
     loops = cut_lineage(ends.distinct())
-    now, seen, size = loops.where("u <> v"), None, 2 * loops.count()
+    now, size = loops.where("u <> v"), 2 * loops.count()
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.count("*").alias("degree"), F.least(F.min("v"), F.first("u")).alias("m"))
@@ -37,10 +44,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         moved = _with(large, small, size).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = moved.unionAll(small.select("u", F.col("m").alias("v")))
         now = cut_lineage(now.where("u <> v").distinct(), size)  # a round never has more edges than ends
-        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == seen or mark[0] == 0:
+        if _stars_only(now):
             break
-        seen = mark
     roots = loops.select("u").unionAll(loops.select("v")).distinct().withColumnRenamed("u", "node")
     # at the end every node has one edge, to the smallest one of its component
     return roots.join(now.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
