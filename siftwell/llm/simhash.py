@@ -143,7 +143,9 @@ def expected_cost(values: np.ndarray, width: int, n: int, most: int) -> dict[int
     A pair of distance d meets in as many buckets as the neighbourhoods of both have in common.
     """
     some = values[:PAIRED]
-    apart = np.bincount(np.bitwise_count(some[:, None] ^ some[None, :]).ravel(), minlength=width + 1).astype(float)
+    apart = np.zeros(width + 1)
+    for k in range(0, len(some), 100):  # small pieces: the driver holds little
+        apart += np.bincount(np.bitwise_count(some[k : k + 100, None] ^ some[None, :]).ravel(), minlength=width + 1)
     apart[0] -= len(some)
     share = apart / max(1, len(some) * (len(some) - 1))
     pairs = [max(share[d], comb(width, d) / 2.0**width) * n * n / 2 for d in range(min(most, width) + 1)]
