@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import ann, bpe, decontaminate, language_id, licenses, quality, simhash, substring_dedup, token_counts, toxicity
+from siftwell.llm import alignment, ann, bpe, decontaminate, language_id, licenses, line_dedup, quality, simhash, spelling, substring_dedup, token_counts, toxicity
 from siftwell.session import table
 
 
@@ -77,16 +77,32 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return token_digests(table(spark, folder, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(table(spark, folder, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_dedup.drop_shared_lines(table(spark, folder, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(table(spark, folder, "documents"), *paths).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_ann, op2_substring_dedup, op3_license_scan, op4_quality, op5_toxicity, op6_token_counts, op7_simhash, op8_language_id, op9_decontamination, op10_byte_bpe
+        op1_ann, op2_substring_dedup, op3_license_scan, op4_quality, op5_toxicity, op6_token_counts, op7_simhash, op8_language_id, op9_decontamination, op10_byte_bpe,
+        op11_spelling_variants, op12_line_dedup, op13_token_alignment,
     )
 }
 #: SQL where it can say what the operator returns; the other operators search by an index whose recall is under 1, train models, hash
 #: shingles, encode tokens or align words, and tests hold those against brute force, the public libraries or held-out labels.
 ORACLES: dict[str, str] = {
     "op3_license_scan": licenses.oracle(),
+    "op12_line_dedup": line_dedup.ORACLE,
     "op2_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         t AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
