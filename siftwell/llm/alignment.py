@@ -29,6 +29,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from siftwell.llm import words as tw
 from siftwell.session import cut_lineage
 
-STRIPES, BLOCKS, CACHE, CACHE_BYTES = 128, 4096, 200_000, 64 << 20
+STRIPES, BLOCKS, CACHE, CACHE_BYTES, RUN = 128, 4096, 200_000, 64 << 20, 64
 #: Bytes of text in one piece, and B ids that a pair's code leaves room for.
 PIECE, WIDE = 8 << 20, 1 << 24
 UNIT = re.compile(r"(?<=\S)(?= \S)")
@@ -101,6 +102,7 @@ class Units:
 
     def __init__(self, a: ByteLevel, b: Pieces):
         self.a, self.b = a, b
+        self.names_a, self.names_b = ([str(i) for i in range(t.size)] for t in (a, b))
         self.size_a, self.size_b = (np.array([len(x) for x in t.bytes], np.int64) for t in (a, b))
         self.clear()
 
@@ -112,42 +114,57 @@ class Units:
         self.start = np.zeros(1, np.int64)
         self.held = 0
 
-    def _learn(self, new: list[str]) -> None:
-        """All new units in one go: their bytes stand one behind another, and a unit's last byte ends tokens of both."""
-        known, flat = [], ([], [])
-        name_of = self.a.bytes, self.b.bytes
-        for text, *both in zip(new, self.a.encode(new), self.b.encode(new), strict=True):
+    def _encoded(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """Ids of both, or None where their bytes aren't the text."""
+        out = []
+        for text, a, b in zip(texts, self.a.encode(texts), self.b.encode(texts), strict=True):
             raw = text.encode()
-            known.append(all(b"".join([names[i] for i in ids]) == raw for names, ids in zip(name_of, both, strict=True)))
-            self.held += 64 + 2 * len(raw) + 16 * sum(map(len, both))
-            if known[-1]:
-                for out, ids in zip(flat, both, strict=True):
-                    out.append(ids)
-        known = np.array(known, bool)
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in flat)
-        a, b = (np.fromiter((i for x in ids for i in x), np.int64) for ids in flat)
+            same = b"".join(map(self.a.bytes.__getitem__, a)) == raw and b"".join(map(self.b.bytes.__getitem__, b)) == raw
+            out.append((a, b) if same else None)
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        """All new units in one go. Most are encoded many in a row, as they would stand in a text; their bytes tell them apart again."""
+        whole = [u for u in new if not (u[1].isspace() or u[-1].isspace())]
+        runs = [whole[i : i + RUN] for i in range(0, len(whole), RUN)]
+        flat, known = [], []
+        single = [u for u in new if u[1].isspace() or u[-1].isspace()]
+        for run, ids in zip(runs, self._encoded(list(map("".join, runs))), strict=True):
+            if ids is None:
+                single += run
+            else:
+                flat.append(ids)
+                known += run
+        unknown = []
+        for unit, ids in zip(single, self._encoded(single), strict=True):
+            if ids is None:
+                unknown.append(unit)
+            else:
+                flat.append(ids)
+                known.append(unit)
+        last = np.cumsum(np.fromiter((len(u.encode()) for u in known), np.int64, len(known)))
+        a, b = (np.fromiter(chain.from_iterable(ids[i] for ids in flat), np.int64) for i in range(2))
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         ends = np.union1d(ends_a, ends_b)  # between two of these lies one pair of tokens that overlap
         codes = a[np.searchsorted(ends_a, ends)] * WIDE + b[np.searchsorted(ends_b, ends)]
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        last = ends_a[np.cumsum(n_a) - 1]
-        sizes, counts = np.zeros(len(new), np.int64), np.zeros((len(new), 3), np.int64)
-        sizes[known] = np.diff(np.searchsorted(ends, last, side="right"), prepend=0)
-        n_cuts = np.diff(np.searchsorted(cuts, last, side="right"), prepend=0)
-        counts[known] = np.stack((n_a, n_b, n_cuts), axis=1)
-        names_a, names_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        n_a, n_b, n_cuts, sizes = (np.diff(np.searchsorted(x, last, side="right"), prepend=0) for x in (ends_a, ends_b, cuts, ends))
+        names_a, names_b = ([names[i] for i in ids.tolist()] for names, ids in ((self.names_a, a), (self.names_b, b)))
         to_a, to_b = ((np.searchsorted(x, cuts) + 1).tolist() for x in (ends_a, ends_b))
-        parts = [",".join(names_a[x:u]) + "|" + ",".join(names_b[y:v]) for x, u, y, v in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)]
+        parts = [
+            names_a[x] + "|" + names_b[y] if u == x + 1 and v == y + 1 else ",".join(names_a[x:u]) + "|" + ",".join(names_b[y:v])
+            for x, u, y, v in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)
+        ]
         edges = np.cumsum(n_cuts).tolist()
-        texts = iter([";".join(parts[x:y]) for x, y in zip([0, *edges], edges, strict=False)])
-        self.groups += [next(texts) if k else None for k in known.tolist()]
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-        self.counts = np.concatenate((self.counts, counts))
+        self.groups += [";".join(parts[x:y]) for x, y in zip([0, *edges], edges, strict=False)] + [None] * len(unknown)
+        self.place.update(zip([*known, *unknown], range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.counts = np.concatenate((self.counts, np.stack((n_a, n_b, n_cuts), axis=1), np.zeros((len(unknown), 3), np.int64)))
         used = int(self.start[-1])
         if used + len(codes) > len(self.codes):
             self.codes = np.concatenate((self.codes[:used], np.zeros(used + 2 * len(codes), np.int64)))
         self.codes[used : used + len(codes)] = codes
-        self.start = np.concatenate((self.start, used + np.cumsum(sizes)))
+        self.start = np.concatenate((self.start, used + np.cumsum(sizes), np.full(len(unknown), used + len(codes))))
+        self.held += 64 * len(new) + 2 * sum(map(len, new)) + 16 * (len(a) + len(b))
 
     def align(self, texts: list[str | None]):
         """Per text A tokens, B tokens, groups, links and the groups' text; the codes of all links, text after text."""
