@@ -121,9 +121,3 @@ def reciprocal(pairs: DataFrame, left: str, right: str) -> DataFrame:
     one_right = own.groupBy(left).agg(F.count("*").alias("_r"), F.min(right).alias(right)).where("_r = 1").drop("_r")
     one_left = own.groupBy(right).agg(F.count("*").alias("_l")).where("_l = 1").drop("_l")
     return one_right.join(one_left, right, "left_semi").select(left, right)
-
-
-def running_batches(rows: DataFrame, group: str, order: list[str], size: Column, limit: int) -> DataFrame:
-    """Batch number of each row by running sums within a group: a batch closes once ``limit`` is reached."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("batch", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / limit))

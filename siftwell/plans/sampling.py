@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftwell.operators import batches as b
 from siftwell.operators import resolution as e
 from siftwell.operators.ranking import first_per_key, page, top_per_key
 from siftwell.plans.registry import query
@@ -23,10 +24,32 @@ def n02(spark, folder):
     return top_per_key(rows, ["lang"], [F.col("h")], 20).select("lang", "doc_id")
 
 
-@query("n03_batches", "SELECT conv_id, turn, CAST(floor(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1000) AS BIGINT) AS batch FROM conversations")
+BATCHES = """WITH RECURSIVE c AS (SELECT conv_id, turn, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+  f AS (SELECT conv_id, turn, k, size, 1 AS n, CAST(0 AS BIGINT) AS batch FROM c WHERE k = 1
+    UNION ALL SELECT c.conv_id, c.turn, c.k, CASE WHEN f.n >= 3 OR f.size + c.size > 1000 THEN c.size ELSE f.size + c.size END,
+      CASE WHEN f.n >= 3 OR f.size + c.size > 1000 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 3 OR f.size + c.size > 1000 THEN f.batch + 1 ELSE f.batch END
+    FROM f JOIN c ON c.conv_id = f.conv_id AND c.k = f.k + 1)
+  SELECT conv_id, turn, batch FROM f"""
+
+
+@query("n03_batches", BATCHES)
 def n03(spark, folder):
-    """Order-preserving batches by running size within a conversation."""
-    return e.running_batches(table(spark, folder, "conversations"), "conv_id", ["turn"], F.length("text"), 1000).select("conv_id", "turn", "batch")
+    """Turns of a conversation in batches of at most three and at most 1000 characters; a longer turn stands alone."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
+    return b.greedy_batches(turns, "conv_id", ["turn"], "size", 3, 1000).select("conv_id", "turn", "batch")
+
+
+@query("n03b_document_batches", """WITH RECURSIVE c AS (SELECT source, doc_id, n_chars AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+  f AS (SELECT source, doc_id, k, size, 1 AS n, CAST(0 AS BIGINT) AS batch FROM c WHERE k = 1
+    UNION ALL SELECT c.source, c.doc_id, c.k, CASE WHEN f.n >= 40 OR f.size + c.size > 100000 THEN c.size ELSE f.size + c.size END,
+      CASE WHEN f.n >= 40 OR f.size + c.size > 100000 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 40 OR f.size + c.size > 100000 THEN f.batch + 1 ELSE f.batch END
+    FROM f JOIN c ON c.source = f.source AND c.k = f.k + 1)
+  SELECT source, batch, count(*) AS n, CAST(sum(s.n_chars) AS BIGINT) AS size, min(doc_id) AS first_id FROM f JOIN documents s USING (source, doc_id) GROUP BY source, batch""")
+def n03b(spark, folder):
+    """Documents of a source packed for review: at most 40 rows and 100,000 characters a batch."""
+    docs = table(spark, folder, "documents").select("source", "doc_id", "n_chars")
+    out = b.greedy_batches(docs, "source", ["doc_id"], "n_chars", 40, 100_000)
+    return out.groupBy("source", "batch").agg(F.count("*").alias("n"), F.sum("n_chars").alias("size"), F.min("doc_id").alias("first_id"))
 
 
 @query("n04_staleness_gate", """SELECT d.doc_id, CASE WHEN d.doc_id % 6 = 0 THEN 'missing' WHEN d.doc_id % 7 = 0 THEN 'identity_mismatch' WHEN d.doc_id % 11 = 0 THEN 'stale' ELSE 'planned' END AS decision FROM documents d""")

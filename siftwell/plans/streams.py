@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from siftwell.operators import schedules as sc
 from siftwell.plans.registry import query
-from siftwell.session import shared_folder, table
+from siftwell.session import cut_lineage, remove_folder, shared_folder, table
+from siftwell.streaming import eventlog as ev
 from siftwell.streaming import ingest as st
 
 
@@ -17,7 +18,9 @@ def x01(spark, folder):
     """The events as a stream into a table, each once, through a checkpoint in the shared folder."""
     place = f"{shared_folder(spark)}/ingest-{uuid4().hex}"
     st.ingest(st.file_stream(spark, f"{folder}/events.parquet"), f"{place}/rows", f"{place}/offsets")
-    return st.ingested(spark, f"{place}/rows", "event_id").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+    out = cut_lineage(st.ingested(spark, f"{place}/rows", "event_id").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")))
+    remove_folder(spark, place)
+    return out
 
 
 @query("x02_dispositions", "SELECT CASE WHEN event_id % 3 = 0 THEN 'inserted' WHEN event_id % 5 = 0 THEN 'changed' ELSE 'reused' END AS disposition, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1")
@@ -27,20 +30,56 @@ def x02(spark, folder):
     return st.dispositions(rows.where("event_id % 3 <> 0"), batch, "event_id", ["value"]).groupBy("disposition").agg(F.count("*").alias("n"))
 
 
-ACCEPTED = "SELECT user_id, event_id, sequence, row_number() OVER (PARTITION BY user_id, sequence ORDER BY event_id) = 1 AS accepted FROM (SELECT user_id, event_id, event_id // 3 AS sequence FROM events)"
-
-
-@query("x03_monotone_log", ACCEPTED)
+#: What may follow what in the log below; before the first event there is no status.
+FOLLOW = {None: frozenset(("signup", "view", "click", "error")), "signup": frozenset(("view", "click", "error")), "view": frozenset(("view", "click", "purchase", "error")),
+          "click": frozenset(("view", "click", "purchase")), "purchase": frozenset(("view", "signup")), "error": frozenset(("signup", "view"))}
+
+
+def operation_log(events):
+    """The events as a log with deliveries out of order and given twice, some of them changed the second time; every fifth sequence is left open."""
+    k = F.col("event_id")
+    late = F.when(k % 7 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    own = events.select("user_id", "event_id", "event_type", "props", F.explode(late).alias("late"))
+    arrival = F.when(F.col("late"), (k + 4000) * 2 + 1).otherwise(k * 2)
+    status = F.when(F.col("late") & (k % 21 == 0), "error").otherwise(F.col("event_type"))
+    sequence = F.when(k % 5 != 0, k + 1 + k * 7919 % 2500)
+    return own.select(F.col("user_id").alias("operation"), F.concat(F.lit("e"), k.cast("string")).alias("event_id"), arrival.alias("arrival"), sequence.alias("sequence"), status.alias("status"), F.col("props").alias("content"))
+
+
+APPENDED = """WITH RECURSIVE d AS (SELECT *, false AS late FROM events UNION ALL SELECT *, true FROM events WHERE event_id % 7 = 0),
+  g AS (SELECT user_id AS operation, 'e' || event_id AS event_id, CASE WHEN late THEN (event_id + 4000) * 2 + 1 ELSE event_id * 2 END AS arrival,
+    CASE WHEN event_id % 5 <> 0 THEN event_id + 1 + event_id * 7919 % 2500 END AS sequence, CASE WHEN late AND event_id % 21 = 0 THEN 'error' ELSE event_type END AS status, props AS content FROM d),
+  l AS (SELECT *, row_number() OVER (PARTITION BY operation ORDER BY arrival) AS k FROM g),
+  f AS (SELECT DISTINCT operation, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS event_id, CAST(NULL AS BIGINT) AS arrival, CAST(NULL AS BIGINT) AS sequence, CAST(NULL AS VARCHAR) AS outcome,
+      CAST(NULL AS VARCHAR) AS present, CAST(0 AS BIGINT) AS last, CAST([] AS STRUCT(e VARCHAR, s BIGINT, t VARCHAR, c VARCHAR)[]) AS ids FROM l
+    UNION ALL SELECT operation, k, event_id, arrival, CASE WHEN outcome = 'accepted' THEN place WHEN outcome = 'repeated' THEN b.s ELSE sequence END, outcome,
+      CASE WHEN outcome = 'accepted' THEN status ELSE present END, CASE WHEN outcome = 'accepted' THEN place ELSE last END,
+      CASE WHEN outcome = 'accepted' THEN list_append(ids, {'e': event_id, 's': place, 't': status, 'c': content}) ELSE ids END
+    FROM (SELECT *, CASE WHEN b IS NOT NULL THEN CASE WHEN coalesce(sequence, b.s) = b.s AND b.t = status AND b.c = content THEN 'repeated' ELSE 'conflict' END
+        WHEN place <= last THEN 'stale' WHEN NOT list_contains(CASE coalesce(present, '') WHEN '' THEN ['signup', 'view', 'click', 'error'] WHEN 'signup' THEN ['view', 'click', 'error']
+          WHEN 'view' THEN ['view', 'click', 'purchase', 'error'] WHEN 'click' THEN ['view', 'click', 'purchase'] WHEN 'purchase' THEN ['view', 'signup'] ELSE ['signup', 'view'] END, status) THEN 'illegal'
+        ELSE 'accepted' END AS outcome
+      FROM (SELECT l.*, f.present, f.last, f.ids, list_filter(f.ids, lambda x: x.e = l.event_id)[1] AS b, coalesce(l.sequence, f.last + 1) AS place FROM f JOIN l ON l.operation = f.operation AND l.k = f.k + 1)))
+  SELECT operation, event_id, arrival, sequence, outcome FROM f WHERE k > 0"""
+
+
+@query("x03_monotone_log", APPENDED)
 def x03(spark, folder):
-    rows = table(spark, folder, "events").select("user_id", "event_id", F.floor(F.col("event_id") / 3).alias("sequence"))
-    return st.accepted_of_log(rows, "user_id", "event_id", "sequence")
+    """Repeated, conflicting, stale, illegal and accepted events of a stored log."""
+    return ev.append_log(operation_log(table(spark, folder, "events")), FOLLOW)
 
 
-@query("x03b_monotone_stream", ACCEPTED)
+@query("x03b_monotone_stream", APPENDED)
 def x03b(spark, folder):
-    """The same as a stateful stream, with the state kept between micro-batches."""
-    rows = st.file_stream(spark, f"{folder}/events.parquet").select("user_id", "event_id", F.floor(F.col("event_id") / 3).alias("sequence"))
-    return st.run_to_table(st.monotone_log(rows, "user_id", "event_id", "sequence"), f"log_{uuid4().hex}")
+    """The same as a stream with its state in the checkpoint, written batch by batch to the shared folder."""
+    place = f"{shared_folder(spark)}/log-{uuid4().hex}"
+    own = spark.newSession()
+    own.conf.set(*ev.PROVIDER)
+    log = operation_log(st.file_stream(own, f"{folder}/events.parquet"))
+    st.ingest(ev.append_stream(log, FOLLOW), f"{place}/rows", f"{place}/offsets")
+    out = cut_lineage(spark.read.parquet(f"{place}/rows").drop("batch"))
+    remove_folder(spark, place)
+    return out
 
 
 @query("x04_outbox", "SELECT user_id, event_id FROM events e WHERE event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM events a WHERE a.user_id = e.user_id AND a.event_type = 'error' AND a.event_id = e.event_id + 1)")

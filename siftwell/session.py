@@ -54,6 +54,12 @@ def cut_lineage(df: DataFrame, at_most: int | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """A folder of the shared file system goes; one that isn't there is no error."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a folder of tables; names of files follow ``<folder>/<name>.parquet``."""
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")

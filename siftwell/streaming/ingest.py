@@ -1,13 +1,11 @@
-"""Structured Streaming: idempotent ingest, monotone event logs, sessions."""
+"""Structured Streaming: idempotent ingest, sessions, run steps."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siftwell.operators.ranking import first_per_key
 
@@ -18,14 +16,18 @@ def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return (own.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else own).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, which may name a file
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str) -> None:
+def ingest(stream: DataFrame, target: str, checkpoint: str, once: bool = False) -> None:
     """Append each micro-batch under its own number. A batch that is replayed after a failure replaces itself, and the stream's
-    offsets move on only after the write, so nothing is lost or doubled."""
+    offsets move on only after the write, so nothing is lost or doubled.
+
+    Streams whose state expires by processing time never run out of batches; ``once`` ends them after one.
+    """
+    trigger = {"once": True} if once else {"availableNow": True}
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start().awaitTermination()
 
 
 def ingested(spark: SparkSession, target: str, key: str) -> DataFrame:
@@ -41,29 +43,6 @@ def dispositions(known: DataFrame, batch: DataFrame, key: str, content: Sequence
     return own.select(*batch.columns, kind.alias("disposition"))
 
 
-def monotone_log(events: DataFrame, key: str, event_id: str, sequence: str) -> DataFrame:
-    """Accepted events of a stream: per key each event id once, with a strictly higher sequence than any before (stateful)."""
-    schema = f"{key} long, {event_id} long, {sequence} long, accepted boolean"
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(frames).sort_values([sequence, event_id])
-        keep = []
-        for s in rows[sequence]:
-            keep.append(last is None or s > last)
-            last = s if last is None else max(last, s)
-        state.update((int(last),))
-        yield rows.assign(accepted=keep)[[key, event_id, sequence, "accepted"]]
-
-    return events.select(key, event_id, sequence).groupBy(key).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.NoTimeout)
-
-
-def accepted_of_log(events: DataFrame, key: str, event_id: str, sequence: str) -> DataFrame:
-    """The same rule over a stored log: the first event of each sequence number."""
-    w = Window.partitionBy(key, sequence).orderBy(event_id)
-    return events.select(key, event_id, sequence, (F.row_number().over(w) == 1).alias("accepted"))
-
-
 def sessions(rows: DataFrame, key: str, ts: str, gap: str, watermark: str | None = None) -> DataFrame:
     """Runs of events with pauses under the gap; works on streams (with a watermark) and on tables."""
     own = rows.withColumn("_t", F.col(ts).cast("timestamp"))
@@ -72,12 +51,6 @@ def sessions(rows: DataFrame, key: str, ts: str, gap: str, watermark: str | None
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything that is available through a stream into a table in memory; for small results."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
-
-
 def progress(query) -> list[dict]:
     """What each micro-batch did, for a run log."""
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "ms": p["durationMs"].get("triggerExecution")} for p in query.recentProgress]

@@ -74,20 +74,6 @@ def test_stream_is_replayed_without_doubles(spark, tmp_path):
     assert set(got) == set(range(12)) and got[11] == 2
 
 
-def test_monotone_log_over_batches(spark, tmp_path):
-    source = str(tmp_path / "log")
-    for i, rows in enumerate([[(1, 10, 1), (1, 11, 3)], [(1, 12, 2), (1, 13, 3), (1, 14, 4)]]):
-        spark.createDataFrame(rows, "k long, e long, s long").coalesce(1).write.mode("append").parquet(source)
-        import os
-        import time
-
-        for name in os.listdir(source):
-            if name.endswith(".parquet"):
-                os.utime(f"{source}/{name}", (time.time() - 100 + 50 * i,) * 2) if os.path.getmtime(f"{source}/{name}") > time.time() - 40 else None
-    out = st.run_to_table(st.monotone_log(st.file_stream(spark, source, 1), "k", "e", "s"), "log_test")
-    assert {r.e for r in out.where("accepted").collect()} == {10, 11, 14}
-
-
 def test_lines_are_replaced_whole(spark, tmp_path):
     path = f"{tmp_path}/lines"
     wr.write_lines(spark.range(3), path)
