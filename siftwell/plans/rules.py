@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as tf
+from siftwell.operators import assertions as a
 from siftwell.operators import predicates as p
 from siftwell.operators import scoring as s
 from siftwell.plans.jobs import JOBS, job_rows, jobs
@@ -123,17 +124,36 @@ def c15(spark, folder):
     return job_rows(spark, folder).groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("c16_cohort_years", r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(20[0-9][0-9])', 1))), ',') AS years FROM documents")
+#: What a posting says of its campaign, one of these behind each document.
+NOTICES = ("campus recruitment 2027", "27届 New Grad", "27 campus recruitment", "© 2026 campus recruitment", "2026-05 campus recruitment", "2026年 5月 new grad 2025", "new graduate and 2024 or 2024, 25届",
+           "2023 is more than twenty-four characters from campus recruitment", "5-26届 campus recruitment of 12026", "nothing to state")
+MARKER = "campus recruitment|new ?grad(?:uate)?"
+PLACES = rf"""WITH w AS (SELECT doc_id, trim(regexp_replace(text || ' ' || list_extract([{", ".join(f"'{n}'" for n in NOTICES)}], CAST(doc_id % {len(NOTICES)} + 1 AS INTEGER)), '\\s+', ' ', 'g')) AS c FROM documents),
+  n AS (SELECT doc_id, CASE WHEN length(c) > 200 AND NOT regexp_matches(substr(c, 1, length(c) - 110), '(?i){MARKER}') THEN right(c, 200) ELSE c END AS c FROM w),
+  p AS (SELECT doc_id, c, unnest(range(1, length(c) + 1)) AS p FROM n),
+  q AS (SELECT doc_id, c, p, regexp_extract(substr(c, p, 5), '^(20[0-9][0-9]|[12][0-9])([^0-9]|$)', 1) AS y FROM p WHERE substr(c, p, 1) IN ('1', '2') AND (p = 1 OR NOT regexp_matches(substr(c, p - 1, 1), '[0-9]'))),
+  r AS (SELECT *, p + length(y) AS e FROM q WHERE y <> ''),
+  f AS (SELECT * FROM r WHERE NOT contains(substr(c, greatest(1, p - 4), least(4, p - 1)), '©') AND NOT regexp_matches(substr(c, e, 12), '^ ?(年? ?[0-9]{{1,2}} ?月|[-/.] ?[0-9]{{1,2}})')
+    AND (length(y) = 4 OR regexp_matches(substr(c, e, 4), '^ ?届') AND (p = 1 OR NOT regexp_matches(substr(c, p - 1, 1), '[-/.月]')))
+    AND (regexp_matches(substr(c, e, 60), '(?i)^.{{0,24}}({MARKER})') OR regexp_matches(substr(c, greatest(1, p - 60), least(60, p - 1)), '(?i)({MARKER}).{{0,24}}$'))),
+  d AS (SELECT doc_id, c, y, p, CASE WHEN length(y) = 2 THEN 2000 + CAST(y AS INTEGER) ELSE CAST(y AS INTEGER) END AS year FROM f)"""
+
+
+def postings(spark, folder):
+    notice = F.element_at(F.array(*map(F.lit, NOTICES)), (F.col("doc_id") % len(NOTICES) + 1).cast("int"))
+    return table(spark, folder, "documents").select("doc_id", a.campaign_years(F.concat("text", F.lit(" "), notice), MARKER).alias("years"))
+
+
+@query("c16_cohort_years", PLACES + " SELECT doc_id, coalesce(years, '') AS years FROM documents LEFT JOIN (SELECT doc_id, string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) AS years FROM d GROUP BY doc_id) USING (doc_id)")
 def c16(spark, folder):
-    years = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("(20[0-9][0-9])"), F.lit(1))))
-    return table(spark, folder, "documents").select("doc_id", F.array_join(years, ",").alias("years"))
+    """Campaign years of whole postings: dates, ©, longer numbers, two digits and the distance each decide for some of them."""
+    return postings(spark, folder).select("doc_id", F.array_join(F.array_sort(F.col("years.year")).cast("array<string>"), ",").alias("years"))
 
 
-@query("c16b_year_near_marker", r"SELECT page_id, len(regexp_extract_all(html, '(?:20[0-9][0-9])[^<>]{0,24}class|class[^<>]{0,24}(?:20[0-9][0-9])', 0)) AS n FROM pages")
+@query("c16b_year_near_marker", PLACES + " SELECT doc_id, year, substr(c, greatest(p - 40, 1), least(p - 1, 40) + length(y) + 45) AS context FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, year ORDER BY p) AS k FROM d) WHERE k = 1")
 def c16b(spark, folder):
-    """Years within 24 characters of a marker word."""
-    found = F.regexp_extract_all("html", F.lit("(?:20[0-9][0-9])[^<>]{0,24}class|class[^<>]{0,24}(?:20[0-9][0-9])"), F.lit(0))
-    return table(spark, folder, "pages").select("page_id", F.size(found).cast("long").alias("n"))
+    """Each year with the text around its first place."""
+    return postings(spark, folder).select("doc_id", F.inline("years"))
 
 
 @query("c17_inherited_cohort", f"""WITH {JOBS}, c AS (SELECT company_id, max(CASE WHEN cohort_status = 'Confirmed' THEN cohort END) AS campaign FROM jobs GROUP BY company_id) SELECT id, coalesce(CASE WHEN id % 2 = 0 THEN cohort END, campaign) AS cohort FROM jobs JOIN c USING (company_id)""")
@@ -158,22 +178,50 @@ def c19(spark, folder):
     return table(spark, folder, "part").where(F.col("p_name").rlike("widget|ring") & ~F.col("p_name").rlike("red")).select("p_partkey")
 
 
-STAGES = ((r"(not|never) (offered|hired)", "rejected"), (r"offer(ed)?", "offer"), (r"interview", "interview"), (r"test|exam", "written_test"), (r"applied|submitted", "applied"))
+WORDS = a.StatusWords(
+    stages=(("rejected", "rejected|turned down"), ("offer", "offer(?:ed)?"), ("interview", "interview"), ("written_test", "test|exam"), ("applied", "applied|submitted")),
+    condition=r"\b(?:if|unless)\b", negation=r"\b(?:not|never|no|without)\b", denial=r"\b(?:not|never|will)\b", future=r"\b(?:will|would)\b", badge="applied via referral",
+)
+SAID = ("Not offered", "offered 2024-01-02", "offered 2024-13-02", "first interview", "If the interview goes well", "interview, no exam needed", "interview not scheduled", "the exam will follow", "2024-02-03 Submitted",
+        "applied via referral", "Rejected!", "an offer after the test", "offered; interview done", "Submitted with success")
+
+
+def stated(words, rows: str) -> str:
+    """SQL of the clauses of ``rows`` (id, said), with what each is about, its status, label and whether it has a date."""
+    day = "20[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}"
+    about = " ".join(f"WHEN regexp_matches(label, '(?i){p}') THEN '{n}'" for n, p in words.stages)
+    sure = " ".join(f"WHEN regexp_matches(label, '(?i){p}') THEN CASE WHEN NOT regexp_matches(label, '(?i)(?:{words.negation}).*(?:{p})|(?:{p}).*(?:{words.denial})|(?:{words.future}).*(?:{p})') THEN '{n}' END" for n, p in words.stages)
+    return rf"""c AS (SELECT id, unnest(list_filter(list_transform(string_split_regex(said, '[,;!?\n]+|\.'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')) AS clause FROM ({rows})),
+  k AS (SELECT id, row_number() OVER () AS pos, clause, trim(regexp_replace(clause, '^(?:{day})\s*|\s*(?:{day})$', '', 'g')) AS label, regexp_extract(clause, '{day}') AS day FROM c),
+  z AS (SELECT id, pos, label, day <> '' AS dated, CASE {about} END AS about, CASE WHEN day <> '' AND try_cast(day AS DATE) IS NULL OR regexp_matches(label, '(?i){words.condition}') OR regexp_full_match(label, '(?i){words.badge}') THEN NULL {sure} END AS status FROM k)"""
+
+
+def said(key: str, n: int = len(SAID)):
+    return F.element_at(F.array(*map(F.lit, SAID)), (F.col(key) % n + 1).cast("int"))
+
+
+SAID_SQL = f"list_extract([{', '.join(repr(x) for x in SAID)}], CAST(KEY % {len(SAID)} + 1 AS INTEGER))"
 
 
-@query("c20_stage_label", "WITH s AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Not offered' WHEN 1 THEN 'offered 2024-01-02' WHEN 2 THEN 'first interview' WHEN 3 THEN 'online exam' WHEN 4 THEN 'Submitted' ELSE event_type END AS label FROM events) SELECT event_id, " + cases("lower(label)", STAGES, "unknown") + " AS stage FROM s")
+@query("c20_stage_label", f"""WITH {stated(WORDS, "SELECT event_id AS id, event_type || '; ' || " + SAID_SQL.replace("KEY", "event_id") + " AS said FROM events")}
+  SELECT e.event_id, s.stage FROM events e LEFT JOIN (SELECT id, arg_min(status, pos) AS stage FROM z WHERE status IS NOT NULL GROUP BY id) s ON s.id = e.event_id""")
 def c20(spark, folder):
-    """Labels of other systems to stages; negation comes first."""
-    k = F.col("event_id") % 6
-    label = F.when(k == 0, "Not offered").when(k == 1, "offered 2024-01-02").when(k == 2, "first interview").when(k == 3, "online exam").when(k == 4, "Submitted").otherwise(F.col("event_type"))
-    return table(spark, folder, "events").select("event_id", p.first_matching(F.lower(label), STAGES, "unknown").alias("stage"))
+    """Labels of other systems to stages: negated, conditional, future and badly dated ones state nothing."""
+    label = F.concat("event_type", F.lit("; "), said("event_id"))
+    return table(spark, folder, "events").select("event_id", a.label_status(label, WORDS).alias("stage"))
 
 
-@query("c21_literal_status", "SELECT conv_id, CASE WHEN count(DISTINCT role) = 1 THEN min(role) END AS status FROM conversations GROUP BY conv_id")
+@query("c21_literal_status", f"""WITH {stated(WORDS, "SELECT conv_id * 1000 + turn AS id, replace(text, '.', ' ') || chr(10) || " + SAID_SQL.replace("KEY", "(conv_id + turn)") + " || chr(10) || " + SAID_SQL.replace("KEY", "(conv_id * 5)") + " AS said FROM conversations")},
+  g AS (SELECT id, bool_or(status IS NULL AND about IS NOT NULL AND NOT regexp_full_match(label, '(?i){WORDS.badge}')) AS doubt, count(DISTINCT status) FILTER (WHERE status <> 'applied') AS kinds,
+    max(status) FILTER (WHERE status <> 'applied') AS later, arg_max(label, pos) FILTER (WHERE status <> 'applied') AS later_label, arg_max(label, pos) FILTER (WHERE status = 'applied' AND (dated OR regexp_matches(label, '(?i)success'))) AS proof FROM z GROUP BY id)
+  SELECT conv_id, turn, CASE WHEN doubt OR kinds > 1 THEN NULL WHEN kinds = 1 THEN later WHEN proof IS NOT NULL THEN 'applied' END AS status, CASE WHEN doubt OR kinds > 1 THEN NULL WHEN kinds = 1 THEN later_label ELSE proof END AS label
+  FROM conversations LEFT JOIN g ON g.id = conv_id * 1000 + turn""")
 def c21(spark, folder):
-    """One asserted value, or nothing if assertions conflict."""
-    roles = table(spark, folder, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("r"))
-    return roles.select("conv_id", F.when(F.size("r") == 1, F.col("r")[0]).alias("status"))
+    """The one status that a record's whole text asserts; contradictions and doubts give none."""
+    k = F.col("conv_id")
+    rows = table(spark, folder, "conversations").withColumns({"_a": k + F.col("turn"), "_b": k * 5})
+    text = F.concat_ws("\n", F.replace("text", F.lit("."), F.lit(" ")), said("_a"), said("_b"))
+    return rows.select("conv_id", "turn", a.literal_status(text, WORDS).alias("s")).select("conv_id", "turn", F.col("s.status").alias("status"), F.col("s.label").alias("label"))
 
 
 FLAGS = (("script", "<script"), ("link", "https?://"), ("ignore", "ignore (all|previous)"), ("token", "(?i)token|secret|password"), ("hidden", "display: ?none"), ("form", "<form"), ("frame", "<iframe"), ("login", "(?i)log ?in"))
