@@ -128,7 +128,7 @@ def c15(spark, folder):
 NOTICES = ("campus recruitment 2027", "27届 New Grad", "27 campus recruitment", "© 2026 campus recruitment", "2026-05 campus recruitment", "2026年 5月 new grad 2025", "new graduate and 2024 or 2024, 25届",
            "2023 is more than twenty-four characters from campus recruitment", "5-26届 campus recruitment of 12026", "nothing to state")
 MARKER = "campus recruitment|new ?grad(?:uate)?"
-PLACES = rf"""WITH w AS (SELECT doc_id, trim(regexp_replace(text || ' ' || list_extract([{", ".join(f"'{n}'" for n in NOTICES)}], CAST(doc_id % {len(NOTICES)} + 1 AS INTEGER)), '\\s+', ' ', 'g')) AS c FROM documents),
+PLACES = rf"""WITH w AS (SELECT doc_id, trim(regexp_replace(text || ' ' || list_extract([{", ".join(f"'{n}'" for n in NOTICES)}], CAST(doc_id % {len(NOTICES)} + 1 AS INTEGER)), '\s+', ' ', 'g')) AS c FROM documents),
   n AS (SELECT doc_id, CASE WHEN length(c) > 200 AND NOT regexp_matches(substr(c, 1, length(c) - 110), '(?i){MARKER}') THEN right(c, 200) ELSE c END AS c FROM w),
   p AS (SELECT doc_id, c, unnest(range(1, length(c) + 1)) AS p FROM n),
   q AS (SELECT doc_id, c, p, regexp_extract(substr(c, p, 5), '^(20[0-9][0-9]|[12][0-9])([^0-9]|$)', 1) AS y FROM p WHERE substr(c, p, 1) IN ('1', '2') AND (p = 1 OR NOT regexp_matches(substr(c, p - 1, 1), '[0-9]'))),
