@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwell.operators import batches as b
-from siftwell.operators import resolution as e
-from siftwell.operators.ranking import first_per_key, page, top_per_key
+from siftwell.operators import pages as pg
+from siftwell.operators.ranking import first_per_key, page
 from siftwell.plans.registry import query
 from siftwell.session import table
 
@@ -18,10 +18,25 @@ def n01(spark, folder):
     return page(first_per_key(rows, ["c_nationkey"], [F.col("h")]), [F.col("h")], 0, 10).select("c_nationkey", "c_custkey")
 
 
-@query("n02_stratified_sample", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256(CAST(doc_id AS VARCHAR))) AS n FROM documents) WHERE n <= 20")
+GROUPS, QUOTA = ("3-MEDIUM", "1-URGENT", "5-LOW"), 6
+
+
+@query("n02_stratified_sample", f"""WITH RECURSIVE c AS (SELECT CAST(o_custkey AS VARCHAR) AS k, list_intersect(list_distinct(list(o_orderpriority)), {list(GROUPS)}) AS g,
+    list_distinct(list(o_orderstatus || CASE WHEN o_totalprice > 250000 THEN '!' ELSE '' END) || list(CAST(year(o_orderdate) AS VARCHAR))) AS t, count(*) AS w FROM orders GROUP BY o_custkey),
+  al AS (SELECT list({{'k': k, 'g': g, 't': t, 'w': w}}) AS rows FROM c),
+  f AS (SELECT 0 AS step, CAST([] AS VARCHAR[]) AS used, CAST([] AS VARCHAR[]) AS covered, CAST([] AS VARCHAR[]) AS groups, CAST(NULL AS VARCHAR) AS grp, CAST(NULL AS VARCHAR) AS key
+    UNION ALL SELECT step + 1, list_append(used, pick.k), list_distinct(covered || pick.t), list_append(groups, grp), grp, pick.k FROM (
+      SELECT *, list_sort(list_transform(list_filter(free, lambda x: list_contains(x.g, grp)), lambda x: {{'a': -len(list_filter(x.t, lambda y: NOT list_contains(covered, y))), 'b': len(x.g) <> 1, 'c': -x.w, 'k': x.k, 't': x.t}}))[1] AS pick FROM (
+        SELECT *, list_sort(list_filter(list_transform([{", ".join(f"{{'f': len(list_filter(groups, lambda y: y = '{g}')), 'n': len(list_filter(free, lambda x: list_contains(x.g, '{g}'))), 'i': {i}, 'g': '{g}'}}" for i, g in enumerate(GROUPS))}], lambda x: x), lambda x: x.f < {QUOTA} AND x.n > 0))[1].g AS grp FROM (
+          SELECT f.step, f.used, f.covered, f.groups, list_filter(al.rows, lambda x: NOT list_contains(f.used, x.k)) AS free FROM f, al))) WHERE grp IS NOT NULL)
+  SELECT step AS rank, grp, key FROM f WHERE step > 0""")
 def n02(spark, folder):
-    rows = table(spark, folder, "documents").select("lang", "doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
-    return top_per_key(rows, ["lang"], [F.col("h")], 20).select("lang", "doc_id")
+    """Customers for review: a quota for each order priority, statuses and years covered as widely as may be."""
+    big = F.when(F.col("o_totalprice") > 250_000, "!").otherwise("")
+    tags = F.array_union(F.collect_set(F.concat("o_orderstatus", big)), F.collect_set(F.year("o_orderdate").cast("string")))
+    rows = table(spark, folder, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("groups"), tags.alias("tags"), F.count("*").alias("n"))
+    chosen = pg.balanced_sample(rows, "o_custkey", "groups", "tags", "n", list(GROUPS), QUOTA)
+    return spark.createDataFrame([(i, g, k) for i, (g, k) in enumerate(chosen, 1)], "rank int, grp string, key string")
 
 
 BATCHES = """WITH RECURSIVE c AS (SELECT conv_id, turn, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
@@ -69,13 +84,42 @@ def n05(spark, folder):
     return table(spark, folder, "documents").select("doc_id").join(table(spark, folder, "labels"), "doc_id", "left").select("doc_id", plan.alias("plan"))
 
 
-@query("n06_reciprocal", """WITH p AS (SELECT DISTINCT sha256(text) AS l, doc_id AS r FROM documents UNION SELECT sha256(text), doc_id + 1 FROM documents WHERE doc_id % 9 = 0), a AS (SELECT l FROM p GROUP BY l HAVING count(*) = 1), b AS (SELECT r FROM p GROUP BY r HAVING count(*) = 1)
-  SELECT l, r FROM p WHERE l IN (SELECT l FROM a) AND r IN (SELECT r FROM b)""")
+KEY = r"' ' || trim(regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}+#]+', ' ', 'g')) || ' '"
+MATCHED = rf"""WITH r AS (SELECT conv_id AS page, turn AS record, regexp_extract(text, '^\S+ \S+') AS title FROM conversations WHERE role = 'user'),
+  e AS (SELECT c.conv_id AS page, c.turn AS entry, CASE c.conv_id % 8 WHEN 0 THEN r.record WHEN 1 THEN 0 WHEN 4 THEN r.record END AS record_id, CASE c.conv_id % 8 WHEN 2 THEN r.title WHEN 4 THEN 'Another title' END AS title,
+    CASE WHEN c.conv_id % 8 = 7 THEN '' ELSE c.text || CASE WHEN c.conv_id % 8 IN (3, 5) THEN ' ' || r.title ELSE '' END END AS context
+    FROM conversations c LEFT JOIN r ON r.page = c.conv_id AND r.record = c.turn - 1 + CASE WHEN c.conv_id % 8 = 5 THEN -2 * (c.turn // 4) ELSE 0 END WHERE c.role = 'assistant'),
+  rk AS (SELECT page, record, {KEY.format("title")} AS k FROM r), ek AS (SELECT page, entry, record_id, {KEY.format("title")} AS tk, {KEY.format("context")} AS ck FROM e),
+  m AS (SELECT rk.page, rk.record, ek.entry, ek.record_id, ek.tk, k <> '  ' AND k = tk AS titled, k <> '  ' AND contains(ck, k) AS inside FROM rk JOIN ek USING (page)),
+  s AS (SELECT *, count_if(titled) OVER (PARTITION BY page, entry) AS by_title, count_if(inside) OVER (PARTITION BY page, entry) AS by_context FROM m),
+  g AS (SELECT page, record, count_if(record_id = record) AS id_n, min(entry) FILTER (WHERE record_id = record) AS id_entry,
+      bool_and((tk = '  ' OR titled AND by_title = 1) AND (by_context = 0 OR inside AND by_context = 1)) FILTER (WHERE record_id = record) AS id_fits,
+      count_if(titled AND record_id IS NULL) AS title_n, min(entry) FILTER (WHERE titled AND record_id IS NULL) AS title_entry, max(by_title) FILTER (WHERE titled AND record_id IS NULL) AS title_by,
+      count_if(inside AND record_id IS NULL) AS context_n, min(entry) FILTER (WHERE inside AND record_id IS NULL) AS context_entry, max(by_context) FILTER (WHERE inside AND record_id IS NULL) AS context_by,
+      count(*) AS n_ent, count_if(record_id IS NULL AND tk = '  ') AS bare, min(entry) AS one FROM s GROUP BY page, record),
+  d AS (SELECT rk.page, rk.record, g.*, CASE WHEN id_n > 1 THEN 'status_entry_ambiguous' WHEN id_n = 1 THEN CASE WHEN id_fits THEN 'record_id' ELSE 'target_job_mismatch' END
+      WHEN title_n > 1 THEN 'status_entry_ambiguous' WHEN title_n = 1 THEN CASE WHEN title_by = 1 THEN 'unique_title' ELSE 'target_job_mismatch' END
+      WHEN n_ent = 1 AND bare = 1 AND count(*) OVER (PARTITION BY rk.page) = 1 THEN 'unique_page'
+      WHEN context_n > 1 THEN 'status_entry_ambiguous' WHEN context_n = 1 THEN CASE WHEN context_by = 1 THEN 'unique_context' ELSE 'target_job_mismatch' END ELSE 'status_entry_not_matched' END AS d
+    FROM rk LEFT JOIN g ON g.page = rk.page AND g.record = rk.record)
+  SELECT page, record, CASE d WHEN 'record_id' THEN id_entry WHEN 'unique_title' THEN title_entry WHEN 'unique_page' THEN one WHEN 'unique_context' THEN context_entry END AS entry,
+    CASE WHEN d IN ('record_id', 'unique_title', 'unique_page', 'unique_context') THEN d END AS method, CASE d WHEN 'record_id' THEN 0.99 WHEN 'unique_title' THEN 0.95 WHEN 'unique_page' THEN 0.95 WHEN 'unique_context' THEN 0.9 END::DOUBLE AS confidence,
+    CASE WHEN d NOT IN ('record_id', 'unique_title', 'unique_page', 'unique_context') THEN d END AS reason FROM d"""
+
+
+@query("n06_reciprocal", MATCHED)
 def n06(spark, folder):
-    """Texts and the ids that claim them: copies have several, and every ninth text is claimed by the next id too."""
-    own = table(spark, folder, "documents").select(F.sha2("text", 256).alias("l"), "doc_id")
-    claims = F.when(F.col("doc_id") % 9 == 0, F.array(F.col("doc_id"), F.col("doc_id") + 1)).otherwise(F.array("doc_id"))
-    return e.reciprocal(own.select("l", F.explode(claims).alias("r")), "l", "r")
+    """Turns of a user as records, the answers as entries that name, title or quote one of them, or nothing."""
+    turns = table(spark, folder, "conversations")
+    k, t = F.col("conv_id") % 8, F.col("turn")
+    records = turns.where("role = 'user'").select(F.col("conv_id").alias("page"), F.col("turn").alias("record"), F.regexp_extract("text", r"^\S+ \S+", 0).alias("title"))
+    meant = t - 1 + F.when(k == 5, -2 * F.floor(t / 4)).otherwise(0)
+    answers = turns.where("role = 'assistant'").withColumn("meant", meant).join(records, (F.col("page") == F.col("conv_id")) & (F.col("record") == F.col("meant")), "left")
+    named = F.when(k.isin(0, 4), F.col("record")).when(k == 1, 0)
+    title = F.when(k == 2, F.col("title")).when(k == 4, "Another title")
+    context = F.when(k == 7, "").otherwise(F.concat("text", F.when(k.isin(3, 5), F.concat(F.lit(" "), F.col("title"))).otherwise("")))
+    entries = answers.select(F.col("conv_id").alias("page"), t.alias("entry"), named.cast("long").alias("record_id"), title.alias("title"), context.alias("context"))
+    return pg.match_entries(records, entries)
 
 
 @query("n07_alias_resolver", "SELECT alias, min(p_partkey) AS canonical FROM (SELECT p_name AS alias, p_partkey FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_partkey FROM part UNION ALL SELECT p_brand, p_partkey FROM part) GROUP BY alias")
