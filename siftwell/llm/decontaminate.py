@@ -44,7 +44,7 @@ _SPLIT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Fa
 def word_ids(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and rows of the words of a piece of texts."""
     starts, ends, rows = tw.spans(data, offs, _SPLIT)
-    return tw.word_hashes(data, starts, ends, 0, _FOLD), rows
+    return tw.sound_words(data, starts, ends, 0, _FOLD), rows
 
 
 class Index(NamedTuple):

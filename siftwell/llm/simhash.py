@@ -376,7 +376,7 @@ def _verified(shingle: int, radius: int, similarity: float):
         for t in texts:
             data = np.frombuffer(t.encode().lower(), np.uint8)
             starts, ends, _ = tw.spans(data, np.array([0, len(data)]))
-            words = tw.word_hashes(data, starts, ends)
+            words = tw.sound_words(data, starts, ends)
             sets.append(np.unique(tw.grams(words, min(shingle, len(words)))) if len(words) else np.zeros(0, np.uint64))
         size = np.array([len(x) for x in sets])
         left = np.argsort(ids, kind="stable")

@@ -109,7 +109,7 @@ def _blocks(window: int, k: int):
                 starts, ends, rows = tw.spans(data, offs[a : b + 1])
                 if len(starts) < window:
                     continue
-                hashes = tw.word_hashes(data, starts, ends)
+                hashes = tw.sound_words(data, starts, ends)
                 seeds = tw.grams(hashes, k)
                 anchor = tw.sliding_argmin(seeds, window - k + 1)
                 at = np.flatnonzero(rows[: len(anchor)] == rows[window - 1 :][: len(anchor)])
@@ -123,7 +123,7 @@ def _blocks(window: int, k: int):
                 row = rows[s]
                 base = np.searchsorted(rows, row)  # the document's first word
                 yield from _earliest(
-                    seeds[own[left]], tw.span_hash(hashes, s, e + window, 1), ids_all[a + row], (s - base).astype(np.int32), (e - base).astype(np.int32), seen
+                    seeds[own[left]], tw.sound_hash(hashes, s, e + window, 1), ids_all[a + row], (s - base).astype(np.int32), (e - base).astype(np.int32), seen
                 )
 
     return run
@@ -149,11 +149,11 @@ def _windows(window: int):
                 at = np.repeat(s - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
                 at = at[at + window <= len(rows)]
                 at = at[rows[at] == rows[at + window - 1]]
-                first, second = (tw.word_hashes(data, starts, ends, seed) for seed in (0, 1))
+                first, second = (tw.sound_words(data, starts, ends, seed) for seed in (0, 1))
                 own = (at - base[rows[at]]).astype(np.int32)
                 # two hashes of the whole window, 96 bits together
-                check = tw.span_hash(second, at, at + window, 1) >> np.uint64(32)
-                yield from _earliest(tw.span_hash(first, at, at + window, 0), check, ids_all[a + rows[at]], own, own)
+                check = tw.sound_hash(second, at, at + window, 1) >> np.uint64(32)
+                yield from _earliest(tw.sound_hash(first, at, at + window, 0), check, ids_all[a + rows[at]], own, own)
 
     return run
 

@@ -130,6 +130,75 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return out
 
 
+PRIME = np.uint64(2**31 - 1)
+#: For each seed two bases of polynomials modulo PRIME, and for each byte a value under it for either.
+_SOUND = [tuple(int(b) for b in _rng.integers(2**20, 2**31 - 2, 2)) for _ in range(2)]
+_SOUND_BYTE = _rng.integers(1, 2**31 - 2, (2, 2, 256), dtype=np.int64).astype(np.uint64)
+_sound_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Modulo PRIME, of anything below 2**63."""
+    x = (x & PRIME) + (x >> np.uint64(31))
+    x = (x & PRIME) + (x >> np.uint64(31))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    have = 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = _reduced(out[:more] * np.uint64(pow(base, have, int(PRIME))))
+        have += more
+    return out
+
+
+def sound_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, modulo PRIME."""
+    have = _sound_powers.get(base)
+    if have is None or len(have[0]) < n:
+        n = max(n, 1 << 16)
+        have = _sound_powers[base] = (_powers_of(base, n), _powers_of(pow(base, -1, int(PRIME)), n))
+    return have
+
+
+def _sound(halves, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """62 bits of values[start:end], whose lower and upper halves (under 2**31) come one after the other from ``halves``.
+
+    Polynomials modulo a prime at random bases: unlike those modulo 2**64 they have no inputs that collide whatever the base is.
+    Two different spans of n values collide with a chance of about (n / 2**31)**2.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    for base, values in zip(_SOUND[seed], halves, strict=True):
+        up, down = sound_powers(base, len(values) + 1)
+        term = values * up[: len(values)]
+        term = (term & PRIME) + (term >> np.uint64(31))
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(term, out=total[1:])  # under 2**32 each
+        out = (out << np.uint64(31)) | _reduced(_reduced(total[ends] - total[starts]) * down[starts])
+    return mix(out ^ mix((ends - starts).astype(np.uint64) * np.uint64(ODD)))
+
+
+def sound_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """As ``span_hash``, where equal hashes must mean equal spans of 64-bit values."""
+    return _sound((values & PRIME, values >> np.uint64(33)), starts, ends, seed)
+
+
+def sound_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, fold: np.ndarray | None = None) -> np.ndarray:
+    """As ``word_hashes``, where equal hashes must mean equal words."""
+    out = np.empty(len(starts), np.uint64)
+    lut = _SOUND_BYTE[seed] if fold is None else _SOUND_BYTE[seed][:, fold]
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE, side="right")))
+        low, high = int(starts[at]), int(ends[to - 1])
+        own = data[low:high]
+        out[at:to] = _sound((half[own] for half in lut), starts[at:to] - low, ends[at:to] - low, seed)
+        at = to
+    return out
+
+
 def grams(values: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """Hashes of k consecutive values, at every start."""
     n = len(values) - k + 1

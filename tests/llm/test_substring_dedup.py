@@ -68,3 +68,49 @@ def test_edges(spark):
     assert sorted(r.n_removed for r in out) == [0, 0, 0] and sorted(r.row.id for r in out) == [5, 6, 7] and out[0].text == text
     assert sd.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert hashlib.sha256(out[0].kept.encode()).hexdigest()
+
+
+def balanced(n, a, b):
+    """The words over two letters whose polynomials agree modulo 2**64 at any odd base, from 2**11 letters on."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(a if x else b for x in bits), "".join(b if x else a for x in bits)
+
+
+def test_no_structural_collisions(spark):
+    """Words, and sequences of words, that collide under polynomials modulo 2**64 are told apart."""
+    import numpy as np
+
+    from siftwell.llm import decontaminate
+    from siftwell.llm import words as tw
+
+    one, two = balanced(4096, "a", "b")
+    data = np.frombuffer(f"{one} {two}".encode(), np.uint8)
+    starts, ends, _ = tw.spans(data, np.array([0, len(data)]))
+    for seed in (0, 1):
+        assert len(set(tw.sound_words(data, starts, ends, seed).tolist())) == 2
+    offs = np.array([0, len(data)])
+    assert len(set(decontaminate.word_ids(offs, data)[0].tolist())) == 2
+    filler = [f"w{i}" for i in range(15)]
+    rows = [(i + 1, " ".join([*filler, word, *filler])) for i, word in enumerate((one, two))]
+    assert got(spark, rows) == brute(rows)
+    assert [got(spark, rows)[i][1] for i in (1, 2)] == [0, 0]
+    first, second = balanced(2048, "left ", "right ")
+    rows = [(1, first), (2, second)]
+    assert got(spark, rows, window=2048) == brute(rows, 2048)
+
+
+def test_sound_hashes_move_with_their_spans():
+    import numpy as np
+
+    from siftwell.llm import words as tw
+
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 2**63, 300, dtype=np.int64).astype(np.uint64)
+    values[200:250] = values[17:67]
+    h = tw.sound_hash(values, np.array([17, 200, 17, 18, 0]), np.array([67, 250, 66, 67, 0]), 1)
+    assert h[0] == h[1] and len(set(h.tolist())) == 4
+    big = np.full(1 << 17, 2**64 - 1, np.uint64)  # largest values
+    p = int(tw.PRIME)
+    low, high = p, 2**31 - 1
+    want = [sum(v * pow(b, i, p) for i in range(1 << 17)) % p for v, b in zip((low, high), tw._SOUND[0])]
+    assert want == [0, 0] and tw.sound_hash(big, np.array([0]), np.array([1 << 17]))[0] == tw.sound_hash(np.zeros(1 << 17, np.uint64), np.array([0]), np.array([1 << 17]))[0]
