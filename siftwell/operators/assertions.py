@@ -137,3 +137,43 @@ def literal_status(text: Column | str, words: StatusWords = STATUS_WORDS) -> Col
     kinds = F.size(F.array_distinct(F.transform(later, lambda a: a["status"])))
     last = F.coalesce(F.when(kinds == 1, F.try_element_at(later, F.lit(-1))), F.when(kinds == 0, F.try_element_at(proof, F.lit(-1))))
     return F.when(F.coalesce(doubt, F.lit(False)) | last.isNull(), None).otherwise(F.struct(last["status"].alias("status"), last["label"].alias("label")))
+
+
+@dataclass(frozen=True)
+class RoleGate:
+    """Patterns of titles and texts that decide whether a posting is a technical role at all."""
+
+    barred: str
+    barred_unless: str
+    title: str
+    body: str
+
+
+def without_sections(text: Column | str, begins: str, ends: str) -> Column:
+    """The text without the sections under headings that match ``begins``, each up to the next heading of ``ends`` or the end."""
+    return F.regexp_replace(F.col(text) if isinstance(text, str) else text, rf"(?is)(?:{begins})\s*[:：]?(?:(?!{ends}).)*+", " ")
+
+
+def directions(title: Column | str, body: Column | str, signals: Sequence[tuple[str, str, str]], gate: RoleGate, bonus: str, headings: str, around: int = 20) -> Column:
+    """Array of (direction, signal, source, excerpt), one for each of ``signals`` (direction, signal, pattern) that holds, in their order.
+
+    What stands in a bonus section doesn't count. A signal is looked for in the title, then in the body; the excerpt is what matched with up to
+    ``around`` characters on either side. Behind the gate: a barred title that nothing excuses, or a posting without any technical word, has none.
+    """
+    own = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    once = F.struct(compacted(own(title)).alias("title"), compacted(without_sections(own(body), bonus, headings)).alias("body"))
+
+    def found(o: Column) -> Column:
+        barred = o["title"].rlike(f"(?i){gate.barred}") & ~o["title"].rlike(f"(?i){gate.barred_unless}")
+        technical = o["title"].rlike(f"(?i){gate.title}") | o["body"].rlike(f"(?i){gate.body}")
+        hits = []
+        for direction, signal, pattern in signals:
+            source = F.when(o["title"].rlike(f"(?i){pattern}"), "title").when(o["body"].rlike(f"(?i){pattern}"), "body")
+            text = F.when(o["title"].rlike(f"(?i){pattern}"), o["title"]).otherwise(o["body"])
+            excerpt = F.regexp_extract(text, rf"(?i).{{0,{around}}}(?:{pattern}).{{0,{around}}}", 0)
+            hit = F.struct(F.lit(direction).alias("direction"), F.lit(signal).alias("signal"), source.alias("source"), excerpt.alias("excerpt"))
+            hits.append(F.when(source.isNotNull(), hit))
+        return F.when(technical & ~barred, F.array_compact(F.array(*hits)))
+
+    none = F.array().cast("array<struct<direction:string,signal:string,source:string,excerpt:string>>")
+    return F.coalesce(F.get(F.transform(F.array(once), found), F.lit(0)), none)

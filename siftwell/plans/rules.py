@@ -46,14 +46,25 @@ def c04(spark, folder):
     return table(spark, folder, "part").select("p_partkey", F.regexp_replace("p_name", "small ring|red bolt", "").rlike("ring|bolt").alias("marked"))
 
 
-DIRECTIONS = (("metal", "ring|bolt|nut"), ("toy", "widget|gear"), ("red", "red"), ("small", "small"))
-
-
-@query("c05_directions", "SELECT p_partkey, concat_ws(',', " + ", ".join(f"CASE WHEN p_type <> 'PROMO' AND regexp_matches(p_name, '{r}') THEN '{n}' END" for n, r in DIRECTIONS) + ") AS directions FROM part")
+SIGNALS = (("metal", "ring", "ring"), ("metal", "bolt", "bolt|nut"), ("toy", "widget", "widget|gear"), ("words", "the", "then|thethe"), ("words", "ion", "tionion"))
+GATE = a.RoleGate("red|blue", "red gear", "bolt|gear", "machine|ening")
+BONUS, HEADINGS = "bonus points|preferred qualifications", "responsibilities|requirements"
+SECTIONS = ("requirements: machine ", "preferred qualifications: machine thethe ", "bonus points bolt preferred qualifications ring requirements: ", "responsibilities tionion bonus points: ")
+
+
+@query("c05_directions", rf"""WITH p AS (SELECT d.doc_id, trim(regexp_replace(p_name, '\s+', ' ', 'g')) AS title,
+    trim(regexp_replace(regexp_replace(list_extract({list(SECTIONS)}, CAST(d.doc_id % {len(SECTIONS)} + 1 AS INTEGER)) || text || ' requirements ' || p_name, '(?is)(?:{BONUS})\s*:?.*?({HEADINGS}|$)', ' \1', 'g'), '\s+', ' ', 'g')) AS body
+    FROM documents d JOIN part ON p_partkey = d.doc_id % 100 + 1),
+  s AS (SELECT doc_id, title, body, unnest([{", ".join(f"{{'direction': '{d}', 'signal': '{n}', 'pattern': '(?i){r}', 'near': '(?i).{{0,20}}(?:{r}).{{0,20}}', 'k': {i}}}" for i, (d, n, r) in enumerate(SIGNALS))}]) AS x FROM p
+    WHERE NOT (regexp_matches(title, '(?i){GATE.barred}') AND NOT regexp_matches(title, '(?i){GATE.barred_unless}')) AND (regexp_matches(title, '(?i){GATE.title}') OR regexp_matches(body, '(?i){GATE.body}')))
+  SELECT doc_id, x.direction AS direction, x.signal AS signal, CASE WHEN regexp_matches(title, x.pattern) THEN 'title' ELSE 'body' END AS source,
+    regexp_extract(CASE WHEN regexp_matches(title, x.pattern) THEN title ELSE body END, x.near) AS excerpt FROM s WHERE regexp_matches(title, x.pattern) OR regexp_matches(body, x.pattern)""")
 def c05(spark, folder):
-    """All directions that hold, behind a gate."""
-    own = F.when(F.col("p_type") != "PROMO", s.evidence_flags(F.col("p_name"), DIRECTIONS)).otherwise(F.array().cast("array<string>"))
-    return table(spark, folder, "part").select("p_partkey", F.array_join(own, ",").alias("directions"))
+    """Signals of whole texts by source, without their bonus sections, behind a gate of titles and words."""
+    section = F.element_at(F.array(*map(F.lit, SECTIONS)), (F.col("doc_id") % len(SECTIONS) + 1).cast("int"))
+    docs = table(spark, folder, "documents").join(table(spark, folder, "part"), F.col("p_partkey") == F.col("doc_id") % 100 + 1)
+    body = F.concat(section, "text", F.lit(" requirements "), "p_name")
+    return docs.select("doc_id", F.inline(a.directions("p_name", body, SIGNALS, GATE, BONUS, HEADINGS)))
 
 
 @query("c06_screen", f"""WITH {JOBS} SELECT id, CASE WHEN NOT (cohort = 2027 AND lower(cohort_status) = 'confirmed') THEN 'not_target' WHEN batch = 'internship' THEN 'internship' WHEN regexp_matches(title, '^1-') THEN 'doctorate' WHEN capture_status <> 'complete' THEN 'jd_incomplete' WHEN segment = 'MACHINERY' THEN 'direction_out' ELSE 'eligible' END AS screen FROM jobs""")

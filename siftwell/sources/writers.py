@@ -30,18 +30,36 @@ def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_lines(df: DataFrame, path: str) -> None:
-    """JSON lines, replaced as a whole: written beside the path first, then put in its place by renaming.
+    """JSON lines, replaced as a whole: written beside the path first; then the old ones are renamed aside, the new ones in, and the old ones go.
 
-    A reader sees the old lines, or for a moment none, or the new ones, never half of them; a run that fails leaves the old ones.
+    A reader sees the old lines, or for a moment none, or the new ones, never half of them. A run that fails leaves the old ones, also where
+    the second rename does; after a crash between the renames they are in ``<path>.<hex>.old``, whole, from where ``restore_lines`` brings them back.
     """
-    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
-    df.write.json(beside)
+    mark = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.json(f"{mark}.tmp")
     jvm = df.sparkSession.sparkContext._jvm
-    new, own = (jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path))
+    new, old, own = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{mark}.tmp", f"{mark}.old", path))
     fs = own.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(own, True)
+    there = fs.exists(own)
+    if there and not fs.rename(own, old):
+        raise OSError(f"{path} could not be renamed aside")
     if not fs.rename(new, own):
-        raise OSError(f"{beside} could not be renamed to {path}")
+        if there:
+            fs.rename(old, own)
+        raise OSError(f"{mark}.tmp could not be renamed to {path}")
+    if there:
+        fs.delete(old, True)
+
+
+def restore_lines(spark: SparkSession, path: str) -> bool:
+    """Bring back what a crash between two renames left aside; whether there was anything. Lines that are in their place stay."""
+    jvm = spark.sparkContext._jvm
+    own = jvm.org.apache.hadoop.fs.Path(path)
+    fs = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(own):
+        return False
+    aside = sorted(fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.*.old")), key=lambda s: s.getModificationTime())
+    return bool(aside) and bool(fs.rename(aside[-1].getPath(), own))
 
 
 def append_trace(df: DataFrame, path: str, secret: Sequence[str] = ()) -> None:

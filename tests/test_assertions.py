@@ -84,6 +84,34 @@ def test_records(spark):
         assert got[i] == want, text
 
 
+GATE = a.RoleGate("manager|sales", "technical product", "engineer|developer", "programming|code")
+SIGNALS = [("robotics", "arm", "robot arm|robotics"), ("robotics", "ROS", r"(?<![A-Za-z])ROS(?![A-Za-z])"), ("cpp", "C++", r"C\+\+")]
+BONUS, HEADINGS = "bonus points|preferred qualifications", "responsibilities|requirements"
+POSTINGS = [
+    ("Engineer", "Requirements: C++ and robotics", [("robotics", "arm", "body"), ("cpp", "C++", "body")]),
+    ("Engineer", "Requirements: C++. Preferred qualifications: robotics, ROS", [("cpp", "C++", "body")]),
+    ("Engineer", "Bonus points: C++\n Requirements: ROS\nbonus points robot arm", [("robotics", "ROS", "body")]),
+    ("Engineer", "bonus points a bonus points b ROS responsibilities C++", [("cpp", "C++", "body")]),
+    ("Robotics engineer", "bonus points: robotics", [("robotics", "arm", "title")]),
+    ("Sales manager", "C++ programming", []),
+    ("Technical product manager", "C++ code", [("cpp", "C++", "body")]),
+    ("Assistant", "ROS at work", []),  # no technical word
+    ("Assistant", "ROS and programming", [("robotics", "ROS", "body")]),
+    ("Engineer", "CROSS", []), (None, None, []), ("", "", []),
+]
+
+
+def test_directions(spark):
+    df = spark.createDataFrame([(i, t, b) for i, (t, b, _) in enumerate(POSTINGS)], "i int, t string, b string")
+    got = {r.i: r.d for r in df.select("i", a.directions("t", "b", SIGNALS, GATE, BONUS, HEADINGS).alias("d")).collect()}
+    for i, (t, b, want) in enumerate(POSTINGS):
+        assert [(x.direction, x.signal, x.source) for x in got[i]] == want, (t, b)
+    assert got[0][0].excerpt == "quirements: C++ and robotics"
+    long = "word " * 50_000
+    row = df.limit(1).select(a.directions(F.lit("Engineer"), F.lit(f"bonus points {long} requirements C++"), SIGNALS, GATE, BONUS, HEADINGS).alias("d")).first()
+    assert [x.signal for x in row.d] == ["C++"]
+
+
 @pytest.mark.parametrize("text", ["x" * 100_000, "2027 campus recruitment " * 2000, "面试中。" * 5000])
 def test_long_texts(spark, text):
     df = spark.createDataFrame([(text,)], "t string")

@@ -83,6 +83,12 @@ def test_lines_are_replaced_whole(spark, tmp_path):
     assert spark.read.json(path).count() == 3
     wr.write_lines(spark.range(5), path)
     assert spark.read.json(path).count() == 5
+    import os
+
+    assert sorted(os.listdir(tmp_path)) == ["lines"] or all(n.endswith(".tmp") for n in os.listdir(tmp_path) if n != "lines")
+    os.rename(path, f"{path}.0a.old")  # as a crash between the renames leaves it
+    assert wr.restore_lines(spark, path) and not wr.restore_lines(spark, path)
+    assert spark.read.json(path).count() == 5
 
 
 def test_steps_and_traces(spark, tmp_path):
