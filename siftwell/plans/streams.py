@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftwell.operators import schedules as sc
@@ -89,6 +90,17 @@ def x04(spark, folder):
     return sc.unacknowledged(rows.where("event_type <> 'error'"), acked, ["user_id", "event_id"]).select("user_id", "event_id")
 
 
+@query("x04b_resend_ranges", """WITH s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
+  u AS (SELECT user_id, seq, seq - row_number() OVER (PARTITION BY user_id ORDER BY seq) AS k FROM s WHERE event_type NOT IN ('click', 'view') AND seq > user_id % 4)
+  SELECT user_id, min(seq) AS first, max(seq) AS last, count(*) AS n FROM u GROUP BY user_id, k""")
+def x04b(spark, folder):
+    """Each user's messages in their own sequence, of which clicks and views were acknowledged: the ranges to send again after a cursor."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    sent = table(spark, folder, "events").select("user_id", "event_type", F.row_number().over(w).alias("seq"))
+    cursors = sent.select("user_id", (F.col("user_id") % 4).alias("cursor")).distinct()
+    return sc.unacknowledged_ranges(sent, sent.where("event_type in ('click', 'view')"), "user_id", "seq", cursors, block=16)
+
+
 @query("x06_due_occurrences", """WITH o AS (SELECT c_custkey AS id, CAST(d AS DATE) AS day FROM customer, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-05', INTERVAL 1 DAY) AS g(d) WHERE d <= TIMESTAMP '2024-01-04'),
   x AS (SELECT c_custkey AS id, DATE '2024-01-01' + CAST(c_custkey % 5 AS INTEGER) AS day FROM customer WHERE c_custkey % 3 = 0)
   SELECT id, max(day) AS claimed, count(*) - 1 AS skipped FROM o WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.id = o.id AND x.day = o.day) GROUP BY id""")
@@ -99,10 +111,15 @@ def x06(spark, folder):
     return sc.due_occurrences(plans, done, "id", "first", "last", F.lit("2024-01-04").cast("date"))
 
 
-@query("x07_retention", "SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-08' AND user_id NOT IN (SELECT conv_id FROM conversations) THEN NULL ELSE props END AS props FROM events")
+@query("x07_retention", """SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-08' AND user_id NOT IN (SELECT conv_id FROM conversations) AND event_id NOT IN (SELECT event_id FROM events e WHERE event_type = 'purchase'
+  AND NOT EXISTS (SELECT 1 FROM events a WHERE a.user_id = e.user_id AND a.event_id > e.event_id AND a.event_type = 'view')) THEN NULL ELSE props END AS props FROM events""")
 def x07(spark, folder):
+    """Old details go but those of pinned users and of purchases that no later view has acknowledged."""
+    events = table(spark, folder, "events")
     pinned = table(spark, folder, "conversations").select(F.col("conv_id").alias("user_id"))
-    out = sc.compacted(table(spark, folder, "events"), pinned, "user_id", "ts", F.lit("2024-01-08").cast("timestamp_ntz"), "props")
+    seen = events.where("event_type = 'view'").groupBy("user_id").agg(F.max("event_id").alias("upto"))
+    waiting = events.where("event_type = 'purchase'").join(seen, "user_id", "left").where("upto is null or upto < event_id")
+    out = sc.compacted(events, pinned, "user_id", "ts", F.lit("2024-01-08").cast("timestamp_ntz"), "props", waiting)
     return out.select("event_id", "props")
 
 
@@ -113,6 +130,18 @@ def x08(spark, folder):
     return rows.select("user_id", sc.retry_state(F.col("n"), F.col("t"), F.lit("2024-02-01").cast("timestamp_ntz"), 600, 16, 2_000_000).alias("state"))
 
 
+@query("x08b_lease_state", """WITH a AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS n, max(ts) FILTER (WHERE event_type = 'click') AS s, max(ts) FILTER (WHERE event_type = 'error') AS e FROM events GROUP BY user_id),
+  b AS (SELECT user_id, n, s, CASE WHEN e >= s THEN e END AS e FROM a), c AS (SELECT *, CASE WHEN e IS NULL AND s IS NOT NULL THEN floor(epoch(s)) + 172800 ELSE floor(epoch(e)) END AS over FROM b)
+  SELECT user_id, CASE WHEN s IS NULL THEN 'ready' WHEN e IS NULL AND epoch(TIMESTAMP '2024-01-20') < over THEN 'running' WHEN n >= 6 THEN 'exhausted' WHEN epoch(TIMESTAMP '2024-01-20') - over < least(500000, 40000 * pow(2, n - 1)) THEN 'waiting' ELSE 'ready' END AS state FROM c""")
+def x08b(spark, folder):
+    """Clicks as attempts that errors end; an attempt without an end holds its lease and then counts as failed, without any further event."""
+    at = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("ts")))
+    rows = table(spark, folder, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("n"), at("click").alias("s"), at("error").alias("e"))
+    ended = F.when(F.col("e") >= F.col("s"), F.col("e"))
+    state = sc.leased_state(F.col("s"), ended, F.col("n"), F.lit("2024-01-20").cast("timestamp_ntz"), 172_800, 40_000, 6, 500_000)
+    return rows.select("user_id", state.alias("state"))
+
+
 @query("x09_freshness_gate", "SELECT user_id, max(ts) < TIMESTAMP '2024-01-20' AS sync FROM events WHERE event_type <> 'error' GROUP BY user_id")
 def x09(spark, folder):
     return table(spark, folder, "events").where("event_type <> 'error'").groupBy("user_id").agg((F.max("ts") < F.lit("2024-01-20").cast("timestamp_ntz")).alias("sync"))

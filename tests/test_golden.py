@@ -312,3 +312,35 @@ def test_refreshed_index(spark):
     assert sorted((r.doc, r.chunk) for r in got.collect()) == [(1, "same"), (2, "after"), (4, "added")]
     again = retrieval.chunk_table(new, "id", "text").select("doc", "chunk_id").collect()
     assert sorted(map(tuple, got.select("doc", "chunk_id").collect())) == sorted(map(tuple, again))
+
+
+def test_leases_end_without_an_event(spark):
+    from siftwell.operators import schedules as sc
+
+    rows = [("2026-01-01 00:00:00", None, 1), ("2026-01-01 00:00:00", "2026-01-01 00:00:10", 1), (None, None, 0), ("2026-01-01 00:00:00", None, 5)]
+    df = spark.createDataFrame(rows, "s string, e string, n int").select(F.col("s").cast("timestamp").alias("s"), F.col("e").cast("timestamp").alias("e"), "n")
+    at = lambda t: [r[0] for r in df.select(sc.leased_state(F.col("s"), F.col("e"), F.col("n"), F.lit(f"2026-01-01 00:0{t}").cast("timestamp"))).collect()]
+    assert at("2:59") == ["running", "ready", "ready", "running"]
+    assert at("3:00") == ["waiting", "ready", "ready", "exhausted"]
+    assert at("4:00")[0] == "ready" and at("1:09")[1] == "waiting"
+
+
+def test_lost_acknowledgements_bring_the_missing_ranges(spark):
+    import random
+
+    from siftwell.operators import schedules as sc
+
+    rng = random.Random(1)
+    sent = [(d, s) for d in "abc" for s in range(1, 200)]
+    acked = [x for x in sent if x[0] != "c" and rng.random() < 0.7]
+    want = []
+    for d, s in sent:
+        if (d, s) not in acked and not (d == "b" and s <= 50):
+            if want and want[-1][0] == d and want[-1][2] == s - 1:
+                want[-1] = (d, want[-1][1], s, want[-1][3] + 1)
+            else:
+                want.append((d, s, s, 1))
+    frames = [spark.createDataFrame(x, "d string, seq long") for x in (sent + sent[:9], acked)]
+    cursors = spark.createDataFrame([("b", 50)], "d string, cursor long")
+    for block in (7, 1000):
+        assert sorted(map(tuple, sc.unacknowledged_ranges(*frames, "d", "seq", cursors, block).collect())) == sorted(want)
