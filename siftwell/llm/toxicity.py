@@ -1,12 +1,13 @@
 """Operator 5: toxicity from a lexicon met with Levenshtein automata, weighed by context.
 
 The lexicon has fixed terms and what labelled texts teach: words, and stems of 4 to 7 letters that stand for every word that begins
-with them, each with the words that it was learned from. They are counted on a bounded sample (``LEARN_FROM`` texts of either label); of terms that are ``LIFT`` times as
-frequent in toxic texts, a greedy cover takes the one that explains most toxic texts not yet explained, until too few are left.
+with them, each with the words that it was learned from. They are counted on a bounded sample (``LEARN_FROM`` texts of either label); of all terms that are ``LIFT`` times as
+frequent in toxic texts, a greedy cover takes the one that explains most toxic texts not yet explained, until too few are left. Words of
+under 3 letters aren't learned; those of over ``LONGEST`` letters are learned by their stems only, which match them whole.
 
 The lexicon is a trie. Its intersection with the Levenshtein automaton of each word (up to one insertion, deletion, change or
 swap of neighbours; none for terms of under five letters, nor for stems, whose learned words are met so instead) is made
-deterministic once, as a table of states by letters; words run through it side by side. Letters are code points in lower case;
+deterministic once, as sparse rows of states laid over one another; words run through it side by side. Letters are code points in lower case;
 digits and signs that stand for letters are read as those, letters that no term holds count as one.
 
 Each match has a context of ``WINDOW`` words on either side: quotation marks around it or reporting words mean quotation and
@@ -85,7 +86,7 @@ def letters(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out, np.isin(points, _QUOTES), own
 
 
-LEARN_FROM, LIFT, CANDIDATES, STEMS = 2_500, 25, 2_000, (4, 5, 6, 7)
+LEARN_FROM, LIFT, LONGEST, STEMS = 2_500, 25, 24, (4, 5, 6, 7)
 DEAD, START, WHOLE = 0, 1, 2
 
 
@@ -103,30 +104,55 @@ class Lexicon:
 
 @dataclass(frozen=True)
 class Automaton:
-    """Codes of code points (the lexicon's letters, then one for all other letters, then the gap), transitions (state, code) -> state,
-    edits of accepted states (9: not accepted), whether those accept a learned word, and the longest term plus one.
+    """Codes of code points (the lexicon's letters, then one for all other letters, then the gap), transitions, edits of accepted states
+    (9: not accepted), whether those accept a learned word, and the longest term plus one.
 
-    DEAD matches nothing more; WHOLE is entered by a stem and stays.
+    A state's row begins at its base; entries that it owns are its transitions by letter, every other letter leads to its ``other`` state.
+    So the size is that of the letters that states ask for, however many letters the lexicon has. DEAD matches nothing more; WHOLE is
+    entered by a stem and stays.
     """
 
     codes: np.ndarray
-    table: np.ndarray
+    gap: int
+    base: np.ndarray
+    owner: np.ndarray
+    target: np.ndarray
+    other: np.ndarray
     edits: np.ndarray
     learned: np.ndarray
     longest: int
 
-    @property
-    def gap(self) -> int:
-        return self.table.shape[1]
+    def follow(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        at = self.base[state] + code
+        return np.where(self.owner[at] == state, self.target[at], self.other[state])
+
+
+def _overlay(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bases, owners and targets of sparse rows laid over one another, so that no place holds two of their entries."""
+    base, owner, target = np.zeros(len(rows), np.int32), [-1] * width, [0] * width
+    low = 0
+    for i in sorted(range(len(rows)), key=lambda i: -len(rows[i])):
+        at = low
+        while any(owner[at + c] >= 0 for c in rows[i]):
+            at += 1
+            if at + width > len(owner):
+                owner += [-1] * len(owner)
+                target += [0] * len(target)
+        for c, to in rows[i].items():
+            owner[at + c], target[at + c] = i, to
+        base[i] = at
+        if at - low > 256:
+            low += 128  # what is left of the crowded places isn't searched again
+    return base, np.array(owner, np.int32), np.array(target, np.int32)
 
 
 @functools.lru_cache(maxsize=4)
 def automaton(lexicon: Lexicon, fuzzy_from: int = FUZZY_FROM) -> Automaton:
     every = [*((t, 0) for t in lexicon.terms), *((t, 1) for t in lexicon.stems), *((t, 2) for t in lexicon.words)]
-    alphabet = "abcdefghijklmnopqrstuvwxyz" + "".join(sorted({c for t, _ in every for c in t} - set("abcdefghijklmnopqrstuvwxyz")))[:226]
+    alphabet = "abcdefghijklmnopqrstuvwxyz" + "".join(sorted({c for t, _ in every for c in t} - set("abcdefghijklmnopqrstuvwxyz")))
     number_of = {c: i for i, c in enumerate(alphabet)}
     other = len(alphabet)
-    codes = np.full(1 << 16, other, np.uint8)
+    codes = np.full(1 << 16, other, np.uint16)
     codes[GAP] = other + 1
     for c, i in number_of.items():
         codes[ord(c)] = i
@@ -136,7 +162,7 @@ def automaton(lexicon: Lexicon, fuzzy_from: int = FUZZY_FROM) -> Automaton:
     for term, kind in every:
         node = 0
         for c in term:
-            code = number_of.get(c, other)
+            code = number_of[c]
             if code not in children[node]:
                 children[node][code] = len(children)
                 children.append({})
@@ -198,30 +224,29 @@ def automaton(lexicon: Lexicon, fuzzy_from: int = FUZZY_FROM) -> Automaton:
                     out |= children[kid].keys()
         return out
 
-    size = other + 1
     start, whole = closed({(0, -1): 0}), frozenset({((-1, -1), 0)})
-    number, table, todo = {frozenset(): DEAD, start: START, whole: WHOLE}, [[DEAD] * size, [DEAD] * size, [WHOLE] * size], [start]
+    number, rows, rest, todo = {frozenset(): DEAD, start: START, whole: WHOLE}, [{}, {}, {}], [DEAD, DEAD, WHOLE], [start]
 
     def place(state: frozenset) -> int:
         if state not in number:
-            number[state] = len(table)
-            table.append([DEAD] * size)
+            number[state] = len(rows)
+            rows.append({})
+            rest.append(DEAD)
             todo.append(state)
         return number[state]
 
     while todo:
         state = todo.pop()
-        row = [place(step(state, -1))] * size
-        for letter in asked(state):
-            row[letter] = place(step(state, letter))
-        table[number[state]] = row
-    edits, learned = np.full(len(table), 9, np.int8), np.zeros(len(table), bool)
+        own = number[state]
+        rest[own] = place(step(state, -1))
+        rows[own] = {letter: to for letter in asked(state) if (to := place(step(state, letter))) != rest[own]}
+    edits, learned = np.full(len(rows), 9, np.int8), np.zeros(len(rows), bool)
     edits[WHOLE] = 0
     for state, i in number.items():
         best = min(((e, ends[node][1]) for (node, wait), e in state if wait < 0 and node in ends and (e == 0 or ends[node][0] >= fuzzy_from)), default=None)
         if best:
             edits[i], learned[i] = best
-    return Automaton(codes, np.array(table, np.int32), edits, learned, max((len(t) for t, _ in every), default=0) + 1)
+    return Automaton(codes, other + 1, *_overlay(rows, other + 1), np.array(rest, np.int32), edits, learned, max((len(t) for t, _ in every), default=0) + 1)
 
 
 _SEED = 1
@@ -244,7 +269,7 @@ def matches(offs: np.ndarray, data: np.ndarray, lexicon: Lexicon | Automaton = L
     known = automaton(lexicon) if isinstance(lexicon, Lexicon) else lexicon
     points, quotes, own = letters(offs, data)
     codes = known.codes[points]
-    gap = np.zeros(256, bool)
+    gap = np.zeros(known.gap + 1, bool)
     gap[known.gap] = True
     starts, ends, rows = tw.spans(codes, own, gap)
     size = ends - starts
@@ -261,7 +286,7 @@ def matches(offs: np.ndarray, data: np.ndarray, lexicon: Lexicon | Automaton = L
         at, state, left = at[live], state[live], left[live]
         if not len(at):
             break
-        state = known.table[state, codes[starts[at] + j]]
+        state = known.follow(state, codes[starts[at] + j])
     hit, last = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found, found_state))
     order = np.argsort(hit, kind="stable")
     order = order[known.edits[last[order]] < 9]
@@ -304,7 +329,7 @@ def _terms(text: bytes) -> set[tuple[str, bool]]:
     """Distinct words and stems of a text."""
     points, _, _ = letters(np.array([0, len(text)]), np.frombuffer(text, np.uint8))
     words = set(points.astype("<u4").tobytes().decode("utf-32-le", "replace").split())
-    return {(w, False) for w in words if 3 <= len(w) <= 24} | {(w[:k], True) for w in words for k in STEMS if len(w) >= k}
+    return {(w, False) for w in words if 3 <= len(w) <= LONGEST} | {(w[:k], True) for w in words for k in STEMS if len(w) >= k}
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,21 +364,22 @@ def learn(rows: DataFrame) -> Lexicon:
     counted = rows.select("id", "text", "y").mapInArrow(_count_terms, "term string, stem boolean, n long, n1 long").groupBy("term", "stem").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
     least = max(3, round(totals.n1 * 0.002))
     lift = (F.col("n1") / totals.n1) / ((F.col("n") - F.col("n1") + 0.5) / (totals.n - totals.n1))
-    best = counted.where((F.col("n1") >= least) & (lift >= LIFT)).orderBy(F.desc("n1"), "stem", "term").limit(CANDIDATES).collect()
+    best = counted.where((F.col("n1") >= least) & (lift >= LIFT)).orderBy(F.desc("n1"), "stem", "term").collect()  # terms of the bounded sample
     candidates = {(r.term, r.stem): i for i, r in enumerate(best)}
     texts = rows.where("y = 1").select("id", "text").mapInArrow(_incidence(candidates), "id long, terms array<int>").collect()
-    open_texts, members = set(range(len(texts))), [set() for _ in best]
+    gain, members, chosen = np.zeros(len(best), np.int64), [[] for _ in best], []
     for k, r in enumerate(texts):
+        gain[r.terms] += 1
         for i in r.terms:
-            members[i].add(k)
-    chosen = []
-    while open_texts:
-        gain = [len(m & open_texts) for m in members]
-        top = max(range(len(gain)), key=gain.__getitem__, default=None)  # of equal ones the first: most frequent, word before stem
-        if top is None or gain[top] < least:
-            break
+            members[i].append(k)
+    explained = np.zeros(len(texts), bool)
+    while len(best) and gain.max() >= least:
+        top = int(gain.argmax())  # of equal ones the first: most frequent, word before stem
         chosen.append(best[top])
-        open_texts -= members[top]
+        for k in members[top]:
+            if not explained[k]:
+                explained[k] = True
+                gain[texts[k].terms] -= 1
     stems = tuple(sorted(r.term for r in chosen if r.stem))
     words = {r.term for r in chosen if not r.stem} | {r.term for r in best if not r.stem and r.term.startswith(stems or ("\0",))}
     return Lexicon(tuple(LEXICON), stems, tuple(sorted(words - set(LEXICON))))

@@ -149,6 +149,42 @@ def test_misspelled_learned_terms():
         assert len(toxicity.matches(*raw([made]), known)["row"]) == 0
 
 
+def test_alphabet_of_a_thousand_letters():
+    """Each letter of the lexicon stands for itself, and a word of letters that no term has is no match, however many letters there are."""
+    rng = random.Random(4)
+    letters = [chr(0x4E00 + i) for i in range(1000)]
+    learned = tuple(sorted({"".join(letters[(5 * i + j) % 1000] for j in range(5)) for i in range(200)}))
+    known = toxicity.automaton(toxicity.Lexicon((), ("".join(letters[7:11]),), learned[:199]))
+    assert known.gap > 900
+    for _ in range(400):
+        w = list(rng.choice(learned))
+        for _ in range(rng.randrange(3)):
+            k, kind = rng.randrange(len(w)), rng.randrange(4)
+            if kind == 0:
+                w.insert(k, rng.choice(letters))
+            elif kind == 1:
+                del w[k]
+            elif kind == 2:
+                w[k] = chr(0x5E00 + rng.randrange(1000))
+            elif k + 1 < len(w):
+                w[k], w[k + 1] = w[k + 1], w[k]
+        made = "".join(w)
+        m = toxicity.matches(*raw([made]), known)
+        best = 0 if made.startswith("".join(letters[7:11])) else min(distance(made, t) for t in learned[:199])
+        assert m["edits"].tolist() == ([best] if best < 2 and len(made) >= 3 else []), made
+    for _ in range(200):
+        assert len(toxicity.matches(*raw(["".join(chr(0x5E00 + rng.randrange(1000)) for _ in range(5))]), known)["row"]) == 0
+
+
+def test_every_term_of_the_sample_is_learned(spark):
+    """No cap on 2,800 candidates: the cover needs 400 words, each in three toxic texts of its own; a very long word is learned by a stem."""
+    name = lambda i: chr(0x4E00 + i) * 3
+    rows = [(3 * i + j, " ".join(name(7 * i + k) for k in range(7)), 1) for i in range(400) for j in range(3)] + [(10_000 + i, "so wie da", 0) for i in range(5_100)]
+    rows += [(20_000 + i, "q" * 100_000, 1) for i in range(3)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "id long, text string, y int"))
+    assert set(lexicon.words) == {name(7 * i) for i in range(400)} and lexicon.stems == ("qqqq",)
+
+
 def test_learned_lexicon(spark):
     rows = [(i, f"ein gutes wort nummer{i} und mehr ist", 0) for i in range(60)] + [(100 + i, f"du {'vollpfosten' if i % 2 else 'vollpfostenhaft'} ist wort {i}", 1) for i in range(60)]
     lexicon = toxicity.learn(spark.createDataFrame(rows, "id long, text string, y int"))
