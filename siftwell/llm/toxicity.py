@@ -7,7 +7,7 @@ under 3 letters aren't learned; those of over ``LONGEST`` letters are learned by
 
 The lexicon is a trie. Its intersection with the Levenshtein automaton of each word (up to one insertion, deletion, change or
 swap of neighbours; none for terms of under five letters, nor for stems, whose learned words are met so instead) is made
-deterministic once, as sparse rows of states laid over one another; words run through it side by side. Letters are code points in lower case;
+deterministic once, as a sorted table of states and letters; words run through it side by side. Letters are code points in lower case;
 digits and signs that stand for letters are read as those, letters that no term holds count as one.
 
 Each match has a context of ``WINDOW`` words on either side: quotation marks around it or reporting words mean quotation and
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -107,15 +107,14 @@ class Automaton:
     """Codes of code points (the lexicon's letters, then one for all other letters, then the gap), transitions, edits of accepted states
     (9: not accepted), whether those accept a learned word, and the longest term plus one.
 
-    A state's row begins at its base; entries that it owns are its transitions by letter, every other letter leads to its ``other`` state.
-    So the size is that of the letters that states ask for, however many letters the lexicon has. DEAD matches nothing more; WHOLE is
-    entered by a stem and stays.
+    Sorted keys (state * codes + code) have the transitions by letter; every other letter leads to the ``other`` state. So the size is that
+    of the letters that states ask for, however many letters the lexicon has. DEAD matches nothing more; WHOLE is entered by a stem and
+    stays.
     """
 
     codes: np.ndarray
     gap: int
-    base: np.ndarray
-    owner: np.ndarray
+    keys: np.ndarray
     target: np.ndarray
     other: np.ndarray
     edits: np.ndarray
@@ -123,27 +122,9 @@ class Automaton:
     longest: int
 
     def follow(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
-        at = self.base[state] + code
-        return np.where(self.owner[at] == state, self.target[at], self.other[state])
-
-
-def _overlay(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bases, owners and targets of sparse rows laid over one another, so that no place holds two of their entries."""
-    base, owner, target = np.zeros(len(rows), np.int32), [-1] * width, [0] * width
-    low = 0
-    for i in sorted(range(len(rows)), key=lambda i: -len(rows[i])):
-        at = low
-        while any(owner[at + c] >= 0 for c in rows[i]):
-            at += 1
-            if at + width > len(owner):
-                owner += [-1] * len(owner)
-                target += [0] * len(target)
-        for c, to in rows[i].items():
-            owner[at + c], target[at + c] = i, to
-        base[i] = at
-        if at - low > 256:
-            low += 128  # what is left of the crowded places isn't searched again
-    return base, np.array(owner, np.int32), np.array(target, np.int32)
+        key = state.astype(np.int64) * (self.gap + 1) + code
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.target[at], self.other[state])
 
 
 @functools.lru_cache(maxsize=4)
@@ -185,46 +166,39 @@ def automaton(lexicon: Lexicon, fuzzy_from: int = FUZZY_FROM) -> Automaton:
                         states[child, -1] = 1
         return frozenset(states.items())
 
-    def step(state: frozenset, letter: int) -> frozenset:
-        """The states after a letter; -1 is any that none of them asks for."""
-        out: dict[tuple[int, int], int] = {}
+    def steps(state: frozenset) -> tuple[frozenset, dict[int, frozenset]]:
+        """The states after a letter that none of them asks for, and after each of the others. The cost is that of the letters asked for."""
+        rest: dict[tuple[int, int], int] = {}
+        more: dict[int, dict[tuple[int, int], int]] = defaultdict(dict)
 
-        def put(key: tuple[int, int], edits: int) -> None:
+        def put(out: dict[tuple[int, int], int], key: tuple[int, int], edits: int) -> None:
             if out.get(key, 9) > edits and (edits == 0 or live[key[0]]):
                 out[key] = edits
 
         for (node, wait), edits in state:
             if wait >= 0:
-                if letter == wait:
-                    put((node, -1), edits)
+                put(more[wait], (node, -1), edits)
                 continue
-            child = children[node].get(letter)
-            if child is not None:
-                put((child, -1), edits)
+            for letter, child in children[node].items():
+                put(more[letter], (child, -1), edits)
             if edits == 0:
-                put((node, -1), 1)
+                put(rest, (node, -1), 1)
                 for first, kid in children[node].items():
-                    put((kid, -1), 1)
-                    swapped = children[kid].get(letter)
-                    if swapped is not None and first != letter:
-                        put((swapped, first), 1)
-        if any(out.get((node, -1)) == 0 for node in stem_ends):
-            return frozenset({((-1, -1), 0)})
-        return closed(out)
-
-    def asked(state: frozenset) -> set[int]:
-        out: set[int] = set()
-        for (node, wait), edits in state:
-            if wait >= 0:
-                out.add(wait)
-                continue
-            out |= children[node].keys()
-            if edits == 0:
-                for kid in children[node].values():
-                    out |= children[kid].keys()
-        return out
+                    put(rest, (kid, -1), 1)
+                    for letter, swapped in children[kid].items():
+                        if first != letter:
+                            put(more[letter], (swapped, first), 1)
+
+        def finished(own: dict[tuple[int, int], int]) -> frozenset:
+            out = {**rest, **own, **{k: min(rest[k], own[k]) for k in own.keys() & rest.keys()}}
+            if any(edits == 0 and node in stem_ends for (node, _), edits in own.items()):
+                return whole
+            return closed(out)
+
+        return finished({}), {letter: finished(own) for letter, own in more.items()}
 
-    start, whole = closed({(0, -1): 0}), frozenset({((-1, -1), 0)})
+    whole = frozenset({((-1, -1), 0)})
+    start = closed({(0, -1): 0})
     number, rows, rest, todo = {frozenset(): DEAD, start: START, whole: WHOLE}, [{}, {}, {}], [DEAD, DEAD, WHOLE], [start]
 
     def place(state: frozenset) -> int:
@@ -238,15 +212,19 @@ def automaton(lexicon: Lexicon, fuzzy_from: int = FUZZY_FROM) -> Automaton:
     while todo:
         state = todo.pop()
         own = number[state]
-        rest[own] = place(step(state, -1))
-        rows[own] = {letter: to for letter in asked(state) if (to := place(step(state, letter))) != rest[own]}
+        unasked, asked = steps(state)
+        rest[own] = place(unasked)
+        rows[own] = {letter: to for letter, then in asked.items() if (to := place(then)) != rest[own]}
     edits, learned = np.full(len(rows), 9, np.int8), np.zeros(len(rows), bool)
     edits[WHOLE] = 0
     for state, i in number.items():
         best = min(((e, ends[node][1]) for (node, wait), e in state if wait < 0 and node in ends and (e == 0 or ends[node][0] >= fuzzy_from)), default=None)
         if best:
             edits[i], learned[i] = best
-    return Automaton(codes, other + 1, *_overlay(rows, other + 1), np.array(rest, np.int32), edits, learned, max((len(t) for t, _ in every), default=0) + 1)
+    width = other + 2
+    pairs = sorted((state * width + letter, to) for state, row in enumerate(rows) for letter, to in row.items())
+    keys, target = np.array([*pairs, (np.iinfo(np.int64).max, DEAD)], np.int64).T.copy()
+    return Automaton(codes, other + 1, keys, target.astype(np.int32), np.array(rest, np.int32), edits, learned, max((len(t) for t, _ in every), default=0) + 1)
 
 
 _SEED = 1
