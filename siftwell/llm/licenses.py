@@ -6,7 +6,8 @@ otherwise each keyword's place gets a context as wide as the longest rule, marke
 other word the context holds are matched there. So the cost of hundreds of rules follows the keywords in a text, not its length.
 
 Rules are ordered: a detection is suppressed if one of a rule that comes earlier contains its interval of words. Labels of the
-base phrases are reported even where a longer detection suppresses them.
+base phrases are reported even where a longer detection suppresses them. Rules without a label ("not licensed under X") only suppress.
+A + behind a digit, which is no word, is kept as a mark at the word before it ("GPL-2.0+", "GPLv2+"); it changes neither words nor places.
 
 Results for every row: id, n_words, hits (all detections: label, start, end, order, weight, base), kept (those not suppressed),
 n_base, first_word, last_word, base_labels, labels, score (largest weight of kept detections, 0 without any). Rows with null or
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands for a + at the end of a word, and where one is.
+PLUS = "\ue000"
+PLUSES = rf"([0-9])\+({GAP[:-1]}|$)"
 
 # Base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -126,8 +130,18 @@ TEXTS = (
 LICENSE = "(?:license|licence)"
 LEAD = "(?:(?:released|distributed|available|licensed|provided|covered) under (?:the |an? )?(?:(?:terms|conditions)(?: and conditions)? of (?:the |an? )?)?)?"
 FSF = "(?: as published by the free software foundation)?(?: either)?"
-LATER = " (?:or|and) (?:at your option )?(?:any )?(?:later|newer|greater|higher)(?: versions?)?"
+LATER_WORDS = " (?:or|and) (?:at your option )?(?:any )?(?:later|newer|greater|higher)(?: versions?)?"
+LATER = f"(?:{PLUS}|{LATER_WORDS})"
 SPDX = " (?:licen[sc]e )?identifier "
+# First words of identifiers that may be operands of "or" and "and".
+OPERANDS = "mit|apache|[al]?gpl(?:v[123])?|mpl|epl|cddl|eupl|osl|afl|artistic|bsl|ofl|php|zpl|bsd|isc|zlib|unlicense|wtfpl|openssl|postgresql|ncsa|cc0|0bsd"
+#: What follows an operand's first word up to the next operand.
+REST = f"(?: v?[0-9]+)?(?: [0-9]+)?{PLUS}?(?: clause| only| or later)?(?: licen[sc]e)? (?:or|and) (?:the )?"
+#: An operand that begins with a keyword.
+FIRST = "(?:[al]?gpl|mpl|epl|cddl|eupl|bsd|cc0|apache [12])"
+UNDER = " under (?:either )?(?:the |an? )?(?:terms of (?:the )?)?"
+# Families whose version may stand before the name.
+NUMBERED = ("apache", "lgpl", "agpl", "gpl", "gfdl", "mpl")
 
 
 def _versions(v: str) -> tuple[tuple[str, bool], ...]:
@@ -146,13 +160,15 @@ def rules() -> tuple[dict, ...]:
     out: list[dict] = []
 
     def add(label: str, before: str, anchor: str, after: str, need: str, weight: float, base: bool = False, last: bool = False) -> None:
-        mark = "@licen" if anchor == LICENSE else f"@{anchor}"
+        mark = "@licen" if anchor == LICENSE else f"@{anchor}" if anchor.isalnum() else "@"
         out.append({"label": label, "mark": mark, "need": need, "core": f"{before}@{anchor}{after}", "last": last, "pattern": f"(?<= ){before}@{anchor}{after}(?= {'(?:[^0-9]|[1-9][0-9]|$)' if last else ''})", "weight": weight, "base": base})
 
+    denied = f"(?:licen[sc]e|{OPERANDS})(?: version)?(?: v?[0-9]+)?(?: [0-9]+)?{PLUS}?"
+    add("", "not ", "licensed", f" under (?:[^ ]+ ){{0,5}}?{denied}", "not", 0.0)
     for label, _, _, short, versions in FAMILIES:  # SPDX lines
         for v in versions:
             spdx = f"{SPDX}{short} {v.replace('.', ' ')}"
-            add(f"{label}-{v}-or-later", "", "spdx", f"{spdx} or later", short, 1.0)
+            add(f"{label}-{v}-or-later", "", "spdx", f"{spdx}(?: or later|{PLUS})", short, 1.0)
             add(f"{label}-{v}", "", "spdx", f"{spdx}(?: only)?", short, 1.0)
     for label, _, _, spdx in PLAIN:
         if spdx:
@@ -168,6 +184,16 @@ def rules() -> tuple[dict, ...]:
             for number, _ in _versions(v):
                 add(f"{label}-{v}-or-later", f"{LEAD}(?:the )?{name} ", LICENSE, f"{FSF}{number}(?: of the {LICENSE})?{LATER}", need, 0.95)
                 add(f"{label}-{v}-or-later", f"{LEAD}(?:the )?{name}{number}{LATER} ", LICENSE, "", need, 0.95)
+        if label in NUMBERED:
+            for later in (True, False):
+                for v in versions:
+                    for number, _ in _versions(v):
+                        before = f"(?:either )?{number[len('(?: version| ver| v)? '):].replace('v?', 'version ', 1)}"
+                        if later:
+                            add(f"{label}-{v}-or-later", f"{before} of the {name} ", LICENSE, LATER_WORDS, need, 0.95)
+                            add(f"{label}-{v}-or-later", f"{before}{LATER} of the {name} ", LICENSE, "", need, 0.95)
+                        else:
+                            add(f"{label}-{v}", f"{before} of the {name} ", LICENSE, "", need, 0.95)
         for last in (False, True):
             for v in versions:
                 for number, end in _versions(v):
@@ -212,7 +238,26 @@ def rules() -> tuple[dict, ...]:
     for phrase, label in BASE:
         before, _, anchor = phrase.rpartition(" ")
         add(label, f"{before} ", anchor, "", before.split()[0], 0.7, True)
-    add("unknown", "(?:released|distributed|available|licensed) under (?:[^ ]+ ){0,6}", LICENSE, "", "under", 0.4)
+    for label, _, _, short, versions in FAMILIES[:1]:  # bare identifiers
+        for v in versions:
+            number = f" v?{v.replace('.', ' ')}"
+            add(f"{label}-{v}", f"{LEAD}(?:the )?", short, f"(?: software)?{number}", "", 0.6)
+    add("mulanpsl-2.0", f"{LEAD}(?:the )?mulan ", "psl", "(?: v)? v?2(?: 0)?", "mulan", 0.85)
+    add("mulanpsl-2.0", f"{LEAD}(?:the )?", "mulanpsl", " 2 0", "", 0.85)
+    add("public-domain", "public ", "domain", "", "public", 0.4)
+    ids = [(label, spdx) for label, _, _, spdx in PLAIN if spdx and label != "json"]
+    ids += [(f"{label}-{v}", f"{short} {v.replace('.', ' ')}") for label, _, _, short, versions in FAMILIES if short not in SHORT and label != "apache" for v in versions]
+    for label, spdx in ids:  # "licensed under X", "X licensed", operands behind the first
+        need = f" {spdx.split()[0]} "
+        add(label, "", "licensed", f"{UNDER}{spdx}", need, 0.7)
+        add(label, f"{spdx} ", "licensed", "", need, 0.7)
+        add(label, "", f"(?:spdx{SPDX}(?:{OPERANDS})|licensed{UNDER}(?:{OPERANDS})|{FIRST})", f"{REST}(?:(?:{OPERANDS}){REST})?{spdx}", need, 0.7)
+    add("apache", "", "licensed", f"{UNDER}apache", " apache ", 0.6)
+    add("apache", "apache ", "licensed", "", " apache ", 0.6)
+    for label in ("mit", "isc", "zlib"):  # a first operand that is no keyword
+        add(label, f"{label} (?:or|and) (?:the )?", FIRST, "", f" {label} ", 0.6)
+    other = "(?:(?:[^u ]|u[^n ]|un[^d ])[^ ]*|un?) "  # no second "under"
+    add("unknown", f"(?:released|distributed|available|licensed) under (?:{other}){{0,6}}", LICENSE, "", "under", 0.4)
     add("unknown", "", "licensed", " under", "under", 0.3)
     return tuple(out)
 
@@ -228,14 +273,14 @@ REACH = max(_reach(r["core"]) for r in rules()) + 1
 
 #: What marks a keyword among the words.
 KEYWORD = (
-    r"^(?:licen[cs]e|licensed|licenses|spdx|cc0?|[al]?gpl|[al]?gplv[123]|gfdl|mpl|epl|cddl|eupl|ofl|lppl|permission|neither|advertising|redistributions?|altered|unencumbered"
+    rf"^(?:licen[cs]e|licensed|licenses|spdx|apache|psl|mulanpsl|cc0?|[al]?gpl|[al]?gplv[123]{PLUS}?|gfdl|mpl|epl|cddl|eupl|ofl|lppl|permission|neither|advertising|redistributions?|altered|unencumbered"
     r"|fuck|beer|evil|domain|publicdomain|mozilla|proprietary|unlicense|wtfpl|bsd)$"
 )
 #: A text without any of these has no keyword of a rule; those of the second list must also stand as GATE has them.
-HINTS = ("license", "licence", "spdx", "gpl", "gfdl", "cddl", "eupl", "lppl", "wtfpl", "publicdomain", "unencumbered", "proprietary", "redistribution")
-FAINT_HINTS = ("cc", "mpl", "epl", "ofl", "bsd", "permission", "neither", "advertising", "altered", "fuck", "beer", "evil", "domain")
+HINTS = ("license", "licence", "spdx", "gpl", "gfdl", "cddl", "eupl", "lppl", "wtfpl", "publicdomain", "unencumbered", "proprietary", "redistribution", "mulan")
+FAINT_HINTS = ("cc", "apache", "mpl", "epl", "ofl", "bsd", "permission", "neither", "advertising", "altered", "fuck", "beer", "evil", "domain")
 GATE = (
-    r"(?<![0-9a-z])(?:cc0?|mpl|epl|ofl|bsd)(?![0-9a-z])|permission[^0-9a-z]+(?:is|to)[^0-9a-z]|neither[^0-9a-z]+the[^0-9a-z]+name|advertising[^0-9a-z]+materials"
+    r"(?<![0-9a-z])(?:apache(?:[^0-9a-z]+software)?[^0-9a-z]+v?[12])|(?<![0-9a-z])(?:cc0?|mpl|epl|ofl|bsd)(?![0-9a-z])|permission[^0-9a-z]+(?:is|to)[^0-9a-z]|neither[^0-9a-z]+the[^0-9a-z]+name|advertising[^0-9a-z]+materials"
     r"|altered[^0-9a-z]+source|the[^0-9a-z]+fuck|a[^0-9a-z]+beer|not[^0-9a-z]+evil|public[^0-9a-z]+domain"
 )
 
@@ -261,7 +306,7 @@ def _spaces(text: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for every row of ``docs``; see above."""
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    norm = F.translate(F.regexp_replace("text", GAP, " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    norm = F.translate(F.regexp_replace(F.regexp_replace("text", PLUSES, f"$1{PLUS}$2"), GAP, " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.when(_promising(F.col("text")), F.split(F.trim(norm), " "))
     out = own.select("id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), words.alias("words"))
     # gplv3 and the like count as gpl v3; places stay those of the words
@@ -277,7 +322,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             F.lit(" "),
         ),
     )
-    glued = F.transform("places", lambda i: F.get("words", i).rlike("v[123]$"))
+    glued = F.transform("places", lambda i: F.get("words", i).rlike(f"v[123]{PLUS}?$"))
     out = out.select("id", "n_words", F.arrays_zip(F.col("places").alias("place"), context.alias("text"), glued.alias("glued")).alias("contexts"), _rule_table().alias("rules"))
 
     def detections(c: Column) -> Column:
@@ -308,7 +353,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     labels = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda h: h["label"])))
     return out.select(
         "id", "n_words", "hits", "kept", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
-        labels("base").alias("base_labels"), F.array_sort(F.array_union(labels("base"), labels("kept"))).alias("labels"),
+        labels("base").alias("base_labels"), F.array_sort(F.array_remove(F.array_union(labels("base"), labels("kept")), "")).alias("labels"),
         F.coalesce(F.array_max(F.transform("kept", lambda h: h["weight"])), F.lit(0.0)).alias("score"),
     )
 
@@ -320,16 +365,16 @@ def oracle() -> str:
     table = ", ".join(f"({i}, {quote(r['label'])}, {quote(r['mark'])}, {quote(r['need'])}, {quote(whole(r))}, {r['weight']}, {str(r['base']).lower()})" for i, r in enumerate(rules()))
     return rf"""
         WITH rules(ord, label, mark, need, pattern, weight, base) AS (VALUES {table}),
-        w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM documents),
+        w AS (SELECT doc_id, regexp_extract_all(translate(regexp_replace(coalesce(text, ''), {quote(PLUSES)}, '\1{PLUS}\2', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM documents),
         p AS (SELECT doc_id, ws, unnest(list_filter(range(1, len(ws) + 1), lambda i: regexp_matches(ws[i], {quote(KEYWORD)}))) AS i FROM w),
-        c AS (SELECT doc_id, i - 1 AS place, regexp_matches(ws[i], 'v[123]$') AS glued, ' ' || CASE WHEN i > 1 THEN array_to_string(ws[greatest(i - {REACH}, 1):i - 1], ' ') || ' ' ELSE '' END || '@'
+        c AS (SELECT doc_id, i - 1 AS place, regexp_matches(ws[i], 'v[123]{PLUS}?$') AS glued, ' ' || CASE WHEN i > 1 THEN array_to_string(ws[greatest(i - {REACH}, 1):i - 1], ' ') || ' ' ELSE '' END || '@'
           || regexp_replace(array_to_string(ws[i:i + {REACH}], ' '), '^([al]?gpl)(v[123])', '\1 \2') || ' ' AS ctx FROM p),
         m AS (SELECT doc_id, place, glued, r.*, regexp_extract(ctx, r.pattern, 1) AS hit FROM c JOIN rules r ON contains(ctx, mark) AND contains(ctx, need) AND regexp_matches(ctx, r.pattern)),
         h AS (SELECT *, place - (length(split_part(hit, '@', 1)) - length(replace(split_part(hit, '@', 1), ' ', ''))) AS s, length(hit) - length(replace(hit, ' ', '')) + 1
           - CASE WHEN glued AND contains(hit, 'gpl v') THEN 1 ELSE 0 END AS size FROM m),
         k AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.doc_id = h.doc_id AND g.ord < h.ord AND g.s <= h.s AND g.s + g.size >= h.s + h.size)),
         b AS (SELECT doc_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h WHERE base GROUP BY doc_id),
-        l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM h WHERE base UNION SELECT doc_id, label FROM k) GROUP BY doc_id),
+        l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM h WHERE base UNION SELECT doc_id, label FROM k WHERE label <> '') GROUP BY doc_id),
         x AS (SELECT doc_id, CAST(max(weight) AS DOUBLE) AS score FROM k GROUP BY doc_id)
         SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
         FROM w LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN x USING (doc_id)"""

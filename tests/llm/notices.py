@@ -158,4 +158,32 @@ NOTICES = (
     ("Permission to land was refused; neither pilot had asked for it", ""),
     ("an mit graduate in general, public and private", ""),
     ("", ""),
+    ("SPDX-License-Identifier: GPL-2.0+", "gpl-2.0-or-later"),
+    ("This file is GPLv2+ and comes without warranty", "gpl-2.0-or-later"),
+    ("Distributed under the LGPL v2.1+", "lgpl-2.1-or-later"),
+    ("License: GPL-3.0+\nCopyright: 2020+ 3+4", "gpl-3.0-or-later"),
+    ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "apache-2.0,mit"),
+    ("SPDX-License-Identifier: Apache-2.0 OR MIT", "apache-2.0,mit"),
+    ("SPDX-License-Identifier: BSD-3-Clause AND Zlib", "bsd-3-clause,zlib"),
+    ("SPDX-License-Identifier: MIT AND ISC AND Zlib", "isc,mit,zlib"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later OR BSD-2-Clause", "bsd-2-clause,gpl-2.0-or-later"),
+    ("license = Apache-2.0 OR MIT", "apache-2.0,mit"),
+    ("MIT OR Apache-2.0", "apache-2.0,mit"),
+    ("under the terms of either version 3 of the GNU General Public License, or (at your option) any later version", "gpl,gpl-3.0-or-later"),
+    ("either version 2.1 of the GNU Lesser General Public License or any later version", "gpl,lgpl-2.1-or-later"),
+    ("the terms of version 2 of the GNU General Public License", "gpl,gpl-2.0"),
+    ("subject to version 2.0 of the Apache License", "apache,apache-2.0"),
+    ("Licensed under MIT", "mit"),
+    ("Dual licensed under MIT and GPL", "gpl,mit"),
+    ("This crate is MIT-licensed.", "mit"),
+    ("Apache-licensed code", "apache"),
+    ("Apache-2.0", "apache-2.0"),
+    ("Licensed under Apache 2.0.", "apache-2.0"),
+    ("Public domain", "public-domain"),
+    ("Mulan PSL v2", "mulanpsl-2.0"),
+    ("SPDX: MulanPSL-2.0", "mulanpsl-2.0"),
+    ("This program is not licensed under the GPL", ""),
+    ("It is not licensed under GPLv2+ but under the MIT License", "mit"),
+    ("Apache tomcat runs mit Apache httpd 3", ""),
+    ("C++ or MIT and 1+1", ""),
 )

@@ -79,7 +79,7 @@ def longest(tree):
         name = str(op)
         if name == "LITERAL":
             total += arg == 32
-        elif name == "MAX_REPEAT":
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
             own = longest(arg[2])
             total += own and int(arg[1]) * own
         elif name == "SUBPATTERN":
@@ -114,10 +114,11 @@ def sample(tree, pick):
         if name == "LITERAL":
             out += chr(arg)
         elif name == "IN":
-            out += "x" if str(arg[0][0]) == "NEGATE" else chr(arg[0][1])
+            kind, first = arg[0]
+            out += "x" if str(kind) == "NEGATE" else chr(first[0] if str(kind) == "RANGE" else first)
         elif name == "NOT_LITERAL":
             out += "x"
-        elif name == "MAX_REPEAT":
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
             out += "".join(sample(arg[2], pick) for _ in range(pick((arg[0], min(int(arg[1]), arg[0] + 2)))))
         elif name == "SUBPATTERN":
             out += sample(arg[-1], pick)
