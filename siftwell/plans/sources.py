@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftwell.functions import cards
 from siftwell.functions import text as tf
 from siftwell.operators import identity as ident
 from siftwell.plans.registry import query
@@ -97,6 +98,17 @@ def s20(spark, folder):
     return table(spark, folder, "pages").select("page_id", tf.html_text("html").alias("h")).select("page_id", "h.text", F.size("h.links").alias("links"), "h.active")
 
 
+#: Titles on the test's pages: a word or two without marks; their cards hold an article's words, their links to details one of a few words.
+PAGE_RULES = cards.PostingRules(title=r"^[^\W\d_]+( [^\W\d_]+){0,5}[.]?$", noise=r"^(the|and|of)$", card=r"(tion|ment|lich)", detail=r"^(the|and|of|to|in|der|die|la|le)$", elsewhere=r"^/(que|sch)")
+
+
+@query("s20b_page_postings")
+def s20b(spark, folder):
+    """One row a posting: anchors, and texts by their nearest card."""
+    rows = table(spark, folder, "pages").select("page_id", F.explode(cards.postings("html", "url", PAGE_RULES)).alias("p"))
+    return rows.select("page_id", "p.title", "p.url", "p.kind")
+
+
 @query("s22_observations", "SELECT user_id, count(DISTINCT event_type || '|' || floor(value)) AS observed, count(*) AS raw, max(ts) AS finished FROM events GROUP BY user_id")
 def s22(spark, folder):
     """What a run observed, each observation once, with the evidence of the run."""

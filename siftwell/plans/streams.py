@@ -147,6 +147,18 @@ def x09(spark, folder):
     return table(spark, folder, "events").where("event_type <> 'error'").groupBy("user_id").agg((F.max("ts") < F.lit("2024-01-20").cast("timestamp_ntz")).alias("sync"))
 
 
+@query("x10_stage_latency", """WITH e AS (SELECT event_id, user_id, event_id % 3 AS part, value, CASE event_type WHEN 'signup' THEN 'started' WHEN 'view' THEN 'started' WHEN 'purchase' THEN 'completed' ELSE event_type END AS phase,
+    floor(epoch(ts) * 1000000) AS t, CASE event_type WHEN 'click' THEN 1 WHEN 'signup' THEN 0 WHEN 'view' THEN 0 ELSE 2 END AS o FROM events),
+  b AS (SELECT e.event_id, arg_max(s.phase, s.t * 4 + s.o) AS phase, arg_max(s.t, s.t * 4 + s.o) AS t FROM e JOIN e s ON s.user_id = e.user_id AND s.part = e.part AND s.phase <> 'click' AND (s.t < e.t OR s.t = e.t AND s.o < e.o) GROUP BY e.event_id)
+  SELECT e.event_id, CASE WHEN e.phase = 'started' THEN NULL WHEN b.phase = 'started' THEN round((e.t - b.t) / 1000000, 3) ELSE round(e.value, 3) END AS latency FROM e LEFT JOIN b ON b.event_id = e.event_id""")
+def x10(spark, folder):
+    """Views as starts, purchases and errors as ends and clicks between them, in three overlapping stages of every user."""
+    kind = F.col("event_type")
+    phase = F.when(kind.isin("signup", "view"), "started").when(kind == "purchase", "completed").otherwise(kind)
+    rows = table(spark, folder, "events").select("event_id", "user_id", "ts", "value", (F.col("event_id") % 3).alias("part"), phase.alias("phase"))
+    return st.stage_latencies(rows, ["user_id", "part"], "phase", "ts", "value").select("event_id", F.round("latency", 3).alias("latency"))
+
+
 @query("x11_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   s AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS finish, count(*) AS n FROM s GROUP BY user_id, k""")
 def x11(spark, folder):
