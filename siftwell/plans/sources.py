@@ -80,10 +80,16 @@ def s14(spark, folder):
     return table(spark, folder, "events").select("event_id", F.try_element_at(own, F.lit("Token")).alias("token"), F.try_element_at(own, F.lit("k")).alias("k"))
 
 
-@query("s18_source_manifest", "SELECT source, count(*) AS files, sha256(string_agg(sha256(text), ',' ORDER BY doc_id)) AS mark FROM documents GROUP BY source")
+@query("s18_source_manifest", """WITH a AS (SELECT source, doc_id // 1000 AS k, count(*) AS n, sha256(coalesce(string_agg(sha256(text), ',' ORDER BY doc_id, sha256(text)), '')) AS h FROM documents GROUP BY 1, 2),
+  b AS (SELECT source, k // 1000 AS k, sum(n) AS n, sha256(string_agg(h, ',' ORDER BY k)) AS h FROM a GROUP BY source, k // 1000)
+  SELECT source, CAST(sum(n) AS BIGINT) AS files, sha256(string_agg(h, ',' ORDER BY k)) AS mark FROM b GROUP BY source""")
 def s18(spark, folder):
-    own = table(spark, folder, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))).alias("f"))
-    return own.select("source", F.size("f").cast("long").alias("files"), F.sha2(F.array_join(F.transform("f", lambda x: x["h"]), ","), 256).alias("mark"))
+    """A digest of every source: of its texts' digests in ranges of a thousand ids, of those ranges' by the thousand, and of these, so no row holds a whole source."""
+    rows = table(spark, folder, "documents").select("source", F.col("doc_id").alias("k"), F.lit(1).cast("long").alias("n"), F.sha2("text", 256).alias("h"))
+    for keys in (["source", F.floor(F.col("k") / 1000).alias("k")],) * 2 + (["source"],):
+        own = F.array_sort(F.collect_list(F.struct("k", "h")))
+        rows = rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(own, lambda x: x["h"]), ","), 256).alias("h"))
+    return rows.select("source", F.col("n").alias("files"), F.col("h").alias("mark"))
 
 
 @query("s19_path_get", "SELECT event_id, json_extract_string(j, '$.a[0].k') AS k FROM (SELECT event_id, '{\"a\":[' || props || ']}' AS j FROM events)")
