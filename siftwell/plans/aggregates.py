@@ -71,7 +71,8 @@ def a15(spark, folder):
   SELECT issue, count(*) AS n, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_suppkey) AS ids FROM i GROUP BY issue""")
 def a15b(spark, folder):
     runs = table(spark, folder, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("rows"), F.count_if(F.col("l_returnflag") == "R").alias("r"), F.avg("l_discount").alias("d"))
-    rules = [("many_returns", F.col("r") * 3 > F.col("rows")), ("few_rows", F.col("rows") < 590), ("discounts", F.col("d") > 0.0505)]
+    mean = F.round("d", 12)  # the last digits of a mean depend on the order in which partial sums meet, which must not decide at the limit
+    rules = [("many_returns", F.col("r") * 3 > F.col("rows")), ("few_rows", F.col("rows") < 590), ("discounts", mean > 0.0505)]
     out = reports.health_issues(runs, "l_suppkey", rules)
     return out.select("issue", "n", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
