@@ -34,6 +34,12 @@ def _made(path):
     return path
 
 
+def test_concatenate_takes_the_first_of_equals(check):
+    """The second file is the larger one, which Spark reads first."""
+    many = [(k, 1, k, 1.0) for k in range(2, 4000)]
+    check("u08_concatenate", lineitem=("l_orderkey long, l_linenumber int, l_partkey long, l_quantity double", [(1, 3, 7, 32.0), (1, 3, 7, 33.0)], [(1, 3, 7, 37.0), *many]))
+
+
 def test_health_at_the_limit_in_any_order(spark, tmp_path):
     """A mean of 0.0505 isn't above 0.0505, though in this order the sum of its parts is."""
     parts, chance = [0.05] * 380 + [0.06] * 20, random.Random(1)
