@@ -46,8 +46,8 @@ def dot(a: str | Column, b: str | Column) -> Column:
 
 def cosine(a: str, b: str) -> Column:
     """0 for a zero vector; vectors of different lengths are an error."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    value = F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
+    na, nb = F.sqrt(dot(a, a)), F.sqrt(dot(b, b))
+    value = F.when((na == 0) | (nb == 0), 0.0).otherwise(dot(a, b) / na / nb)
     return F.when(F.size(a) != F.size(b), F.raise_error("vectors differ in length")).otherwise(value)
 
 
@@ -74,9 +74,9 @@ def retrieve(scored: DataFrame, k: int) -> DataFrame:
     return top_per_key(scored, ["query_id"], [F.desc("score"), F.desc("lexical"), F.desc("cosine"), F.col("doc_id")], k)
 
 
-def grounded(queries: DataFrame, found: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """For each query the ids that are good enough, best first, or a refusal."""
-    accepted = found.where(F.col("score") >= threshold).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("_e"))
+def grounded(queries: DataFrame, found: DataFrame, threshold: float = 0.2, score: str = "score") -> DataFrame:
+    """For each query the ids that are good enough, best first, or a refusal. ``score`` names the column that the threshold is for."""
+    accepted = found.where(F.col(score) >= threshold).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("_e"))
     evidence = F.transform("_e", lambda e: e["doc_id"])
     out = queries.select("query_id").join(accepted, "query_id", "left")
     return out.select("query_id", F.coalesce(evidence, F.array().cast("array<bigint>")).alias("evidence"), F.col("_e").isNull().alias("refused"))

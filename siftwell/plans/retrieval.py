@@ -63,7 +63,8 @@ def hybrid(spark, folder):
     docs = table(spark, folder, "documents").join(have, "doc_id", "left_semi")  # texts without a vector have no score
     lexical = v.lexical_scores(table(spark, folder, "benchmark"), docs, "item_id", "text", "doc_id", "text")
     scored = lexical.join(q, "query_id").join(d, "doc_id").withColumn("cosine", v.cosine("q", "d")).drop("q", "d")
-    scored = scored.withColumns({"score": F.round(v.hybrid("lexical", "cosine"), 9), "lexical": F.round("lexical", 9), "cosine": F.round("cosine", 9)})
+    scored = scored.withColumn("exact", v.hybrid("lexical", "cosine"))  # ranks go by rounded scores, thresholds by these
+    scored = scored.withColumns({"score": F.round("exact", 9), "lexical": F.round("lexical", 9), "cosine": F.round("cosine", 9)})
     return v.retrieve(scored, 5)
 
 
@@ -112,7 +113,7 @@ def v09(spark, folder):
 def v10(spark, folder):
     """Evidence over the threshold, best first, or a refusal."""
     asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"))
-    out = v.grounded(asked, hybrid(spark, folder), 0.5)
+    out = v.grounded(asked, hybrid(spark, folder), 0.5, "exact")
     return out.select("query_id", F.array_join(F.col("evidence").cast("array<string>"), ",").alias("evidence"), "refused")
 
 

@@ -49,3 +49,10 @@ def test_health_at_the_limit_in_any_order(spark, tmp_path):
     spark.createDataFrame(rows, "l_suppkey long, l_returnflag string, l_discount double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.issue: r.ids for r in catalog.queries()["a15b_health_issues"](spark, str(tmp_path)).collect()}
     assert got == {"discounts": "2", "few_rows": "1,2"}
+
+
+def test_grounding_just_under_the_threshold(check):
+    cos = (0.5 - 5e-11 - 0.6 * 0.5) / 0.4
+    vectors = [(1, [1.0, 0.0]), (2, [cos, (1 - cos * cos) ** 0.5]), (3, [0.6, 0.8])]
+    rows = check("v10_grounding", benchmark=("item_id long, text string", [(1, "alpha beta")]), embeddings=("vec_id long, embedding array<double>", vectors), documents=("doc_id long, text string", [(2, "alpha"), (3, "alpha")]))
+    assert "'3'" in rows[0]
