@@ -36,25 +36,26 @@ def latest_lookup(rows: DataFrame, history: DataFrame, key: str, order: list[Col
     return rows.join(latest, key, "left")
 
 
-def unpivot_keys(rows: DataFrame, id_col: str, keys: list[str], id_name: str) -> DataFrame:
-    """(method, value, id) for every key that is there."""
+def unpivot_keys(rows: DataFrame, id_col: str, keys: list[str], id_name: str, carry: list[str] | None = None) -> DataFrame:
+    """(method, value, id) and the columns to carry for every key that is there."""
     pairs = F.array(*(F.struct(F.lit(k).alias("method"), F.col(k).cast("string").alias("value")) for k in keys))
-    return rows.select(F.col(id_col).alias(id_name), F.inline(pairs)).where("value is not null and value <> ''")
+    return rows.select(F.col(id_col).alias(id_name), *(carry or []), F.inline(pairs)).where("value is not null and value <> ''")
 
 
 def multi_key_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: list[str], same: str | None = None) -> DataFrame:
     """Rows of the left whose keys, together, lead to exactly one row of the right: matched, ambiguous or new.
 
-    One equi-join on (method, value) instead of a join on an OR of keys. With ``same`` both sides must agree on that column.
+    The right is one row for each (method, value), with its smallest and largest id, so no pairs are formed: a left row has one match
+    where the smallest and the largest id over all its keys are the same. With ``same`` both sides must agree on that column.
     """
-    a, b = unpivot_keys(left, left_id, keys, "left_id"), unpivot_keys(right, right_id, keys, "right_id")
-    met = a.join(b, ["method", "value"]).select("left_id", "right_id").distinct()
-    if same:
-        met = met.join(left.select(F.col(left_id).alias("left_id"), F.col(same).alias("_l")), "left_id").join(right.select(F.col(right_id).alias("right_id"), F.col(same).alias("_r")), "right_id").where("_l = _r")
-    found = met.groupBy("left_id").agg(F.count("*").alias("n"), F.min("right_id").alias("right_id"))
+    side = lambda rows, id_col, name: unpivot_keys(rows, id_col, keys, name, [same] if same else [])
+    by = ["method", "value", *([same] if same else [])]
+    ends = side(right, right_id, "right_id").groupBy(*by).agg(F.min("right_id").alias("low"), F.max("right_id").alias("high"))
+    found = side(left, left_id, "left_id").join(ends, by).groupBy("left_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     out = left.select(F.col(left_id).alias("left_id")).join(found, "left_id", "left")
-    status = F.when(F.col("n").isNull(), "new").when(F.col("n") == 1, "matched").otherwise("ambiguous")
-    return out.select("left_id", status.alias("status"), F.when(F.col("n") == 1, F.col("right_id")).alias("right_id"))
+    one = F.col("low") == F.col("high")
+    status = F.when(F.col("low").isNull(), "new").when(one, "matched").otherwise("ambiguous")
+    return out.select("left_id", status.alias("status"), F.when(one, F.col("low")).alias("right_id"))
 
 
 def points_in_intervals(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, width: int, group: str | None = None) -> DataFrame:

@@ -56,3 +56,23 @@ def test_grounding_just_under_the_threshold(check):
     vectors = [(1, [1.0, 0.0]), (2, [cos, (1 - cos * cos) ** 0.5]), (3, [0.6, 0.8])]
     rows = check("v10_grounding", benchmark=("item_id long, text string", [(1, "alpha beta")]), embeddings=("vec_id long, embedding array<double>", vectors), documents=("doc_id long, text string", [(2, "alpha"), (3, "alpha")]))
     assert "'3'" in rows[0]
+
+
+def rows_of_joins(plan):
+    """How many rows each join of an executed plan gave."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return rows_of_joins(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return rows_of_joins(plan.plan())
+    own = [plan.metrics().apply("numOutputRows").value()] if "Join" in name else []
+    return own + [n for i in range(plan.children().size()) for n in rows_of_joins(plan.children().apply(i))]
+
+
+def test_identities_of_popular_keys(spark, check, tmp_path):
+    """Half of the documents share their beginning; no pairs of them are formed."""
+    docs = [(i, f"{'the same beginning of many documents' if i % 4 < 2 else i} {i}") for i in range(2000)] + [(2001, "only here, and what follows is another"), (2002, "only here, and what follows it is this")]
+    check("j10_multi_key_identity", documents=("doc_id long, text string", docs))
+    out = catalog.queries()["j10_multi_key_identity"](spark, str(tmp_path))
+    out.collect()
+    assert 0 < max(rows_of_joins(out._jdf.queryExecution().executedPlan())) <= 2 * len(docs)
