@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -103,3 +104,83 @@ def compare(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
 def resequence(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """Positions from 1 within a group by a total order."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+
+
+def least_near(asked: DataFrame, rows: DataFrame, keys: list[str], at: str, id_col: str, asker: str, width: float) -> DataFrame:
+    """asker, keys, n and least: how many rows with the same keys have ``abs(asked.at - rows.at) < width``, and their smallest id. None: no row.
+
+    No pairs are formed but at the ends of a range. Values fall into units, under a 4,000th of ``width``, and units into blocks of about
+    ``width``: a range is the last part of one block, the first part of a later one, and the block between them if there is one. Parts
+    are running counts and minima over the units of a block, which the range's ends are sorted among. In the units where a range may end the distinct
+    values are compared themselves. Values that are null, not finite or of 1e12 and more are near nothing.
+    """
+    unit = 2.0 ** (math.floor(math.log2(width)) - 12)  # a power of two, so that units are exact
+    size = int(width / unit)
+    good = reduce(lambda x, k: x & F.col(k).isNotNull(), keys, (F.abs(at) < 1e12) & ~F.isnan(at))
+    cells = rows.where(good).groupBy(*keys, F.col(at).cast("double").alias("_v")).agg(F.count("*").alias("n"), F.min(id_col).alias("least")).withColumn("_u", F.floor(F.col("_v") / unit))
+    ends = asked.where(good).select(asker, *keys, F.col(at).cast("double").alias("_at"), F.floor(F.col(at).cast("double") / unit).alias("_q"))
+    block = lambda u: F.floor(u / F.lit(size))
+    low, high = F.col("_q") - (size - 2), F.col("_q") + (size - 2)  # all units between are nearer than width
+    way = lambda up, b, u: F.struct(F.lit(up).alias("_up"), b.alias("_b"), (u if up else -u).cast("long").alias("_o"))
+    parts = F.array(way(False, block(low), low), way(True, block(high), high))
+    between = F.when(block(high) - block(low) == 2, F.array(way(True, block(low) + 1, block(high) * size - 1))).otherwise(F.slice(parts, 1, 0))
+    tasks = ends.select(asker, *keys, F.inline(F.concat(parts, between)))
+    units = cells.groupBy(*keys, "_u").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    both = units.select(*keys, "n", "least", F.inline(F.array(*(way(up, block(F.col("_u")), F.col("_u")) for up in (False, True)))))
+    run = Window.partitionBy(*keys, "_up", "_b").orderBy("_o")  # up to and with the same unit
+    sorted_in = tasks.unionByName(both, allowMissingColumns=True)
+    inner = sorted_in.select(asker, *keys, F.sum("n").over(run).alias("n"), F.min("least").over(run).alias("least")).where(F.col(asker).isNotNull() & F.col("n").isNotNull())
+    edge = ends.withColumn("_u", F.explode(F.array(*(F.col("_q") + d * s for d in (size - 1, size, size + 1) for s in (-1, 1)))))
+    outer = edge.join(cells, [*keys, "_u"]).where(F.abs(F.col("_at") - F.col("_v")) < width).select(asker, *keys, "n", "least")
+    return inner.unionByName(outer).groupBy(asker, *keys).agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+
+
+def best_of_agreements(left: DataFrame, right: DataFrame, left_id: str, right_id: str, on: list[str], equal: dict[str, float], near: tuple[str, float, float]) -> DataFrame:
+    """left_id, right_id, confidence and margin: the best right row with the same ``on`` for each left row that has any, and its lead over the second.
+
+    A pair's confidence adds the points of the columns in ``equal`` that both have the same, and those of ``near`` (column, width, points) if the
+    values differ by less than the width; at most 1, to four digits. The smaller right id wins ties. No pairs are formed: for each set of
+    agreements the rights that have at least these are counted and their smallest id is taken. The best confidence is that of the best set that
+    any right has, and the second that of the lowest level that two rights reach, counted by inclusion and exclusion.
+    """
+    column, width, points = near
+    names = sorted(equal)
+    total = None
+    sets = [frozenset(n for k, n in enumerate(names) if i >> k & 1) for i in range(1 << len(names))]
+    for own in sets:
+        keys = [*on, *sorted(own)]
+        met = left.select(left_id, *keys).join(right.groupBy(*keys).agg(F.count("*").alias("n"), F.min(right_id).alias("least")), keys)
+        close = least_near(left, right, keys, column, right_id, left_id, width)
+        for found, is_near in ((met, False), (close, True)):
+            part = found.select(left_id, F.lit(_code(own, is_near, names)).alias("code"), "n", "least")
+            total = part if total is None else total.unionByName(part)
+    return _levels(total, left_id, right_id, names, equal, points)
+
+
+def _code(own: frozenset[str], is_near: bool, names: list[str]) -> int:
+    return sum(1 << k for k, n in enumerate(names) if n in own) | (is_near << len(names))
+
+
+def _levels(total: DataFrame, left_id: str, right_id: str, names: list[str], equal: dict[str, float], points: float) -> DataFrame:
+    """The best confidence, its smallest id and the second best, from (left id, code of a set, n, least) of rights that agree at least in that set."""
+    full = (1 << len(names)) * 2 - 1
+    weight = [*(equal[n] for n in names), points]
+    value = [round(min(1.0, sum(w for k, w in enumerate(weight) if code >> k & 1)), 4) for code in range(full + 1)]
+    # rights that agree in just a set: alternating sums over the sets above it
+    at_least = [F.coalesce(F.sum(F.when(F.col("code") == c, F.col("n"))), F.lit(0)) for c in range(full + 1)]
+    rows = total.groupBy(left_id).agg(*(n.alias(f"_n{c}") for c, n in enumerate(at_least)), *(F.min(F.when(F.col("code") == c, F.col("least"))).alias(f"_l{c}") for c in range(full + 1)))
+    just = [reduce(lambda a, b: a + b, (F.col(f"_n{d}") * (-1) ** (d ^ c).bit_count() for d in range(full + 1) if d & c == c)) for c in range(full + 1)]
+    best = second = F.lit(None).cast("double")
+    chosen = F.lit(None).cast("long")
+    reached = F.lit(0)
+    for v in sorted(set(value), reverse=True):
+        own = [c for c in range(full + 1) if value[c] == v]
+        here = reduce(lambda a, b: a + b, (just[c] for c in own))
+        up = reached + here
+        # where nothing is better, the rights of at least such a set all have this value
+        least = F.array_min(F.array(*(F.col(f"_l{c}") for c in own)))
+        chosen = F.when(best.isNull() & (up > 0), least).otherwise(chosen)
+        second = F.when(second.isNull() & (up > 1), v).otherwise(second)
+        best = F.when(best.isNull() & (up > 0), v).otherwise(best)
+        reached = up
+    return rows.select(left_id, chosen.alias(right_id), best.alias("confidence"), (best - F.coalesce(second, F.lit(0.0))).alias("margin"))

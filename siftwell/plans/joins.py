@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwell.operators import joins as j
-from siftwell.operators.ranking import first_per_key, with_margin
+from siftwell.operators.ranking import first_per_key
 from siftwell.plans.jobs import JOBS, analyses, companies, job_rows, jobs
 from siftwell.plans.registry import query
 from siftwell.session import table
@@ -104,12 +104,9 @@ def j12(spark, folder):
   SELECT mail, app, confidence, round(confidence - coalesce(nxt, 0), 4) AS margin, CASE WHEN confidence < 0.65 THEN 'unresolved' WHEN confidence - coalesce(nxt, 0) < 0.1499 THEN 'ambiguous' ELSE 'matched' END AS decision FROM r WHERE n = 1""")
 def j13(spark, folder):
     """Additive scores of candidates with the same company key, the best one and its lead."""
-    s, c = table(spark, folder, "supplier"), table(spark, folder, "customer")
-    met = s.join(c, s.s_nationkey == c.c_nationkey)
-    part = lambda cond, points: F.when(cond, points).otherwise(0.0)
-    score = part(F.right("s_name", F.lit(2)) == F.right("c_name", F.lit(2)), 0.45) + part(F.abs(F.col("s_acctbal") - F.col("c_acctbal")) < 500, 0.45) + part(F.col("s_suppkey") % 5 == F.col("c_custkey") % 5, 0.12)
-    scored = met.select(F.col("s_suppkey").alias("mail"), F.col("c_custkey").alias("app"), F.round(F.least(F.lit(1.0), score), 4).alias("confidence"))
-    best = with_margin(scored, ["mail"], "confidence", [F.col("app")])
+    s = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("mail"), F.col("s_nationkey").alias("nation"), F.right("s_name", F.lit(2)).alias("name"), (F.col("s_suppkey") % 5).alias("rest"), F.col("s_acctbal").alias("balance"))
+    c = table(spark, folder, "customer").select(F.col("c_custkey").alias("app"), F.col("c_nationkey").alias("nation"), F.right("c_name", F.lit(2)).alias("name"), (F.col("c_custkey") % 5).alias("rest"), F.col("c_acctbal").alias("balance"))
+    best = j.best_of_agreements(s, c, "mail", "app", ["nation"], {"name": 0.45, "rest": 0.12}, ("balance", 500.0, 0.45))
     decision = F.when(F.col("confidence") < 0.65, "unresolved").when(F.col("margin") < 0.1499, "ambiguous").otherwise("matched")
     return best.select("mail", "app", "confidence", F.round("margin", 4).alias("margin"), decision.alias("decision"))
 
