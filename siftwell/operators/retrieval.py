@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,17 +54,62 @@ def cosine(a: str, b: str) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error("vectors differ in length")).otherwise(value)
 
 
-def against_all(queries: DataFrame, rows: DataFrame, blocks: int, salts: int) -> DataFrame:
-    """A stated set of queries against all rows: queries in blocks, each met by every row, spread over (block, salt)."""
-    q = queries.withColumn("_b", F.pmod(F.xxhash64(*queries.columns[:1]), F.lit(blocks))).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    r = rows.withColumn("_s", F.pmod(F.xxhash64(*rows.columns[:1]), F.lit(salts)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    return r.join(q, ["_b", "_s"]).drop("_b", "_s")
+#: Queries and rows that meet in one group, and pairs whose exact cosines are taken at once.
+QUERIES_A_GROUP, ROWS_A_GROUP, PAIRS_AT_ONCE = 4096, 20_000, 100_000
 
 
-def unit(a: str) -> Column:
-    """The vector in double precision, of length one; a zero vector stays."""
-    norm = F.sqrt(dot(a, a))
-    return F.transform(a, lambda x: F.when(norm == 0, 0.0).otherwise(x.cast("double") / norm))
+def _nearest(ids: np.ndarray, q: np.ndarray, others: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best pairs of each query with another id, by cosine, then the smaller id.
+
+    A product of matrices finds what may be among them; cosines of these are added up term by term, as equal vectors need for equal values.
+    """
+    nq, nr = (np.sqrt(np.cumsum(x * x, axis=1)[:, -1]) for x in (q, r))
+    uq, ur = (np.divide(x, n[:, None], out=np.zeros_like(x), where=n[:, None] > 0) for x, n in ((q, nq), (r, nr)))
+    found = []
+    for at in range(0, len(q), 128):
+        near = uq[at : at + 128] @ ur.T
+        near[ids[at : at + 128, None] == others] = -np.inf
+        last = np.partition(near, max(len(r) - k, 0), axis=1)[:, max(len(r) - k, 0)] - 1e-9
+        i, j = np.nonzero(np.isfinite(near) & (near >= last[:, None]))
+        i += at
+        cos = np.zeros(len(i))
+        for a in range(0, len(i), PAIRS_AT_ONCE):
+            p, o = i[a : a + PAIRS_AT_ONCE], j[a : a + PAIRS_AT_ONCE]
+            dots = np.cumsum(q[p] * r[o], axis=1)[:, -1]  # from the first term to the last
+            some = (nq[p] > 0) & (nr[o] > 0)
+            cos[a : a + PAIRS_AT_ONCE][some] = dots[some] / nq[p][some] / nr[o][some]
+        order = np.lexsort((others[j], -cos, i))
+        i, j, cos = i[order], j[order], cos[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        found.append((ids[i[place < k]], others[j[place < k]], cos[place < k]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def cosine_top(queries: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
+    """query_id, doc_id, cosine: the k rows with other ids that are nearest to each query, by cosine, then the smaller id. Exact.
+
+    Queries in groups meet rows in groups, both of bounded size, as matrices; each group of queries goes once to each of rows. A zero vector has
+    the cosine 0; null vectors take no part.
+    """
+    known = F.col(vector).isNotNull()
+    q, r = (x.where(known).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("e")) for x in (queries, rows))
+    blocks, salts = max(1, -(-q.count() // QUERIES_A_GROUP)), max(1, -(-r.count() // ROWS_A_GROUP))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("_b", own(blocks)).withColumn("_s", each(salts)).repartition(blocks * salts, "_b", "_s")
+    r = r.withColumn("_s", own(salts)).withColumn("_b", each(blocks)).repartition(blocks * salts, "_b", "_s")
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return pa.table({"query_id": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        if len({n for t in (a, b) for n in pc.unique(pc.list_value_length(t["e"])).to_pylist()}) > 1:
+            raise ValueError("vectors differ in length")
+        ids = [t["id"].to_numpy() for t in (a, b)]
+        vectors = [t["e"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1) for t in (a, b)]
+        return pa.table(dict(zip(("query_id", "doc_id", "cosine"), _nearest(ids[0], vectors[0], ids[1], vectors[1], k), strict=True)))
+
+    best = q.groupBy("_b", "_s").cogroup(r.groupBy("_b", "_s")).applyInArrow(meet, "query_id long, doc_id long, cosine double")
+    return top_per_key(best, ["query_id"], [F.desc("cosine"), F.col("doc_id")], k)
 
 
 def hybrid(lexical: str, cos: str, weights: tuple[float, float] = (0.6, 0.4)) -> Column:

@@ -35,18 +35,11 @@ def v02(spark, folder):
 VEC = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) AS cosine FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)"
 
 
-def cosines(spark, folder):
-    """One vector in fifty as queries against all vectors, in blocks."""
-    rows = table(spark, folder, "embeddings").select("vec_id", v.unit("embedding").alias("e"))
-    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
-    every = rows.select(F.col("vec_id").alias("doc_id"), F.col("e").alias("d"))
-    met = v.against_all(asked, every, 4, 16).where("query_id <> doc_id")
-    return met.select("query_id", "doc_id", v.dot("q", "d").alias("cosine"))
-
-
 @query("v03_cosine_top", f"WITH {VEC} SELECT query_id, doc_id, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) AS n FROM c) WHERE n <= 10")
 def v03(spark, folder):
-    return top_per_key(cosines(spark, folder), ["query_id"], [F.desc("cosine"), F.col("doc_id")], 10).select("query_id", "doc_id", F.round("cosine", 6).alias("cosine"))
+    """One vector in fifty as queries against all vectors."""
+    rows = table(spark, folder, "embeddings")
+    return v.cosine_top(rows.where("vec_id % 50 = 0"), rows, "vec_id", "embedding", 10).select("query_id", "doc_id", F.round("cosine", 6).alias("cosine"))
 
 
 HYBRID = f"""{TERMS}, e AS (SELECT a.item_id AS query_id, b.vec_id AS doc_id, list_dot_product(x.e, b.e) / sqrt(list_dot_product(x.e, x.e)) / sqrt(list_dot_product(b.e, b.e)) AS cosine

@@ -115,3 +115,12 @@ def test_pages_are_read_piece_by_piece():
     tracemalloc.stop()
     assert len(out) == 1001 and out[7]["links"].as_py() == ["/7"] and out[1000]["text"].as_py() is None
     assert peak < 25_000_000
+
+
+def test_cosines_with_copies(spark, check, tmp_path):
+    """Many equal vectors; queries and vectors don't meet as rows."""
+    rows = [(i, [float(i * 7 % 11 - 5), float(i % 5 + 1), float(i * i % 13)]) for i in range(1500)]
+    check("v03_cosine_top", embeddings=("vec_id long, embedding array<float>", rows))
+    out = catalog.queries()["v03_cosine_top"](spark, str(tmp_path))
+    out.collect()
+    assert max(rows_of_joins(out._jdf.queryExecution().executedPlan()), default=0) <= len(rows)
