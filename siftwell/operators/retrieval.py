@@ -17,16 +17,16 @@ def term_counts(rows: DataFrame, id_col: str, text_col: str, as_id: str) -> Data
     return rows.select(F.col(id_col).alias(as_id), F.explode(tf.tokens(text_col)).alias("token")).groupBy(as_id, "token").agg(F.count("*").alias("n"))
 
 
-#: Rows of (query, token) up to which the queries go to every task.
-ASKED = 500_000
+#: Rows of (query, token) up to which the queries go to every task, and pairs of a query and a document that a task is dealt.
+ASKED, MEETINGS = 500_000, 1_000_000
 
 
 def lexical_scores(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str) -> DataFrame:
     """query_id, doc_id, lexical: the share of a query's tokens, with repeats, that the document has. Pairs without any aren't listed.
 
     Documents are dealt once, by id; while the queries are few (checked) they are broadcast, so tokens that no query asks for go
-    before they are counted, frequent tokens meet where their documents are, and the sums need no further exchange. Many queries
-    meet the documents' counted tokens in a join.
+    before they are counted, frequent tokens meet where their documents are, and the sums need no further exchange. The number of
+    tasks grows with the documents, so that each has about ``MEETINGS`` pairs to sum. Many queries meet the documents' counted tokens in a join.
     """
     q = term_counts(queries, query_id, query_text, "query_id").withColumnRenamed("n", "qn")
     total = Window.partitionBy("query_id")
@@ -35,7 +35,8 @@ def lexical_scores(queries: DataFrame, docs: DataFrame, query_id: str, query_tex
     few = q.limit(ASKED + 1).count() <= ASKED
     if few:
         asked = F.broadcast(q.select("token").distinct())
-        d = own.repartition("doc_id").select("doc_id", F.explode(tf.tokens("text")).alias("token")).join(asked, "token", "left_semi").groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+        tasks = -(-own.count() * queries.count() // MEETINGS)
+        d = own.repartition(max(tasks, 1), "doc_id").select("doc_id", F.explode(tf.tokens("text")).alias("token")).join(asked, "token", "left_semi").groupBy("doc_id", "token").agg(F.count("*").alias("n"))
         met = d.join(F.broadcast(q), "token")
     else:
         met = term_counts(own, "doc_id", "text", "doc_id").join(q, "token")

@@ -124,3 +124,12 @@ def test_cosines_with_copies(spark, check, tmp_path):
     out = catalog.queries()["v03_cosine_top"](spark, str(tmp_path))
     out.collect()
     assert max(rows_of_joins(out._jdf.queryExecution().executedPlan()), default=0) <= len(rows)
+
+
+def test_tasks_of_lexical_scores_grow_with_the_documents(spark, monkeypatch):
+    from siftwell.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "MEETINGS", 50, raising=False)
+    texts = spark.createDataFrame([(i, f"alpha w{i}") for i in range(100)], "id long, text string")
+    out = retrieval.lexical_scores(texts.where("id < 10"), texts, "id", "text", "id", "text")
+    assert out.count() == 1000 and out.rdd.getNumPartitions() >= 20
