@@ -102,3 +102,42 @@ def test_edges(spark):
     none = docs.where("false")
     assert language_id.train(none) is None and language_id.predict(docs, None).where("lang <> 'und'").count() == 0
     assert quality.score(none, None).count() == 0 and toxicity.score(none, toxicity.Model(toxicity.Lexicon(), None)).count() == 0 and language_id.predict(none, None).count() == 0
+
+
+def test_quality_learns_from_every_row(spark):
+    """Texts of both labels are the same for all rows that a sample of ``linear.PER_CLASS`` would take; only the rest tell them apart."""
+    from siftwell.llm import linear
+
+    n = linear.PER_CLASS + 1500
+    labels = spark.range(2 * n).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    placed = labels.selectExpr("*", f"row_number() over (partition by quality order by xxhash64(doc_id)) > {linear.PER_CLASS + 100} as rest")
+    docs = placed.selectExpr("doc_id", "case when not rest then 'a plain text of words' when quality = 1 then 'some other words of prose' else '### @@@ ###' end as text")
+    model = quality.train(docs, labels, folds=1000)
+    got = {r.id: r.score for r in quality.score(spark.createDataFrame([(1, "some other words of prose"), (0, "### @@@ ###")], "doc_id long, text string"), model).collect()}
+    assert got[1] > got[0] + 0.2
+
+
+def test_quality_fit_is_that_of_all_pairs(spark):
+    """In one bucket the weights are those of all pairs formed; rare labels stand in several buckets and count once."""
+    from siftwell.llm import linear
+
+    rng = np.random.default_rng(8)
+    y = np.array([1] * 90 + [0] * 60)
+    x = rng.normal(size=(150, 3)) + y[:, None] * np.array([0.8, 0.0, -0.4])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "id long, y int")
+    model = quality.fit_all(linear.buckets(rows, labels), 0.4)
+    z = model.expand(x)
+    apart = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    plain = linear.newton(apart, np.ones(len(apart)), ridge=quality.RIDGE * len(apart) / quality.PAIRS, steps=60)
+    assert np.allclose(model.weights, plain, atol=1e-2) and np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.spread, x.std(axis=0))
+    assert np.abs(model.knots - np.quantile(model.plain(x), quality.KNOTS, axis=0)).max() < 0.2
+    score = linear.sigmoid(model.score(x))
+    assert (score < quality.CUT).sum() == 60 and not np.isclose(score, quality.CUT, atol=1e-9).any()
+
+    many = spark.range(4000).selectExpr("id", "array(cast(id % 7 as double), cast(id % 2 as double)) as x", "cast(id % 40 = 0 as int) as y")
+    own = linear.buckets(many.select("id", "x"), many.select("id", "y"))
+    assert own.copies[1] > 1 and own.rows.where("size(good) = 0 or size(bad) = 0").count() == 0
+    plain = np.array([[i % 7, i % 2] for i in range(4000)], float)
+    model = quality.fit_all(own, 0.975)
+    assert np.allclose(model.mean, plain.mean(axis=0)) and np.allclose(model.spread, plain.std(axis=0))
