@@ -108,3 +108,43 @@ def test_ids_expire(spark, tmp_path):
     time.sleep(0.2)
     add(spark, tmp_path, [(1, "x", 2, 5, "a", "p")])
     assert [r[4] for r in outcomes(stream(spark, tmp_path, keep_ms=50))] == ["accepted", "stale"]
+
+
+def test_state_holds_ids_in_blocks(spark, tmp_path):
+    """The state has far fewer entries than ids, so that accepting one isn't a call of its own; ids that come again in later batches are found."""
+    chain = [(k % 3, f"e{k}", k, None, "a" if k < 3 else "b" if k // 3 % 2 else "a", "p") for k in range(1500)]
+    again = [(r[0], r[1], 5000 + i, None, r[4], "p" if i % 2 else "other") for i, r in enumerate(chain[::4])]
+    own = spark.newSession()
+    own.conf.set(*ev.PROVIDER)
+    own.conf.set("spark.sql.shuffle.partitions", "2")
+    for rows in (chain[:700], chain[700:], again):
+        add(spark, tmp_path, rows)
+    log = ev.append_stream(st.file_stream(own, f"{tmp_path}/in", 1), {None: frozenset("a"), "a": frozenset("b"), "b": frozenset("a")})
+    query = log.writeStream.foreachBatch(lambda b, n: b.write.parquet(f"{tmp_path}/out/batch={n}")).option("checkpointLocation", f"{tmp_path}/offsets").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = outcomes(spark.read.parquet(f"{tmp_path}/out"))
+    kinds = [r[4] for r in got]
+    assert kinds.count("accepted") == 1500 and kinds.count("repeated") == 187 and kinds.count("conflict") == 188
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < 150
+
+
+@pytest.mark.parametrize("held", [2, 512])
+def test_blocks_as_one_dictionary(monkeypatch, held):
+    monkeypatch.setattr(ev.Blocks, "HELD", held)
+    monkeypatch.setattr(ev.Blocks, "BLOCK", 4)
+
+    class State(dict):
+        containsKey, getValue, updateValue = dict.__contains__, dict.__getitem__, dict.__setitem__
+
+    state, plain, rng = State(), {}, random.Random(3)
+    for _ in range(40):
+        ids = ev.Blocks(state, 7, len(plain))
+        for _ in range(rng.randrange(60)):
+            event = f"é{rng.randrange(2000)}"
+            assert ids.known(event) == plain.get(event)
+            if event not in plain:
+                plain[event] = (rng.randrange(9), "a", rng.choice((None, "p")))
+                ids.remember(event, plain[event])
+        ids.write()
+        assert ids.n == len(plain)
+    assert len(plain) > 500 and len(state) < len(plain)
