@@ -70,8 +70,10 @@ def u07(spark, folder):
 
 @query("u08_concatenate", "SELECT l_orderkey, arg_max(l_quantity, l_linenumber * 1000 + l_partkey / 1e6) AS quantity FROM (SELECT * FROM lineitem WHERE l_linenumber <= 3 UNION ALL SELECT * FROM lineitem WHERE l_linenumber > 2) GROUP BY l_orderkey")
 def u08(spark, folder):
-    """Partial work sets together, the newest of each key; of equals the one that is stored first."""
-    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    """Partial work sets together, the newest of each key; of equals the one that is stored first. Rows without a value or an order don't count, their keys stay."""
+    # the order as SQL computes it: part keys of 10^9 and more outweigh line numbers, and very large ones are equal in doubles
+    newest = F.when(F.col("l_quantity").isNotNull(), F.col("l_linenumber") * 1000 + F.col("l_partkey") / F.lit(1e6))
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", newest.alias("newest"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
     both = rows.where("l_linenumber <= 3").unionByName(rows.where("l_linenumber > 2"))
-    order = [F.desc("l_linenumber"), F.desc("l_partkey"), F.col("file"), F.col("at")]
-    return first_per_key(both, ["l_orderkey"], order).select("l_orderkey", F.col("l_quantity").alias("quantity"))
+    first = first_per_key(both, ["l_orderkey"], [F.desc_nulls_last("newest"), F.col("file"), F.col("at")])
+    return first.select("l_orderkey", F.when(F.col("newest").isNotNull(), F.col("l_quantity")).alias("quantity"))

@@ -41,6 +41,13 @@ def test_concatenate_takes_the_first_of_equals(check):
     check("u08_concatenate", lineitem=("l_orderkey long, l_linenumber int, l_partkey long, l_quantity double", [(1, 3, 7, 32.0), (1, 3, 7, 33.0)], [(1, 3, 7, 37.0), *many]))
 
 
+def test_concatenate_by_the_order_of_sql(check):
+    """Part keys of 10^9 and more outweigh line numbers, those beyond doubles are equal, rows with nulls don't count but their keys stay."""
+    lines = [(1, 1, 3_000_000_000, 1.0), (1, 2, 5, 2.0), (2, 2, 9 * 10**16, 3.0), (2, 2, 9 * 10**16 + 1, 4.0), (3, 3, 7, None), (3, 1, 7, 6.0), (4, 4, None, 7.0), (5, 4, None, 8.0), (5, 3, 1, 9.0)]
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double"
+    check("u08_concatenate", lineitem=(schema, lines))
+
+
 def test_health_at_the_limit_in_any_order(spark, tmp_path):
     """A mean of 0.0505 isn't above 0.0505, though in this order the sum of its parts is."""
     parts, chance = [0.05] * 380 + [0.06] * 20, random.Random(1)
