@@ -48,6 +48,11 @@ def test_concatenate_by_the_order_of_sql(check):
     check("u08_concatenate", lineitem=(schema, lines))
 
 
+def test_health_without_a_supplier(check):
+    """Rows without a supplier count as an issue that names none."""
+    check("a15b_health_issues", lineitem=("l_suppkey long, l_returnflag string, l_discount double", [(None, "R", 0.01), (1, "N", 0.02), (2, "N", None)]))
+
+
 def test_health_at_the_limit_in_any_order(spark, tmp_path):
     """A mean of 0.0505 isn't above 0.0505, though in this order the sum of its parts is."""
     parts, chance = [0.05] * 380 + [0.06] * 20, random.Random(1)
