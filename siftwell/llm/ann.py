@@ -1,14 +1,17 @@
 """Operator 1: nearest neighbours by inner product with a forest of random-projection trees.
 
 Index: vectors get one more component, sqrt(M^2 - |x|^2) with M the largest norm, so that the largest inner product is the
-nearest vector. Each of ``TREES`` trees cuts space by random hyperplanes at medians of a bounded sample (``SAMPLE`` vectors,
-fitted on the driver); every vector is then put into one leaf of each tree. Search: one priority queue over all trees gives a
-query its leaves in order of their margin; the number taken is the smallest that reaches ``RECALL`` on the sample, with as many
-of the trees as make that cheapest, at every size of the table. Candidates of the taken leaves are ranked exactly, in double
-precision; a query takes more leaves where these hold fewer vectors than it asks for.
-
-A leaf of many vectors or queries is cut into blocks of bounded size and all pairs of its blocks are searched, so no task
-holds a whole leaf. Equal vectors are indexed once, with the k + 1 smallest of their ids, which is all that an answer can use.
+nearest vector. Each of up to ``TREES`` trees cuts space by random hyperplanes at medians of a bounded sample (``SAMPLE`` vectors,
+fitted on the driver); every vector is then put into one leaf of each tree. Search: a query takes the leaves of all trees in
+order of their margin; the number taken is the smallest that reaches ``RECALL`` on the sample, with as many of the trees as
+make that cheapest, at every size of the table. With one tree no vector is multiplied twice for a query, so that products never
+exceed those of brute force. Candidates of the taken leaves are ranked exactly, in double precision; a query takes more leaves
+where these hold fewer vectors than it asks for.
+
+Work is dealt by shelves, neighbouring leaves of a tree that together hold at most ``SHELF`` vectors: a query goes to a shelf
+once, with the leaves that it takes there, and one list of its best comes back. A shelf of many vectors or queries is cut into
+blocks of bounded size and all pairs of its blocks are searched, so no task holds a whole leaf. Equal vectors are indexed once,
+with the k + 1 smallest of their ids, which is all that an answer can use.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part
 (as queries neither); rows that repeat an id and vector count once; a row with null id takes no part; empty tables give an
@@ -17,7 +20,6 @@ empty result. Equal scores go to the smaller id.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +33,8 @@ from siftwell.session import cut_lineage
 
 #: Most trees, vectors that they are fitted on, the share of the sample's neighbours that the leaves taken must hold.
 TREES, SAMPLE, RECALL = 8, 32_768, 0.98
-BLOCK, QUERY_BLOCK = 2048, 2048
+#: Vectors of a leaf, by which the depth is chosen; most vectors of a shelf, most queries of its blocks, and shelves of a table that has no more vectors.
+BLOCK, SHELF, QUERY_BLOCK, SHELVES = 2048, 16_384, 16_384, 48
 
 
 @dataclass
@@ -67,32 +70,50 @@ class Forest:
             out.append((t << self.depth) + node - (1 << self.depth) + 1)
         return np.column_stack(out)
 
+    def order(self, x: np.ndarray) -> np.ndarray:
+        """All cells for each query, by the largest margin on their far side."""
+        trees, nodes = self.cuts.shape
+        margin = (self.extended(x, True) @ self.normals.reshape(trees * nodes, -1).T - self.cuts.ravel()).reshape(len(x), trees, nodes)
+        worst = np.full((len(x), trees, 1), -np.inf)
+        for level in range(self.depth):
+            m = margin[:, :, (1 << level) - 1 : (2 << level) - 1]
+            below = np.empty((len(x), trees, 2 << level))
+            below[..., 0::2] = np.where(m >= 0, np.maximum(worst, m), worst)
+            below[..., 1::2] = np.where(m >= 0, worst, np.maximum(worst, -m))
+            worst = below
+        return np.argsort(worst.reshape(len(x), -1), axis=1, kind="stable")
+
     def search(self, x: np.ndarray, sizes: np.ndarray | None = None, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cells: the first cells of each query from a priority queue that all trees share.
+        """Rows and cells: the first cells of each query, in an order that all trees share.
 
         With ``sizes`` of the cells a query goes on until the cells of one tree hold ``least`` vectors, or all do.
         """
-        trees, nodes = self.cuts.shape
-        probes = min(self.probes, trees << self.depth)
-        flat = self.normals.reshape(trees * nodes, -1)
-        margin = self.extended(x, True) @ flat.T - self.cuts.ravel()
-        rows, cells = [], []
-        for q, own in enumerate(margin.tolist()):
-            queue = [(-np.inf, t, 0) for t in range(trees)]
-            found, held = 0, [0] * trees
-            while queue and (found < probes or (sizes is not None and max(held) < least)):
-                worst, t, node = heapq.heappop(queue)
-                while node < nodes:  # down the near side; the far side waits
-                    m = own[t * nodes + node]
-                    far, near = (2 * node + 1, 2 * node + 2) if m >= 0 else (2 * node + 2, 2 * node + 1)
-                    heapq.heappush(queue, (max(worst, abs(m)), t, far))
-                    node = near
-                cells.append((t << self.depth) + node - nodes)
-                if sizes is not None:
-                    held[t] += int(sizes[cells[-1]])
-                found += 1
-            rows.append(found)
-        return np.repeat(np.arange(len(x)), rows), np.array(cells, np.int64)
+        trees = len(self.cuts)
+        total = trees << self.depth
+        rows, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        piece = max(1, (1 << 20) // total)
+        for a in range(0, len(x), piece):
+            order = self.order(x[a : a + piece])
+            found = np.full(len(order), min(self.probes, total))
+            if sizes is not None:
+                held, reach = sizes[order], np.full(len(order), total)
+                for t in range(trees):
+                    enough = np.cumsum(np.where(order >> self.depth == t, held, 0), axis=1) >= least
+                    reach = np.minimum(reach, np.where(enough[:, -1], enough.argmax(axis=1) + 1, total))
+                found = np.maximum(found, reach)
+            rows.append(np.repeat(np.arange(a, a + len(order)), found))
+            cells.append(order[np.arange(total) < found[:, None]])
+        return np.concatenate(rows), np.concatenate(cells)
+
+
+def shelves(sizes: np.ndarray, trees: int, most: int) -> np.ndarray:
+    """A number for each cell: neighbouring cells of a tree stand together while they hold at most so many vectors."""
+    out, own, held = np.zeros(len(sizes), np.int64), -1, 0
+    for cell, n in enumerate(sizes.tolist()):
+        if cell % (len(sizes) // trees) == 0 or held + n > most:
+            own, held = own + 1, 0
+        out[cell], held = own, held + n
+    return out
 
 
 def fit(sample: np.ndarray, norm: float, depth: int, k: int, trees: int = TREES, recall: float = RECALL, seed: int = 7) -> Forest:
@@ -123,7 +144,7 @@ def fit(sample: np.ndarray, norm: float, depth: int, k: int, trees: int = TREES,
     scores[np.arange(len(asked)), asked] = -np.inf
     best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
     options = []
-    for own in {trees, max(1, trees // 2), max(1, trees // 4)}:
+    for own in {trees, max(1, trees // 2), max(1, trees // 4), 1}:
         some = forest.first(own)
         cells, order = some.leaves(sample), some.search(sample[asked])[1].reshape(len(asked), -1)
         place = np.empty_like(order)
@@ -160,44 +181,60 @@ def _distinct(keep: int):
     return run
 
 
-def _place(forest: Forest, blocks: np.ndarray, query_blocks: np.ndarray):
-    """Each vector in each of its cells, once for every block of the cell's queries."""
+def _block(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % np.maximum(blocks, 1)
+
+
+def _copies(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row so many times, and the number of the copy."""
+    at = np.repeat(np.arange(len(times)), times)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _place(forest: Forest, shelf_of: np.ndarray, blocks: np.ndarray, query_blocks: np.ndarray):
+    """Each vector in each of its cells, once for every block of the shelf's queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
                 cells = forest.leaves(_packed(part.column(0)))
-                row = np.repeat(np.arange(len(cells)), cells.shape[1])
-                cell = cells.ravel()
+                row, cell = np.repeat(np.arange(len(cells)), cells.shape[1]), cells.ravel()
+                shelf = shelf_of[cell]
                 first = part.column(1).flatten().take(pa.array(part.column(1).offsets.to_numpy()[:-1] - part.column(1).offsets[0].as_py())).to_numpy()
-                block = (first[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % np.maximum(blocks[cell], 1)
-                times = query_blocks[cell]
-                at = np.repeat(np.arange(len(row)), times)
-                other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                block = _block(first[row], blocks[shelf])
+                at, other = _copies(query_blocks[shelf])
                 take = pa.array(row[at])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell[at]), pa.array(block[at]), pa.array(other), part.column(0).take(take), part.column(1).take(take)], names=["cell", "block", "qblock", "vec", "ids"]
-                )
+                columns = [pa.array(v) for v in (shelf[at], block[at], other, cell[at])]
+                yield pa.RecordBatch.from_arrays([*columns, part.column(0).take(take), part.column(1).take(take)], names=["shelf", "block", "qblock", "cell", "vec", "ids"])
 
     return run
 
 
-def _probe(forest: Forest, sizes: np.ndarray, least: int, blocks: np.ndarray, query_blocks: np.ndarray):
-    """Each query in each of its cells, once for every block of the cell's vectors."""
+def _taken(forest: Forest, x: np.ndarray, shelf_of: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """Queries, shelves and the cells that the query takes there."""
+    row, cell = forest.search(x, sizes, least)
+    key = row * (shelf_of[-1] + 1) + shelf_of[cell]
+    order = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.diff(key[order], prepend=-1))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(key)), pa.int32()), pa.array(cell[order]))
+    return row[order][start], shelf_of[cell[order][start]], lists
+
+
+def _probe(forest: Forest, shelf_of: np.ndarray, sizes: np.ndarray, least: int, blocks: np.ndarray, query_blocks: np.ndarray):
+    """Each query in each of its shelves, once for every block of the shelf's vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 ids, x = part.column(0).to_numpy(), np.ascontiguousarray(_vectors(part.column(1)).astype(np.float64))
-                row, cell = forest.search(x, sizes, least)
-                qblock = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % np.maximum(query_blocks[cell], 1)
-                times = blocks[cell]
-                at = np.repeat(np.arange(len(row)), times)
-                other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                row, shelf, cells = _taken(forest, x, shelf_of, sizes, least)
+                qblock = _block(ids[row], query_blocks[shelf])
+                at, other = _copies(blocks[shelf])
                 packed = pa.array([v.tobytes() for v in x], pa.binary()).take(pa.array(row[at]))
-                yield pa.RecordBatch.from_arrays([pa.array(cell[at]), pa.array(other), pa.array(qblock[at]), pa.array(ids[row[at]]), packed], names=["cell", "block", "qblock", "qid", "qvec"])
+                columns = [pa.array(v) for v in (shelf[at], other, qblock[at], ids[row[at]])]
+                yield pa.RecordBatch.from_arrays([*columns, packed, cells.take(pa.array(at))], names=["shelf", "block", "qblock", "qid", "qvec", "cells"])
 
     return run
 
@@ -205,31 +242,73 @@ def _probe(forest: Forest, sizes: np.ndarray, least: int, blocks: np.ndarray, qu
 BEST = pa.list_(pa.struct([("less", pa.float64()), ("id", pa.int64())]))
 
 
+def _exact(x: np.ndarray, q: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Products from the first component to the last."""
+    parts = [np.add.accumulate(x[at[a : a + 8192]] * q[row[a : a + 8192]], axis=1)[:, -1] for a in range(0, len(at), 8192)]
+    return np.nan_to_num(np.concatenate(parts), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+
+
+def _first_of(row: np.ndarray, most: int, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first rows of each query by the columns (the least important one first), and their places."""
+    order = np.lexsort((*columns, row))
+    row = row[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return order[place < most], place[place < most]
+
+
 def _rank(k: int):
-    """The k best of a block of vectors for each of a block of queries; scores are computed row by row in one order."""
+    """The k best of a block of vectors for each of a block of queries, in the cells that it takes; scores are computed row by row in one order."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        qids, out = [], []
+        out = []
         if left.num_rows and right.num_rows:
-            vec, ids = left.column("vec").combine_chunks(), left.column("ids").combine_chunks()
-            x = _packed(vec)
-            own_ids = ids.to_pylist()
-            first = np.array([i[0] for i in own_ids])
-            asked, q = right.column("qid").to_numpy(), _packed(right.column("qvec").combine_chunks())
+            left = left.sort_by("cell")
+            ids = left.column("ids").combine_chunks()
+            x, starts, lengths, flat = _packed(left.column("vec").combine_chunks()), ids.offsets.to_numpy()[:-1], np.diff(ids.offsets.to_numpy()), ids.values.to_numpy()
+            first = flat[starts]
+            cells, begin = np.unique(left.column("cell").to_numpy(), return_index=True)
+            # a large cell in pieces, as all of its scores may be equal
+            pieces = [(c, i, min(i + BLOCK, e)) for c, (b, e) in enumerate(zip(begin, np.append(begin[1:], len(x)), strict=True)) for i in range(b, e, BLOCK)]
             # what rounding can move a sum of products by, at most
             long = np.sqrt(np.einsum("ij,ij->i", x, x)).max()
-            doubt = np.sqrt(np.einsum("ij,ij->i", q, q)) * long * (4 * x.shape[1] * np.finfo(float).eps)
-            for a in range(0, len(q), 256):
-                rough = q[a : a + 256] @ x.T
-                edge = np.partition(rough, max(0, rough.shape[1] - k - 1), axis=1)[:, max(0, rough.shape[1] - k - 1)]
-                for i, line in enumerate(rough):
-                    near = np.flatnonzero(~(line < edge[i] - doubt[a + i]))  # sums that overflow are looked at too
-                    exact = np.nan_to_num(np.add.accumulate(x[near] * q[a + i], axis=1)[:, -1], nan=-np.inf, posinf=np.inf, neginf=-np.inf)  # from the first component to the last
-                    order = np.lexsort((first[near], -exact))[: k + 1]
-                    pairs = [(-exact[j], v) for j in order for v in own_ids[near[j]] if v != asked[a + i]]
-                    qids.append(int(asked[a + i]))
-                    out.append([{"less": s, "id": v} for s, v in sorted(pairs)[:k]])
-        return pa.table([pa.array(qids, pa.int64()), pa.array(out, BEST)], names=["qid", "best"])
+            for a in range(0, right.num_rows, 512):
+                part = right.slice(a, 512).combine_chunks()
+                asked, q = part.column("qid").to_numpy(), _packed(part.column("qvec").combine_chunks())
+                doubt = np.sqrt(np.einsum("ij,ij->i", q, q)) * long * (4 * x.shape[1] * np.finfo(float).eps)
+                own = part.column("cells").combine_chunks()
+                cell = own.flatten().to_numpy()
+                at = np.searchsorted(cells, cell)
+                here = cells[np.minimum(at, len(cells) - 1)] == cell
+                takes = np.zeros((len(q), len(cells)), bool)
+                takes[np.repeat(np.arange(len(q)), np.diff(own.offsets.to_numpy()))[here], at[here]] = True
+                row, vec, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                edge = np.full(len(q), -np.inf)  # the score that the k + 1 best so far have; the query itself may be one of them
+                for c, b, e in pieces:
+                    some = np.flatnonzero(takes[:, c])
+                    if not len(some):
+                        continue
+                    rough, least = q[some] @ x[b:e].T, edge[some]
+                    new = least == -np.inf
+                    if e - b > k and new.any():
+                        least[new] = np.partition(np.nan_to_num(rough[new], nan=-np.inf, posinf=np.inf, neginf=-np.inf), e - b - k - 1, axis=1)[:, e - b - k - 1]
+                    r, v = np.nonzero(~(rough < (least - doubt[some])[:, None]))  # sums that overflow are looked at too
+                    if not len(r):
+                        continue
+                    r, v = some[r], v + b
+                    row, vec, score = np.append(row, r), np.append(vec, v), np.append(score, _exact(x, q, v, r))
+                    keep, place = _first_of(row, k + 1, first[vec], -score)
+                    row, vec, score = row[keep], vec[keep], score[keep]
+                    edge[row[place == k]] = score[place == k]
+                # equal vectors give all of their ids
+                at, copy = _copies(lengths[vec])
+                row, score, number = row[at], score[at], flat[starts[vec][at] + copy]
+                other = number != asked[row]
+                row, score, number = row[other], score[other], number[other]
+                keep, _ = _first_of(row, k, number, -score)
+                found = pa.StructArray.from_arrays([pa.array(-score[keep]), pa.array(number[keep])], fields=list(BEST.value_type))
+                offsets = np.searchsorted(row[keep], np.arange(len(q) + 1))
+                out.append(pa.table([pa.array(asked), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found, type=BEST)], names=["qid", "best"]))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], BEST)], names=["qid", "best"])
 
     return run
 
@@ -260,33 +339,34 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     x = np.frombuffer(b"".join(r.vec for r in sample), np.float64).reshape(-1, sizes.d)
     depth = max(6, min(12, int(np.ceil(np.log2(max(1, n / BLOCK))))))
     forest = fit(x, norm, depth, k)
-    cells = forest.cuts.shape[0] << depth
+    trees, least = len(forest.cuts), k + 1
 
-    def counted(df: DataFrame, column: str, maker) -> np.ndarray:
-        """Rows of each cell; the number of cells is a constant of the forest."""
-        out = np.zeros(cells, np.int64)
-        for r in df.select(column).mapInArrow(maker, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-            out[r.cell] = r.n
-        return out
+    def counted(df: DataFrame, column: str, find, number: int) -> np.ndarray:
+        """Rows of each cell or shelf; their number is a constant of the forest."""
 
-    def count_cells(find):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a in range(0, batch.num_rows, 2048):
                     column = batch.column(0).slice(a, 2048)
                     own = _packed(column) if pa.types.is_binary(column.type) else _vectors(column).astype(np.float64)
-                    cell, number = np.unique(find(own), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(number)], names=["cell", "n"])
+                    place, times = np.unique(find(own), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(times)], names=["place", "n"])
 
-        return run
+        out = np.zeros(number, np.int64)
+        for r in df.select(column).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+            out[r.place] = r.n
+        return out
 
-    sizes = counted(distinct, "vec", count_cells(forest.leaves))
-    blocks = -(-sizes // BLOCK)
-    query_blocks = -(-counted(asked, "vec", count_cells(lambda x: forest.search(x, sizes, k + 1)[1])) // QUERY_BLOCK)
-    left = distinct.mapInArrow(_place(forest, blocks, query_blocks), "cell long, block long, qblock long, vec binary, ids array<long>")
-    right = asked.select("id", "vec").mapInArrow(_probe(forest, sizes, k + 1, blocks, query_blocks), "cell long, block long, qblock long, qid long, qvec binary")
-    keys = ("cell", "block", "qblock")
+    sizes = counted(distinct, "vec", forest.leaves, trees << depth)
+    shelf_of = shelves(sizes, trees, min(SHELF, -(-n * trees // SHELVES)))
+    blocks = -(-np.bincount(shelf_of, sizes).astype(np.int64) // SHELF)
+    query_blocks = -(-counted(asked, "vec", lambda x: _taken(forest, x, shelf_of, sizes, least)[1], len(blocks)) // QUERY_BLOCK)
+    left = distinct.mapInArrow(_place(forest, shelf_of, blocks, query_blocks), "shelf long, block long, qblock long, cell long, vec binary, ids array<long>")
+    right = asked.select("id", "vec").mapInArrow(_probe(forest, shelf_of, sizes, least, blocks, query_blocks), "shelf long, block long, qblock long, qid long, qvec binary, cells array<long>")
+    keys = ("shelf", "block", "qblock")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_rank(k), "qid long, best array<struct<less:double,id:long>>")
-    best = found.groupBy("qid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
+    every_list = found.groupBy("qid").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("all"))
+    # what several trees find stands side by side; array_distinct would compare all pairs
+    best = every_list.select("qid", F.slice(F.filter("all", lambda x, i: (i == 0) | (x != F.get("all", i - 1))), 1, k).alias("best"))
     out = best.select(F.col("qid").alias("query_id"), F.posexplode("best").alias("at", "b"))
     return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("b.id").alias(id_col), (-F.col("b.less")).alias("score"))

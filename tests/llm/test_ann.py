@@ -102,3 +102,43 @@ def test_extreme_components(spark):
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got[4][:4] == [0, 3, 6, 5] or set(got[4][:2]) == {0, 3}
     assert {k: sorted(v) for k, v in got.items()} == {2: [0, 1, 3, 4, 5, 6], 4: [0, 1, 2, 3, 5, 6]}
+
+
+@pytest.mark.parametrize("n", [500, 5000, 20_000])
+def test_products_of_vectors_without_structure(n):
+    """Nearly all leaves are needed then, but no more products than brute force."""
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    depth = max(6, int(np.ceil(np.log2(n / ann.BLOCK))))
+    forest = ann.fit(x[: ann.SAMPLE], 1.0, depth, 20)
+    sizes = np.bincount(forest.leaves(x).ravel(), minlength=len(forest.cuts) << depth)
+    rows, found = forest.search(x[:100], sizes, 21)
+    assert sizes[found].sum() <= n * 100, sizes[found].sum() / n / 100
+
+
+def test_shelves():
+    """Neighbouring leaves of one tree up to the limit; a larger leaf stands alone."""
+    assert ann.shelves(np.array([3, 3, 3, 0, 9, 1, 0, 0]), 2, 6).tolist() == [0, 0, 1, 1, 2, 3, 3, 3]
+
+
+@pytest.mark.parametrize("trees", [1, 8])
+def test_all_leaves_give_brute_force(spark, monkeypatch, trees):
+    """Ties, copies, repeated rows and shelves of several blocks, with every leaf taken; what several trees find counts once."""
+
+    def whole(*args):
+        forest = fit(*args)
+        return ann.Forest(*(np.concatenate([a] * trees)[:trees] for a in (forest.normals, forest.cuts)), forest.depth, forest.norm, trees << forest.depth)
+
+    fit = ann.fit
+    for name, value in {"fit": whole, "SHELF": 40, "QUERY_BLOCK": 16}.items():
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.integers(-2, 3, 4)]) for i in range(600)]
+    rows += [(600 + i, rows[7][1]) for i in range(50)]  # copies
+    df = spark.createDataFrame(rows + rows[:40], "vec_id long, embedding array<float>").repartition(3)
+    want = brute(rows, range(0, 650, 5), 6)
+    have = {}
+    for r in sorted(ann.search(df, df.where("vec_id % 5 = 0"), k=6).collect(), key=lambda r: (r.query_id, r["rank"])):
+        have.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert len(have[r.query_id]) == r["rank"]
+    assert have == want
